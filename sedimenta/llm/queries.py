@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import let_workers_import, table
-from . import bpe, chat, packing, url_filter, vector_join, vector_search
+from . import bpe, chat, minhash, packing, quality, url_filter, vector_join, vector_search
 
 
 def _tokenizer(name: str) -> str:
@@ -81,6 +81,21 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near copies among all documents: five words, similarity 0.8."""
+    let_workers_import(spark)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, size=5)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, learned outside the held-out fold."""
+    let_workers_import(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", quality.is_fold(F.col("doc_id"), 0).alias("held_out"))
+    return quality.score_documents(rows, model, cut=0.3).drop("text")
+
+
 OP2_SQL = """
 WITH RECURSIVE v AS (
   SELECT row_number() OVER () AS n, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -151,8 +166,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_embedding_dedup": op2_embedding_dedup,
         "op3_topk_search": op3_topk_search,
         "op5_chat_format": op5_chat_format,
+        "op6_minhash_dedup": op6_minhash_dedup,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_url_filter": op8_url_filter,
+        "op9_quality": op9_quality,
     }
 
 
