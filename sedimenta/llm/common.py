@@ -38,3 +38,13 @@ def row_key():
     It spreads rows that share every value, which no hash of the values can do.
     """
     return F.xxhash64(F.monotonically_increasing_id())
+
+
+def in_blocks(docs: DataFrame, block_bytes: int, *columns: str) -> tuple[DataFrame, int]:
+    """doc_id, text, row (a number of its own) and `columns` of documents, hashed to blocks of about block_bytes of text; and how many blocks.
+
+    Repeated rows, null ids and a repeated id spread over all blocks alike.
+    """
+    blocks = max(1, -(-text_bytes(docs) // block_bytes))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *columns, F.monotonically_increasing_id().alias("row"))
+    return rows.withColumn("block", F.expr(f"cast(pmod(xxhash64(row), {blocks}) as int)")), blocks

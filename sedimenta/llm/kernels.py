@@ -49,6 +49,17 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix(raw + (ends - starts).astype(U8) * U8(0xD6E8FEB86659FD93))
 
 
+def span_hashes_long(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """span_hashes of spans that lie in order end to end in an array of any size."""
+    out, lo = np.zeros(len(starts), dtype=U8), 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + BATCH, side="right")))
+        a, b = int(starts[lo]), int(ends[hi - 1])
+        out[lo:hi] = span_hashes(values[a:b], starts[lo:hi] - a, ends[lo:hi] - a)
+        lo = hi
+    return out
+
+
 #: ASCII white space: 0x20 and 0x09 to 0x0D.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -216,3 +227,12 @@ def _encode_batch(batch, encode_piece, known: SpanTable, out) -> None:
     bounds = token_ends[np.searchsorted(starts, np.r_[doc_starts, len(cp)])]
     for (i, _), a, b in zip(batch, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         out[i].append(ids[a:b])
+
+
+def by_range(sorted_keys: np.ndarray, buckets: int):
+    """(bucket, slice) of sorted 64-bit keys cut into equal ranges of the key space."""
+    step = (1 << 64) // buckets + 1
+    ends = np.searchsorted(sorted_keys, np.array([step * b for b in range(1, buckets)], dtype=U8))
+    for b, (lo, hi) in enumerate(zip([0, *ends.tolist()], [*ends.tolist(), len(sorted_keys)], strict=True)):
+        if hi > lo:
+            yield b, slice(lo, hi)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import let_workers_import, table
-from . import bpe, chat, minhash, packing, quality, url_filter, vector_join, vector_search
+from . import bpe, chat, minhash, packing, quality, suffix_dedup, url_filter, vector_join, vector_search
 
 
 def _tokenizer(name: str) -> str:
@@ -96,6 +96,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(rows, model, cut=0.3).drop("text")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated strings of 100 bytes."""
+    let_workers_import(spark)
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP2_SQL = """
 WITH RECURSIVE v AS (
   SELECT row_number() OVER () AS n, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -170,6 +177,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_byte_bpe": op7_byte_bpe,
         "op8_url_filter": op8_url_filter,
         "op9_quality": op9_quality,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
