@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import let_workers_import, table
-from . import bpe, chat, minhash, packing, quality, suffix_dedup, url_filter, vector_join, vector_search
+from . import bpe, chat, lm_score, minhash, packing, quality, suffix_dedup, url_filter, vector_join, vector_search
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -20,14 +20,14 @@ def _tokenizer(name: str) -> str:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of 1024 tokens; a digest of each piece's ids."""
     let_workers_import(spark)
-    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded; digests of ids and bytes."""
     let_workers_import(spark)
-    both = bpe.encode_decode(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"))
+    both = bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
     return both.select(
         "doc_id",
         F.expr("cast(octet_length(token_ids) div 4 as bigint)").alias("n_tokens"),
@@ -81,6 +81,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log probability under a model of the documents outside the held-out fold."""
+    let_workers_import(spark)
+    return lm_score.score_documents(table(spark, sf_dir, "documents"), held_out_fold=1)
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near copies among all documents: five words, similarity 0.8."""
     let_workers_import(spark)
@@ -172,6 +178,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_embedding_dedup": op2_embedding_dedup,
         "op3_topk_search": op3_topk_search,
+        "op4_lm_score": op4_lm_score,
         "op5_chat_format": op5_chat_format,
         "op6_minhash_dedup": op6_minhash_dedup,
         "op7_byte_bpe": op7_byte_bpe,
