@@ -333,7 +333,20 @@ def _windows(length: int):
     return run
 
 
-def _cut(columns: list[str]):
+def _whole_characters(text: bytes, spans: list[tuple[int, int, int]]) -> str:
+    """The text without spans, which give back characters that they cut."""
+    kept, at = [], 0
+    for _, start, stop in spans:
+        while start < stop and text[start] & 0xC0 == 0x80:
+            start += 1
+        while stop < len(text) and start < stop and text[stop] & 0xC0 == 0x80:
+            stop -= 1
+        kept.append(text[at:start])
+        at = stop
+    return b"".join([*kept, text[at:]]).decode("utf-8", "replace")
+
+
+def _cut(columns: list[str], with_text: bool):
     def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
         by_row: dict[int, list[tuple[int, int, int]]] = {}
         for row, start, stop in zip(spans.column("row").to_pylist(), spans.column("start").to_pylist(), spans.column("stop").to_pylist(), strict=True):
@@ -345,21 +358,23 @@ def _cut(columns: list[str]):
                 kept.append(text[at:start])
                 at = stop
             kept.append(text[at:])
-            out.append((len(text), sum(e - s for _, s, e in own), len(own), b"".join(kept), [x for _, s, e in own for x in (s, e)]))
-        data = list(zip(*out, strict=True)) or [[]] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            whole = _whole_characters(text, own) if with_text else None
+            out.append((len(text), sum(e - s for _, s, e in own), len(own), b"".join(kept), [x for _, s, e in own for x in (s, e)], whole))
+        data = list(zip(*out, strict=True)) or [[]] * 6
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.string())
         made = [pa.array(c, k) for c, k in zip(data, kinds, strict=True)]
-        return pa.table([*(docs.column(c) for c in columns), *made], names=[*columns, "n_bytes", "n_removed", "n_spans", "kept", "spans"])
+        return pa.table([*(docs.column(c) for c in columns), *made], names=[*columns, "n_bytes", "n_removed", "n_spans", "kept", "spans", "text"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, columns: tuple[str, ...] = (), block_bytes: int = 8 << 20, most_contexts: int = 200_000) -> DataFrame:
-    """doc_id, `columns`, n_bytes, n_removed, n_spans, kept (bytes) and spans of every row of documents(doc_id, text).
+def remove_repeats(docs: DataFrame, length: int = 100, columns: tuple[str, ...] = (), with_text: bool = False, block_bytes: int = 8 << 20, most_contexts: int = 200_000) -> DataFrame:
+    """doc_id, `columns`, n_bytes, n_removed, n_spans, kept (bytes), spans and text of every row of documents(doc_id, text).
 
     A byte goes if a string of `length` bytes that covers it also starts earlier: in a smaller doc_id,
     or in the same document at an earlier place; strings are those of the input texts as UTF-8 and
-    never cross documents. spans: starts and stops of the maximal removed runs, in order.
+    never cross documents. spans: starts and stops of the maximal removed runs, in order. text: null, or with_text what is
+    kept with the characters whole that runs cut into.
 
     Null texts are empty; texts shorter than `length` stay whole. Rows with equal doc_ids are separate
     documents in the order they are scanned; null doc_ids come last. block_bytes bounds a task's text;
@@ -385,4 +400,4 @@ def remove_repeats(docs: DataFrame, length: int = 100, columns: tuple[str, ...]
     spans = spans.union(settled).union(later.select("block", "row", "start", (F.col("start") + length).alias("stop")))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocked.select("doc_id", *columns).schema)
-    return blocked.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_cut(["doc_id", *columns]), f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>")
+    return blocked.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_cut(["doc_id", *columns], with_text), f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>, text string")
