@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage
 
 
+def roots(parent: np.ndarray) -> np.ndarray:
+    """Each element's root in a forest of parents."""
+    while True:
+        up = parent[parent]
+        if (up == parent).all():
+            return parent
+        parent = up
+
+
+def unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The forest after joining the trees of i and j, pair by pair."""
+    while len(i):
+        parent = roots(parent)
+        a, b = parent[i], parent[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+    return roots(parent)
+
+
 def connected_components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of links(a, b) of long ids; component is its smallest node.
 

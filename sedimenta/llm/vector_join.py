@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage
-from .components import connected_components
+from .components import connected_components, unite
 
 FINITE = "size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
 
@@ -63,14 +63,6 @@ def _assign(pivots: dict, radius: float):
     return run
 
 
-def _roots(parent: np.ndarray) -> np.ndarray:
-    while True:
-        up = parent[parent]
-        if (up == parent).all():
-            return parent
-        parent = up
-
-
 def _join(threshold: float):
     """Links of one cell, or of a pair of its blocks: counts for rows at home, a forest for all."""
 
@@ -91,13 +83,7 @@ def _join(threshold: float):
                 links[right] += copies[rows] @ hit
             i, j = np.nonzero(hit)
             i, j = rows[i], right[j]
-            while len(i):
-                parent = _roots(parent)
-                a, b = parent[i], parent[j]
-                apart = a != b
-                i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-                np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-        parent = _roots(parent)
+            parent = unite(parent, i, j)
         keep = (links > 0) | (parent != np.arange(len(x)))
         return pa.table({"rep": rep[keep], "links": np.where(home, links, 0)[keep], "root": rep[parent][keep]})
 
