@@ -48,3 +48,16 @@ def in_blocks(docs: DataFrame, block_bytes: int, *columns: str) -> tuple[DataFra
     blocks = max(1, -(-text_bytes(docs) // block_bytes))
     rows = docs.select(F.col("doc_id").cast("long"), "text", *columns, F.monotonically_increasing_id().alias("row"))
     return rows.withColumn("block", F.expr(f"cast(pmod(xxhash64(row), {blocks}) as int)")), blocks
+
+
+def in_runs(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """doc_id and text of documents in blocks of consecutive scanned rows, of about block_bytes of text; and how many blocks.
+
+    A pass over the scan sees whole blocks without a shuffle.
+    """
+    total, n = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    run = max(1, int(block_bytes * n / max(total or 0, 1)))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row"))
+    # a row number is its partition above 33 bits and its place in the partition below
+    block = F.expr(f"shiftleft(shiftright(row, 33), 33) + cast((row & {(1 << 33) - 1}L) div {run} as bigint)")
+    return rows.withColumn("block", block).drop("row"), max(1, -(-(total or 0) // block_bytes))
