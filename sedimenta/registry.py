@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from .functions import html, urls
+from .operators import corpus
+
 FLAGSHIP = "u01_normalize_url"
-MODULES: tuple = ()
+MODULES = (urls, html, corpus)
 
 
 def queries() -> dict[str, Callable]:
