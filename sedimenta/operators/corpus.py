@@ -9,7 +9,7 @@ from ..session import table
 
 #: Placeholder texts that make an item low in information, fixed values.
 PLACEHOLDERS = ["暂无", "未知", "未提供", "无", "空", "n/a", "none", "null"]
-_LOW = " OR ".join(["t IS NULL", "length(trim(t)) < 12", *(f"{{contains}}(lower(t), '{p}')" for p in PLACEHOLDERS)])
+LOW_INFO = " OR ".join(["t IS NULL", "length(trim(t)) < 12", *(f"{{contains}}(lower(t), '{p}')" for p in PLACEHOLDERS)])
 
 
 def content_hash(text: str = "text"):
@@ -44,7 +44,7 @@ def a04_quality_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.count("*")
     return docs.groupBy("lang").agg(
         n.alias("items"),
-        F.round(F.count_if(F.expr(_LOW.format(contains="contains"))) / n, 4).alias("low_info_rate"),
+        F.round(F.count_if(F.expr(LOW_INFO.format(contains="contains"))) / n, 4).alias("low_info_rate"),
         F.round(F.count_if(F.expr("length(t) < 30")) / n, 4).alias("indexable_fail_rate"),
         F.round((n - F.count_distinct("t")) / n, 4).alias("duplicate_rate"),
     )
@@ -122,7 +122,7 @@ ORACLES = {
     "d03_fingerprint": r"SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{3,}')[1:200], ' ') AS fingerprint FROM documents",
     "d04_exact_content": f"""WITH d AS (SELECT doc_id, {_HASH_SQL} AS h FROM documents), f AS (SELECT *, min(doc_id) OVER (PARTITION BY h) AS first_doc_id, count(*) OVER (PARTITION BY h) AS copies FROM d)
       SELECT doc_id, first_doc_id, copies, doc_id <> first_doc_id AS is_duplicate FROM f""",
-    "a04_quality_rates": f"""SELECT lang, count(*) AS items, round(count(*) FILTER ({_LOW.format(contains="contains")}) / count(*), 4) AS low_info_rate,
+    "a04_quality_rates": f"""SELECT lang, count(*) AS items, round(count(*) FILTER ({LOW_INFO.format(contains="contains")}) / count(*), 4) AS low_info_rate,
       round(count(*) FILTER (length(t) < 30) / count(*), 4) AS indexable_fail_rate, round((count(*) - count(DISTINCT t)) / count(*), 4) AS duplicate_rate FROM (SELECT lang, text AS t FROM documents) GROUP BY lang""",
     "a05_grain_report": "SELECT lang, source, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, max(n_chars) AS longest FROM documents GROUP BY ROLLUP (lang, source)",
     "a08_label_rates": "SELECT lang, count(*) AS labelled, round(avg(quality), 4) AS quality_rate, round(avg(toxic), 4) AS toxic_rate FROM documents JOIN labels USING (doc_id) GROUP BY lang",

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .functions import html, urls
-from .operators import corpus
+from .operators import corpus, signals
 
 FLAGSHIP = "u01_normalize_url"
-MODULES = (urls, html, corpus)
+MODULES = (urls, html, corpus, signals)
 
 
 def queries() -> dict[str, Callable]:
