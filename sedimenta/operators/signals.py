@@ -104,6 +104,31 @@ def t06_session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n", "largest")
 
 
+def u08_content_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page title in a-z, 0-9 and single _, of 30 characters at most; null if under 5 are left."""
+    title = F.lower(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
+    slug = F.btrim(F.regexp_replace(F.regexp_replace(title, "[^a-z0-9_]", "_"), "_+", "_"), F.lit("_"))
+    return table(spark, sf_dir, "pages").select("page_id", F.when(F.length(slug) >= 5, F.substring(slug, 1, 30)).alias("slug"))
+
+
+def a22_store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of each label and in all; the total's row has is_total."""
+    counts = table(spark, sf_dir, "embeddings").rollup("label").agg(F.count("*").alias("vectors"), F.grouping("label").alias("g"))
+    return counts.select("label", "vectors", (F.col("g") == 1).alias("is_total"))
+
+
+def s18_date_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+
+
+def k12_retention(spark: SparkSession, sf_dir: str, days: int = 15) -> DataFrame:
+    """Events of the last `days` days, counted back from the newest one."""
+    events = table(spark, sf_dir, "events")
+    newest = events.agg(F.max("ts").alias("newest"))  # one row
+    kept = events.join(F.broadcast(newest), F.expr(f"ts >= newest - interval {days} days"))
+    return kept.select("event_id", "user_id", "event_type")
+
+
 _COUNTS_SQL = ", ".join(
     "CAST(" + " + ".join(f"(length(text) - length(replace(text, '{w}', ''))) // {len(w)}" for w in words) + f" AS BIGINT) AS {k}" for k, words in SIGNALS.items()
 )
@@ -117,7 +142,8 @@ _BUCKET_SQL = "time_bucket(INTERVAL 3 HOURS, ts, TIMESTAMP '1970-01-01')"
 QUERIES = {
     q.__name__: q
     for q in (a01_type_counts, a06_corpus_summary, a09_keyword_signals, e15_sentence_candidates, h08_is_html, h27_outline_text, h33_strip_images, p13_low_info,
-              p17_url_lines, w05_keep_last, x03_url_union, t06_sliding_windows, t06_session_windows)
+              p17_url_lines, w05_keep_last, x03_url_union, t06_sliding_windows, t06_session_windows,
+              u08_content_slug, a22_store_stats, s18_date_listing, k12_retention)
 }
 ORACLES = {
     "a01_type_counts": "SELECT source, count(*) AS docs FROM documents GROUP BY source",
@@ -142,4 +168,9 @@ ORACLES = {
     "t06_session_windows": """WITH p AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
       s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 2 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM p)
       SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n, max(value) AS largest FROM s GROUP BY user_id, session""",
+    "u08_content_slug": r"""WITH s AS (SELECT page_id, trim(regexp_replace(regexp_replace(lower(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '[^a-z0-9_]', '_', 'g'), '_+', '_', 'g'), '_') AS s FROM pages)
+      SELECT page_id, CASE WHEN length(s) >= 5 THEN s[1:30] END AS slug FROM s""",
+    "a22_store_stats": "SELECT label, count(*) AS vectors, grouping(label) = 1 AS is_total FROM embeddings GROUP BY ROLLUP (label)",
+    "s18_date_listing": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1",
+    "k12_retention": "SELECT event_id, user_id, event_type FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 15 DAYS",
 }

@@ -30,6 +30,8 @@ def folder(tmp_path_factory):
     con.execute(f"COPY pages TO '{at}/pages.parquet'")
     con.execute("CREATE TABLE events AS SELECT * FROM (VALUES (1, TIMESTAMP '2024-01-01 00:00:00', 5, 'a', 1.0::DOUBLE), (2, TIMESTAMP '2024-01-01 00:00:00', 5, 'b', NULL), (3, TIMESTAMP '2024-01-01 02:30:00', 5, 'a', 2.0)) t(event_id, ts, user_id, event_type, value)")
     con.execute(f"COPY events TO '{at}/events.parquet'")
+    con.execute("CREATE TABLE embeddings AS SELECT * FROM (VALUES (1, 2), (2, NULL), (3, 2)) t(vec_id, label)")
+    con.execute(f"COPY embeddings TO '{at}/embeddings.parquet'")
     return str(at)
 
 
