@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .functions import html, urls
-from .operators import corpus, signals
+from .operators import caches, chunking, corpus, extraction, retrieval, signals
+from .operators import structure
+from .sources import artifacts
+from .streaming import dedup
 
 FLAGSHIP = "u01_normalize_url"
-MODULES = (urls, html, corpus, signals)
+MODULES = (urls, html, corpus, signals, retrieval, caches, extraction, chunking, dedup, structure, artifacts)
 
 
 def queries() -> dict[str, Callable]:
