@@ -186,6 +186,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 1024, end
     groups = max(1, -(-text_bytes(docs) // group_bytes))
     key = row_key()
     rows = docs.select(F.col("doc_id").cast("long"), "text", key.alias("key"))
-    parts = rows.mapInArrow(_tokenize(tokenizer_path, end_id, window), "doc_id long, key long, start long, doc_tokens long, ids binary")
+    parts = rows.mapInArrow(kernels.giving_back(_tokenize(tokenizer_path, end_id, window)), "doc_id long, key long, start long, doc_tokens long, ids binary")
     spread = parts.withColumn("pack_group", F.pmod(F.xxhash64("key", "start"), F.lit(groups)))
-    return spread.groupBy("pack_group").applyInArrow(_pack(window), PIECES)
+    return spread.groupBy("pack_group").applyInArrow(kernels.giving_back(_pack(window)), PIECES)

@@ -16,6 +16,7 @@ suffix array), and only those whose gram occurs again anywhere:
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +27,13 @@ from pyspark.sql import functions as F
 
 from . import kernels
 from .common import cut_lineage, in_blocks
-from .kernels import U8, mix
+from .kernels import U8, giving_back, mix
 
 GRAM = 24
 SHALLOW = 40
 LAST = (1 << 63) - 1
 CONTEXTS = "anchor long, context binary, ahead int, behind int, doc_id long, row long, position long, block int"
+CONTEXT_TYPES = pa.schema([(x.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]]) for x in CONTEXTS.split(", ")])
 SPANS = "block int, row long, start long, stop long"
 
 
@@ -131,7 +133,7 @@ def _contexts(length: int):
     """Contexts of repeated anchors, each distinct one with its first occurrence in the block; spans of the others."""
 
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        parts: list[tuple] = []
+        parts: list[pa.Table] = []
         if docs.num_rows:
             texts = _texts(docs)
             ids = [LAST if x is None else x for x in docs.column("doc_id").to_pylist()]
@@ -141,27 +143,45 @@ def _contexts(length: int):
             every = [code for _, code, *_ in _anchored(texts, length)]
             keys, count = np.unique(np.concatenate([np.zeros(0, U8), *every]), return_counts=True)
             wanted = np.union1d(keys[count > 1], elsewhere)
-            seen: dict[tuple, tuple] = {}
+            seen: set[bytes] = set()
+            text, ends, numbers = bytearray(), array("q"), array("q")
             spans: list[tuple[int, int, int]] = []
             for raw, code, place, lo, hi, doc, shift in _anchored([texts[i] for i in order], length):
                 data = raw.tobytes()
                 at = np.flatnonzero(np.isin(code, wanted))
                 for a, p, s, e, d, move in zip(code[at].view(np.int64).tolist(), place[at].tolist(), lo[at].tolist(), hi[at].tolist(), order[doc[at]].tolist(), shift[at].tolist(), strict=True):
-                    key = (a, p - s, data[s : e + length])
+                    context = data[s : e + length]
+                    key = xxhash.xxh3_128_digest(context, seed=p - s)  # the anchor follows from the context and its offset
                     if key in seen:
                         spans.append((int(rows[d]), s + move, e + length + move))
                     else:
-                        seen[key] = (p - e, ids[d], int(rows[d]), p + move)
-            parts = [(a, text, ahead, *rest, block) for (a, ahead, text), rest in seen.items()]
-            for row, start, stop in _merged(spans):
-                parts.append((None, None, None, None, stop, row, start, block))
-        columns = list(zip(*parts, strict=True)) or [[]] * 8
-        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in CONTEXTS.split(", ")])
+                        seen.add(key)
+                        text += context
+                        ends.append(len(text))
+                        numbers.extend((a, p - s, p - e, ids[d], int(rows[d]), p + move))
+            parts = [_context_rows(text, ends, numbers, block), _span_rows(_merged(spans), block)]
+        return pa.concat_tables([pa.Table.from_batches([], CONTEXT_TYPES), *parts])
 
     return run
 
 
+def _context_rows(text: bytearray, ends: array, numbers: array, block: int) -> pa.Table:
+    n = len(ends)
+    values = np.frombuffer(numbers, np.int64).reshape(n, 6) if n else np.zeros((0, 6), np.int64)
+    at = pa.py_buffer(np.r_[0, np.array(ends, np.int64)].astype(np.int32))
+    contexts = pa.BinaryArray.from_buffers(pa.binary(), n, [None, at, pa.py_buffer(text)])
+    anchor, ahead, behind, doc, row, place = (pa.array(np.ascontiguousarray(values[:, k])) for k in range(6))
+    small = pa.int32()
+    return pa.table([anchor, contexts, ahead.cast(small), behind.cast(small), doc, row, place, pa.array(np.full(n, block, np.int32))], CONTEXT_TYPES)
+
+
+def _span_rows(spans: list[tuple[int, int, int]], block: int) -> pa.Table:
+    """Spans that a block settled itself: no anchor, start as position, stop as doc_id."""
+    row, start, stop = (pa.array(c, pa.int64()) for c in (zip(*spans, strict=True) if spans else ((), (), ())))
+    none = [pa.nulls(len(row), CONTEXT_TYPES.field(k).type) for k in range(4)]
+    return pa.table([*none, stop, row, start, pa.array(np.full(len(row), block, np.int32))], CONTEXT_TYPES)
+
+
 def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of the same row that touch, as one."""
     out: list[tuple[int, int, int]] = []
@@ -382,9 +402,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, columns: tuple[str, ...]
     """
     blocked, blocks = in_blocks(docs, block_bytes, *columns)
     buckets = max(1, blocks // 4)
-    asked = blocked.select("doc_id", "text", "row", "block").groupBy("block").applyInArrow(_ask(length, buckets), "bucket int, block int, keys binary")
-    replies = cut_lineage(asked.groupBy("bucket").applyInArrow(_reply, "block int, keys binary"), "replies")
-    found = blocked.select("doc_id", "text", "row", "block").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_contexts(length), CONTEXTS)
+    asked = blocked.select("doc_id", "text", "row", "block").groupBy("block").applyInArrow(giving_back(_ask(length, buckets)), "bucket int, block int, keys binary")
+    replies = cut_lineage(asked.groupBy("bucket").applyInArrow(giving_back(_reply), "block int, keys binary"), "replies")
+    found = blocked.select("doc_id", "text", "row", "block").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(giving_back(_contexts(length)), CONTEXTS)
     found = cut_lineage(found, "contexts")
     spans = found.where("anchor is null").select("block", "row", F.col("position").alias("start"), F.col("doc_id").alias("stop"))
 
@@ -393,11 +413,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, columns: tuple[str, ...]
     crowded = cut_lineage(crowded, "crowded")
     ranges = max(1, blocks)
     calm = contexts.join(crowded, "anchor", "left_anti").withColumn("part", F.expr(f"pmod(xxhash64(anchor), {ranges})"))
-    settled = calm.groupBy("part").applyInArrow(_settle(length), SPANS)
-    windows = contexts.join(crowded, "anchor", "left_semi").mapInArrow(_windows(length), "digest binary, doc_id long, row long, start long, block int")
+    settled = calm.groupBy("part").applyInArrow(giving_back(_settle(length)), SPANS)
+    windows = contexts.join(crowded, "anchor", "left_semi").mapInArrow(giving_back(_windows(length)), "digest binary, doc_id long, row long, start long, block int")
     first = windows.groupBy("digest").agg(F.min(F.struct("doc_id", "row", "start")).alias("first"))
     later = windows.join(first, "digest").where(F.struct("doc_id", "row", "start") != F.col("first"))
     spans = spans.union(settled).union(later.select("block", "row", "start", (F.col("start") + length).alias("stop")))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocked.select("doc_id", *columns).schema)
-    return blocked.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_cut(["doc_id", *columns], with_text), f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>, text string")
+    return blocked.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(giving_back(_cut(["doc_id", *columns], with_text)), f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>, text string")
