@@ -7,8 +7,9 @@ with the probability Jaccard similarity of their weights. Bands of slots propose
 exact probability Jaccard of whole texts decides.
 
 Texts of equal words are one class from the start. Members of a bucket whose signatures come near
-that of its smallest member form families; each family is compared text by text inside tasks, in
-blocks if it is large, and only a spanning forest of its links comes out.
+form families: first those near its smallest member, then, in buckets that still hold several
+families, those near any other member, in blocks inside tasks. Each family is compared text by text
+inside tasks, in blocks if it is large, and only a spanning forest of its links comes out.
 """
 
 from __future__ import annotations
@@ -165,6 +166,33 @@ def _near(least: float):
     return run
 
 
+def _settle(least: float, rows: int = 256):
+    """Links that make one family of those with members near each other in a bucket, left members against all."""
+
+    def run(t: pa.Table) -> pa.Table:
+        bucket, family, left = (np.array(t.column(c)) for c in ("bucket", "family", "is_left"))
+        marks = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.uint8).reshape(len(bucket), -1)
+        order = np.lexsort((left, bucket))
+        bucket, left, marks = bucket[order], left[order], np.ascontiguousarray(marks[order].T)
+        ids, of = np.unique(family[order], return_inverse=True)
+        parent, enough = np.arange(len(ids)), math.ceil(least * len(marks) - 1e-9)
+        ends = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            mid = lo + int((~left[lo:hi]).sum())
+            for at in range(mid, hi, rows):
+                own = slice(at, min(at + rows, hi))
+                same = np.zeros((own.stop - at, mid - lo), np.min_scalar_type(len(marks)))
+                for slot in marks:
+                    same += slot[own, None] == slot[None, lo:mid]
+                i, j = np.nonzero(same >= enough)
+                i, j = of[at + i], of[lo + j]
+                parent = unite(parent, i[i != j], j[i != j])
+        keep = parent != np.arange(len(ids))
+        return pa.table({"a": ids[keep], "b": ids[parent][keep]})
+
+    return run
+
+
 class _Sets:
     """Weighted shingle sets of the texts of one task."""
 
@@ -249,7 +277,27 @@ def _verify(size: int, threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 24, band_rows: int = 4, block_bytes: int = 3 << 20) -> DataFrame:
+def _between_families(spokes: DataFrame, families: DataFrame, marks: DataFrame, least: float, block_rows: int) -> DataFrame:
+    """Links (a, b) of families that have members near each other in a bucket of spokes(bucket, member).
+
+    The largest family of a bucket is not compared with itself; all others are compared with all members.
+    """
+    own = cut_lineage(spokes.join(families, "member", "left").select("bucket", "member", F.coalesce("family", "member").alias("family")), "own")
+    sizes = own.groupBy("bucket", "family").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "family")).alias("most"), F.sum("n").alias("n"))
+    blocks = F.expr(f"cast(ceil((n - most.n) / {float(block_rows)}) as int)").alias("lefts"), F.expr(f"cast(ceil(n / {float(block_rows)}) as int)").alias("alls")
+    sizes = cut_lineage(sizes.where("n > most.n").select("bucket", "n", F.col("most.family").alias("most"), *blocks), "sizes")
+    bins = max(1, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // (2 * block_rows)))
+    held = own.join(sizes, "bucket").join(marks.withColumnRenamed("rep", "member"), "member")
+    place = lambda n: F.expr(f"cast(pmod(xxhash64(member), {n}) as int)")
+    spread = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    left = held.where("family != most").withColumn("is_left", F.lit(True)).withColumn("block_a", place("lefts")).withColumn("block_b", spread("alls"))
+    right = held.withColumn("is_left", F.lit(False)).withColumn("block_b", place("alls")).withColumn("block_a", spread("lefts"))
+    units = left.unionByName(right).withColumn("unit", F.expr(f"if(alls > 1, bucket, pmod(xxhash64(bucket), {bins}))"))
+    units = units.select("unit", F.expr("if(alls > 1, block_a, -1)").alias("block_a"), "block_b", "bucket", "family", "is_left", "marks")
+    return cut_lineage(units.groupBy("unit", "block_a", "block_b").applyInArrow(giving_back(_settle(least)), "a long, b long"), "between")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 24, band_rows: int = 4, block_bytes: int = 3 << 20, block_rows: int = 2048) -> DataFrame:
     """Classes of near copies among documents(doc_id, text): doc_id, component_id, kept; one row per row.
 
     Documents link when the probability Jaccard of their word shingles (weights 1 + ln count, `size`
@@ -257,7 +305,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
     the smallest doc_id reachable by links, itself included; kept marks that document. A pair at the
     threshold escapes all bands with probability (1 - threshold ** band_rows) ** bands, 3e-6 here.
 
-    block_bytes: text that a task gets, on average, from one block. Texts shorter than `size` words
+    block_bytes: text that a task gets, on average, from one block; block_rows: signatures, likewise. Texts shorter than `size` words
     are one shingle. Null texts and texts without words link with nothing. Rows that share a doc_id
     count as one document; rows with a null doc_id link with nothing and have null component_id and
     kept. Other columns are ignored; no group of any kind is capped.
@@ -271,12 +319,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, band
 
     buckets = cut_lineage(classes.select(F.explode("bands").alias("bucket"), "rep"), "buckets")
     hubs = buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
-    stars = cut_lineage(buckets.join(hubs, "bucket").where("rep != hub").select("hub", F.col("rep").alias("member")).distinct(), "stars")
+    spokes = cut_lineage(buckets.join(hubs, "bucket").where("rep != hub").select("bucket", "hub", F.col("rep").alias("member")), "spokes")
+    stars = cut_lineage(spokes.select("hub", "member").distinct(), "stars")
     marks = classes.select("rep", "marks")
     signs = stars.join(marks.select(F.col("rep").alias("member"), "marks"), "member").join(marks.select(F.col("rep").alias("hub"), F.col("marks").alias("hub_marks")), "hub")
     least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / slots)
     near = signs.mapInArrow(giving_back(_near(least)), "hub long, member long")
     families = connected_components(near, "hub", "member").select(F.col("node").alias("member"), F.col("component").alias("family"))
+    more = _between_families(spokes, families, marks, least, block_rows)
+    if more.first():
+        every = families.select(F.col("member").alias("a"), F.col("family").alias("b")).union(more)
+        families = connected_components(every, "a", "b").select(F.col("node").alias("member"), F.col("component").alias("family"))
 
     sized = families.join(classes.select(F.col("rep").alias("member"), "n_bytes"), "member")
     blocks = sized.groupBy("family").agg(F.sum("n_bytes").alias("all_bytes"))

@@ -76,6 +76,31 @@ def test_classes_match_brute_force(spark):
         assert got == sorted(brute(rows), key=str)
 
 
+def test_pairs_far_from_their_hubs(spark):
+    rng = np.random.default_rng(3)
+    # each of 50 passages has two wordings: thousands of texts are alike in part, and some smaller id shares nearly every bucket
+    choice = rng.integers(2, size=(2000, 50))
+    copies = choice[1000::10].copy()
+    for row in copies:
+        row[rng.choice(50, 2, replace=False)] ^= 1
+    choice = np.r_[choice, copies]
+    texts = [" ".join(f"p{k}v{v}w{i}" for k, v in enumerate(row) for i in range(20)) for row in choice.tolist()]
+    column, at = {}, []
+    for i, t in enumerate(texts):
+        at += [(i, column.setdefault(x, len(column))) for x in sets(t)]
+    x = np.zeros((len(texts), len(column)), np.float32)  # no shingle repeats in a text: similarity is that of plain sets
+    x[tuple(np.array(at).T)] = 1
+    both, n = x @ x.T, x.sum(axis=1)
+    alike = both / (n[:, None] + n[None, :] - both) >= 0.8
+    want = np.arange(len(texts))
+    while (want != (least := np.where(alike, want[None, :], len(want)).min(axis=1))).any():
+        want = least
+    assert (want[2000:] < 2000).all()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, block_rows=50).collect()}
+    assert sum(got[i] != c for i, c in enumerate(want.tolist())) == 0
+
+
 def test_probability_jaccard_and_its_estimate():
     rng = np.random.default_rng(1)
     codes = np.sort(rng.integers(1 << 62, size=300, dtype=np.uint64))
