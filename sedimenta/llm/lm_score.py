@@ -1,13 +1,13 @@
-"""LM scoring with a log-frequency Bloom filter of n-gram counts.
+"""LM scoring with n-gram counts.
 
-Word counts are exact: blocks (runs of scanned rows) ask for the counts of their words, hash ranges reply. Pair
-counts are summed by hash range (48-bit keys), quantised on a log scale and put in a Bloom filter of fixed size: a
-pair of level q is stored q times, as (pair, 1) ... (pair, q). Each hash range fills a segment of its
-own; the whole filter is broadcast, and a count is read by probing levels until one is missing.
+Counts of words and of pairs (48-bit keys) are exact at every size of the corpus: blocks (runs of scanned rows)
+ask for the counts of their keys, hash ranges sum what all blocks have and reply. No counts are broadcast.
 
-P(w | h) = (count(h w) + k P(w)) / (count(h) + k), where P(w) is the smoothed share of w. Stored pair
-counts are lower bounds, so that the probabilities of all words after h sum to 1 at most but for the
-filter's false positives.
+P(w | h) = (count(h w) + k P(w)) / (count(h) + k), where P(w) is the smoothed share of w, so that the
+probabilities of all words after h sum to 1.
+
+LogFrequencyFilter, a Bloom filter of quantised counts, is no part of scoring: a filter of fixed size drops the
+rarer pairs of a large corpus.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from .quality import is_fold
 END = U8(0x5851F42D4C957F2D)
 #: Probes of one level: a false positive in 2**12 at most.
 PROBES = 12
+#: Bytes of a pair's key that are zero.
+PAIR_LOW = 2
 ASKED = "bucket int, block long, keys binary, counts binary"
 REPLIED = "bucket int, block long, checksum long, counts binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -98,49 +100,18 @@ def _asking(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "block", "keys", "counts"])
 
 
-def _ask_words(buckets: int):
-    """The words of each block with their training counts, a row for each hash range."""
+def _ask(buckets: int, ranges: int):
+    """The words of each block with their training counts, a row for each of `buckets` hash ranges; and its pairs, in `ranges` more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, texts, learn in _whole_blocks(batches):
             key, doc = tokens(texts)
-            keys, of = np.unique(key, return_inverse=True)
-            counts = np.bincount(of, weights=learn[doc], minlength=len(keys))
-            yield _asking([(b, block, _planes(keys[part]), _planes(counts[part])) for b, part in kernels.by_range(keys, buckets)])
-
-    return run
-
-
-def _ask_pairs(segments: int, most: int = 3_000_000):
-    """Pairs of the training documents with their counts, summed over the blocks of a task; `most` pairs are held at once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, new = [], [], 0
-
-        def sums() -> tuple[np.ndarray, np.ndarray]:
-            every, of = np.unique(np.concatenate(keys), return_inverse=True)
-            return every, np.bincount(of, weights=np.concatenate(counts), minlength=len(every)).astype("<i8")
-
-        def rows() -> pa.RecordBatch:
-            return _asking([(b, 0, _planes(keys[0][part], 2), _planes(counts[0][part])) for b, part in kernels.by_range(keys[0], segments)])
-
-        for _, texts, learn in _whole_blocks(batches):
-            key, doc = tokens(texts)
-            own, n = np.unique(pairs(key, doc)[1][learn[doc]], return_counts=True)
-            keys.append(own)
-            counts.append(n)
-            new += len(own)
-            if new > most // 3:
-                every, n = sums()
-                keys, counts, new = [every], [n], 0
-                if len(every) > most:
-                    yield rows()
-                    keys, counts = [], []
-        if keys:
-            every, n = sums()
-            keys, counts = [every], [n]
-            if len(every):
-                yield rows()
+            both, learned = pairs(key, doc)[1], learn[doc]
+            for own, first, n, low in ((key, 0, buckets, 0), (both, buckets, ranges, PAIR_LOW)):
+                keys, of = np.unique(own, return_inverse=True)
+                counts = np.bincount(of, weights=learned, minlength=len(keys))
+                for b, part in kernels.by_range(keys, n):
+                    yield _asking([(first + b, block, _planes(keys[part], low), _planes(counts[part]))])
 
     return run
 
@@ -152,19 +123,25 @@ def _summed(t: pa.Table, low: int) -> tuple[list[np.ndarray], np.ndarray, np.nda
     return keys, every, np.bincount(of, weights=counts, minlength=len(every)).astype("<i8")
 
 
-def _count(t: pa.Table) -> pa.Table:
-    """Counts of each block's words of a hash range in all training documents, in the order of the keys, whose checksum
+def _count(buckets: int):
+    """Counts of each block's keys of a hash range in all training documents, in the order of the keys, whose checksum
     stands for them; block -1 has how many tokens and words there are."""
-    keys, every, total = _summed(t, 0)
-    bucket = t.column("bucket")[0].as_py()
-    replies = [(bucket, b, zlib.crc32(k), _planes(total[np.searchsorted(every, k)])) for b, k in zip(t.column("block").to_pylist(), keys, strict=True)]
-    replies.append((bucket, -1, 0, np.array([total.sum(), (total > 0).sum()], "<i8").tobytes()))
-    return pa.table([pa.array(c, k) for c, k in zip(zip(*replies, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "block", "checksum", "counts"])
+
+    def run(t: pa.Table) -> pa.Table:
+        bucket = t.column("bucket")[0].as_py()
+        keys, every, total = _summed(t, 0 if bucket < buckets else PAIR_LOW)
+        replies = [(bucket, b, zlib.crc32(k), _planes(total[np.searchsorted(every, k)])) for b, k in zip(t.column("block").to_pylist(), keys, strict=True)]
+        if bucket < buckets:
+            replies.append((bucket, -1, 0, np.array([total.sum(), (total > 0).sum()], "<i8").tobytes()))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*replies, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "block", "checksum", "counts"])
+
+    return run
 
 
-def _counts_of(keys: np.ndarray, buckets: int, replies: pa.Table) -> np.ndarray:
-    """The training counts of a block's sorted keys."""
-    got = dict(zip(replies.column("bucket").to_pylist(), zip(replies.column("checksum").to_pylist(), replies.column("counts").to_pylist(), strict=True), strict=True))
+def _counts_of(keys: np.ndarray, first: int, buckets: int, replies: pa.Table) -> np.ndarray:
+    """The training counts of a block's sorted keys, from the replies of `buckets` hash ranges from `first` on."""
+    rows = zip(*(replies.column(c).to_pylist() for c in ("bucket", "checksum", "counts")), strict=True)
+    got = {b - first: (checksum, counts) for b, checksum, counts in rows if first <= b < first + buckets}
     out = np.zeros(len(keys), np.int64)
     for b, part in kernels.by_range(keys, buckets):
         checksum, counts = got.pop(b, (None, b""))
@@ -172,7 +149,7 @@ def _counts_of(keys: np.ndarray, buckets: int, replies: pa.Table) -> np.ndarray:
             raise RuntimeError("a block holds other rows than when it asked for counts")
         out[part] = _values(counts, kind="<i8")
     if got:
-        raise RuntimeError("a block holds fewer words than when it asked for counts")
+        raise RuntimeError("a block holds fewer keys than when it asked for counts")
     return out
 
 
@@ -226,31 +203,19 @@ class LogFrequencyFilter:
         return np.where(level > 0, np.ceil(self.least[part] * self.base ** (level - 1.0) - 1e-6), 0)
 
 
-def _fill(size: int, base: float):
-    def run(t: pa.Table) -> pa.Table:
-        _, every, total = _summed(t, 2)
-        bits, least = LogFrequencyFilter.segment(every, total, size, base)
-        return pa.table({"segment": pa.array([t.column("bucket")[0].as_py()], pa.int32()), "least": pa.array([least], pa.int64()), "bits": pa.array([bits], pa.binary())})
-
-    return run
-
-
-def _score(model, buckets: int, n: int, v: int, weight: float):
+def _score(buckets: int, ranges: int, n: int, v: int, weight: float):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table([pa.array([], k) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=[c.split()[0] for c in SCORES.split(", ")])
-        bits, least, base = model.value
-        stored = LogFrequencyFilter(bits, least, base)
         key, doc = tokens([t or "" for t in docs.column("text").to_pylist()])
         words, of = np.unique(key, return_inverse=True)
-        counts = _counts_of(words, buckets, replies)
+        counts = _counts_of(words, 0, buckets, replies)
         before, both = pairs(key, doc)
         count = counts[of]
         context = counts[np.searchsorted(words, before)]
         share = (count + 0.5) / (n + 0.5 * (v + 1))
-        seen = np.zeros(len(key))
-        known = (count > 0) & (context > 0)
-        seen[known] = np.minimum(stored.count(both[known]), np.minimum(count, context)[known])
+        pair, which = np.unique(both, return_inverse=True)
+        seen = np.minimum(_counts_of(pair, buckets, ranges, replies)[which], np.minimum(count, context))
         likely = (seen + weight * share) / (context + weight)
         per = lambda x: np.bincount(doc, weights=x, minlength=docs.num_rows)
         return pa.table({
@@ -272,23 +237,16 @@ def score_documents(docs: DataFrame, held_out_fold: int = 1, filter_bits: int =
     Returns doc_id, held_out, n_tokens, n_known (tokens seen in training), train_tokens, base_score
     (log10 by word shares alone) and score (log10 by pairs).
 
-    filter_bits: size of the broadcast filter, whatever the corpus; where pairs outgrow it, each segment
-    keeps those of the least count that fits. Null and empty texts have the end alone. A null doc_id is in
+    filter_bits and base have no effect: counts of pairs are exact, whatever the corpus. Null and empty texts have the end alone. A null doc_id is in
     training. Rows stay one for one; other columns are ignored. Words are told apart by 64-bit hashes.
     """
-    spark = docs.sparkSession
     rows, blocks = in_runs(docs, block_bytes)
     blocked = rows.withColumn("held_out", is_fold(F.col("doc_id"), held_out_fold))
-    segments = 1 << max(0, min(16, (blocks).bit_length()))
-    size, buckets = filter_bits // segments, max(1, blocks // 4)
-    asked = blocked.mapInArrow(_ask_words(buckets), ASKED)
-    counts = cut_lineage(asked.groupBy("bucket").applyInArrow(_count, REPLIED), "counts")
+    buckets, ranges = max(1, blocks // 4), blocks
+    asked = blocked.mapInArrow(kernels.giving_back(_ask(buckets, ranges)), ASKED)
+    counts = cut_lineage(asked.groupBy("bucket").applyInArrow(kernels.giving_back(_count(buckets)), REPLIED), "counts")
     sums = [np.frombuffer(r.counts, "<i8") for r in counts.where("block = -1").select("counts").toLocalIterator()]
     n, v = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
-    bits, least = np.zeros(segments * size // 8, np.uint8), np.ones(segments, np.int64)
-    for r in blocked.mapInArrow(_ask_pairs(segments), ASKED).groupBy("bucket").applyInArrow(_fill(size, base), "segment int, least long, bits binary").collect():
-        bits[r.segment * size // 8 : (r.segment + 1) * size // 8] = np.frombuffer(r.bits, np.uint8)
-        least[r.segment] = r.least
-    model = spark.sparkContext.broadcast((bits, least, base))
-    scored = blocked.groupBy("block").cogroup(counts.where("block >= 0").groupBy("block")).applyInArrow(_score(model, buckets, n, v, weight), SCORES)
+    score = kernels.giving_back(_score(buckets, ranges, n, v, weight))
+    scored = blocked.groupBy("block").cogroup(counts.where("block >= 0").groupBy("block")).applyInArrow(score, SCORES)
     return scored.withColumn("train_tokens", F.lit(n).cast("long"))

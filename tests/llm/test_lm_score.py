@@ -37,6 +37,22 @@ def test_base_scores(spark, block_bytes):
     assert lm_score.score_documents(df.limit(0), filter_bits=1 << 20).count() == 0
 
 
+def test_every_pair_counts(spark):
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 90}" for k in range(i % 40))) for i in range(150)] + [(None, "a b a"), (8, "")]
+    held = [d is not None and zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in rows]
+    text = [[None, *t.split(), None] for _, t in rows]
+    word = Counter(w for t, h in zip(text, held, strict=True) if not h for w in t[1:])
+    pair = Counter(p for t, h in zip(text, held, strict=True) if not h for p in zip(t, t[1:], strict=False))
+    n, v = sum(word.values()), len(word)
+    share = lambda w: (word[w] + 0.5) / (n + 0.5 * (v + 1))
+    want = [(str(d), sum(math.log10((pair[a, b] + 500 * share(b)) / (word[a] + 500)) for a, b in zip(t, t[1:], strict=False))) for (d, _), t in zip(rows, text, strict=True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block_bytes in (4 << 20, 2000):  # the filter that these bits allow cannot hold all pairs
+        got = lm_score.score_documents(df, filter_bits=1 << 10, block_bytes=block_bytes).collect()
+        for a, b in zip(sorted((str(r.doc_id), r.score) for r in got), sorted(want), strict=True):
+            assert a[0] == b[0] and a[1] == pytest.approx(b[1], rel=1e-9, abs=1e-9)
+
+
 def test_query_beats_word_shares(spark):
     sf = "/root/testdata/sf0.01"
     out = queries.op4_lm_score(spark, sf).collect()
