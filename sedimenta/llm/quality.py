@@ -7,6 +7,7 @@ of the training scores is the threshold; scores are shifted so that it lies at `
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -44,7 +45,7 @@ def _distinct(doc: np.ndarray, key: np.ndarray, docs: int) -> np.ndarray:
 
 
 def _per_doc(parts: list[bytes], of: np.ndarray, docs: int) -> np.ndarray:
-    """Sums that features are made of, of documents cut into parts at line ends or spaces."""
+    """Sums that features are made of; distinct words, lines and distinct lines are right only of documents in one part."""
     raw = np.frombuffer(b"".join(parts), dtype=np.uint8)
     if not len(raw):
         return np.zeros((docs, _N + 6))
@@ -53,9 +54,10 @@ def _per_doc(parts: list[bytes], of: np.ndarray, docs: int) -> np.ndarray:
     doc = np.repeat(of, sizes)
     kind = _CLASS[raw]
     counts = np.bincount(doc * _N + kind, minlength=docs * _N).reshape(docs, _N)
-    same = np.r_[False, raw[1:] == raw[:-1]]
+    inside = doc[1:] == doc[:-1]
+    same = np.r_[False, inside & (raw[1:] == raw[:-1])]
     again = np.bincount(doc[same & _SYMBOLS[raw]], minlength=docs)
-    caps = np.bincount(doc[np.r_[False, (kind[1:] == 1) & (kind[:-1] == 1)]], minlength=docs)
+    caps = np.bincount(doc[np.r_[False, inside & (kind[1:] == 1) & (kind[:-1] == 1)]], minlength=docs)
     key, word_at, part = kernels.words(raw, starts)
     word_doc = of[part]
     n_words = np.bincount(word_doc, minlength=docs)
@@ -68,6 +70,32 @@ def _per_doc(parts: list[bytes], of: np.ndarray, docs: int) -> np.ndarray:
     return np.column_stack(sums).astype(float)
 
 
+def _of_long(text: str) -> np.ndarray:
+    """The sums of one text read part by part; what is distinct is kept as hashes over all parts."""
+    sums, seen, new, held = np.zeros(_N + 6), np.zeros(0, kernels.U8), [], 0
+    lines, n_lines, line, open_bytes = set(), 0, hashlib.blake2b(digest_size=16), 0
+    for part in kernels.pieces_of(text, kernels.BATCH // 4):  # cut before a space: no word and no run of symbols or capitals is cut
+        raw = part.encode("utf-8", "surrogatepass")
+        if not raw:
+            continue
+        sums += _per_doc([raw], np.zeros(1, np.int64), 1)[0]
+        new.append(np.unique(kernels.words(np.frombuffer(raw, dtype=np.uint8), np.zeros(1, np.int64))[0]))
+        held += len(new[-1])
+        if held > max(len(seen), kernels.BATCH):
+            seen, new, held = np.unique(np.concatenate([seen, *new])), [], 0
+        for k, piece in enumerate(raw.split(b"\n")):
+            if k:
+                lines.add(line.digest())
+                n_lines, line, open_bytes = n_lines + 1, hashlib.blake2b(digest_size=16), 0
+            line.update(piece)
+            open_bytes += len(piece)
+    if open_bytes:
+        lines.add(line.digest())
+        n_lines += 1
+    sums[_N + 1 : _N + 4] = len(np.unique(np.concatenate([seen, *new]))), n_lines, len(lines)
+    return sums
+
+
 def features(texts: list[str]) -> np.ndarray:
     """One row of features for each text."""
     out, batch, of, held = np.zeros((len(texts), _N + 6)), [], [], 0
@@ -79,14 +107,16 @@ def features(texts: list[str]) -> np.ndarray:
             out[base : at[-1] + 1] += _per_doc(batch, at - base, at[-1] + 1 - base)
 
     for i, text in enumerate(texts):
-        for part in kernels.pieces_of(text, kernels.BATCH // 4):
-            raw = part.encode("utf-8", "surrogatepass")
-            if held and held + len(raw) > kernels.BATCH:
-                flush()
-                batch, of, held = [], [], 0
-            batch.append(raw)
-            of.append(i)
-            held += len(raw)
+        if len(text) > kernels.BATCH // 4:
+            out[i] = _of_long(text)
+            continue
+        raw = text.encode("utf-8", "surrogatepass")
+        if held and held + len(raw) > kernels.BATCH:
+            flush()
+            batch, of, held = [], [], 0
+        batch.append(raw)
+        of.append(i)
+        held += len(raw)
     flush()
     n = out[:, :_N].sum(axis=1)
     share = out[:, :_N] / np.maximum(n, 1)[:, None]

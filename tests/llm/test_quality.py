@@ -36,6 +36,15 @@ def test_features_of_cut_texts(monkeypatch):
     assert np.allclose(whole[1:3], parts[1:3])
 
 
+def test_features_do_not_depend_on_cuts(monkeypatch):
+    texts = ["Hello there.\nBIG!! 12 é\nHello there.\n" * 40, "", "AB", "B!", "!!", "no end of words " * 90, "a line of words\n\n" * 60 + "x", "AB CD!! " * 50 + "\n" * 300 + " ## " * 70]
+    whole = quality.features(texts)
+    assert np.allclose(whole, [quality.features([t])[0] for t in texts])
+    for size in (200, 1000):
+        monkeypatch.setattr(quality.kernels, "BATCH", size)
+        assert np.allclose(whole, quality.features(texts))
+
+
 def test_ranking_learns_the_order():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 3))
