@@ -12,9 +12,8 @@ import pandas as pd
 import pyarrow as pa
 
 U8 = np.uint64
-#: An odd base that is 3 modulo 8, and its inverse modulo 2**64.
+#: An odd step between the places of a span.
 BASE = 0x9E3779B97F4A7C13
-INVERSE = pow(BASE, -1, 1 << 64)
 #: Characters or bytes that a kernel handles at once; bounds its temporaries.
 BATCH = 1 << 20
 
@@ -62,28 +61,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U8(33))
 
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, BATCH + 1)
-        factors = np.full(size, base, dtype=U8)
-        factors[0] = 1
-        have = np.multiply.accumulate(factors)
-        if size == BATCH + 1:
-            _powers[base] = have
-    return have[:n]
-
-
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of values[start:end]; equal spans have equal hashes wherever they lie."""
+    """64-bit hashes of values[start:end], spans in order and apart; equal spans have equal hashes wherever they lie.
+
+    A hash is the sum of its values, each mixed with its place in the span: not a polynomial, in which
+    structured texts (Thue-Morse words) can meet.
+    """
     n = len(values)
+    place = np.arange(n) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, n]))
     prefix = np.zeros(n + 1, dtype=U8)
-    np.cumsum(mix(values.astype(U8) + U8(1)) * powers(BASE, n), out=prefix[1:])
-    raw = (prefix[ends] - prefix[starts]) * powers(INVERSE, n + 1)[starts]
-    return mix(raw + (ends - starts).astype(U8) * U8(0xD6E8FEB86659FD93))
+    np.cumsum(mix(place.astype(U8) * U8(BASE) + values.astype(U8) + U8(1)), out=prefix[1:])
+    return mix(prefix[ends] - prefix[starts] + (ends - starts).astype(U8) * U8(0xD6E8FEB86659FD93))
 
 
 def span_hashes_long(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -188,28 +176,72 @@ def pieces_of(text: str, limit: int):
     yield text[at:]
 
 
+class _Buffer:
+    """A flat array that grows at its end."""
+
+    def __init__(self, kind):
+        self.room, self.n = np.zeros(1 << 12, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.room):
+            more = np.zeros(2 * (self.n + len(values)), self.room.dtype)
+            more[: self.n] = self.room[: self.n]
+            self.room = more
+        self.room[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    @property
+    def flat(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
 class SpanTable:
-    """Values (lists of ids) by 64-bit span hash in flat sorted arrays; the entries seen first stay when it is full."""
+    """Values (lists of ids) of spans by their hash, with the spans themselves; the entries seen first stay when it is full."""
 
     def __init__(self, most: int = 1_500_000):
         self.most = most
-        self.keys, self.at, self.size, self.flat = np.zeros(0, U8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.keys, self.entry = np.zeros(0, U8), np.zeros(0, np.int64)
+        self.at, self.size, self.text_at, self.text_size = (_Buffer(np.int64) for _ in range(4))
+        self.ids, self.text = _Buffer(np.uint32), _Buffer(np.uint32)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Index of each key, or -1."""
+    def find(self, keys: np.ndarray, cp: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entry of each span, or -1; and whether its hash has an entry, be it of another span."""
         if not len(self.keys):
-            return np.full(len(keys), -1)
+            return np.full(len(keys), -1), np.zeros(len(keys), bool)
         i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[i] == keys, i, -1)
-
-    def add(self, keys: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        taken = self.keys[i] == keys
+        entry = self.entry[i]
+        same = taken & (self.text_size.flat[entry] == sizes)
+        at = np.flatnonzero(same)
+        same[at] = equal_spans(cp, starts[at], self.text.flat, self.text_at.flat[entry[at]], sizes[at])
+        return np.where(same, entry, -1), taken
+
+    def add(self, keys: np.ndarray, size: np.ndarray, ids: np.ndarray, text_size: np.ndarray, text: np.ndarray) -> None:
         if not len(keys) or len(self.keys) + len(keys) > self.most:
             return
-        at = np.r_[0, np.cumsum(size)[:-1]] + len(self.flat)
-        every = np.r_[self.keys, keys]
+        entry = np.arange(len(keys)) + self.at.n
+        for mine, n, buffer, values in ((self.at, size, self.ids, ids), (self.text_at, text_size, self.text, text)):
+            mine.add(np.r_[0, np.cumsum(n)[:-1]] + buffer.n)
+            buffer.add(values)
+        self.size.add(size)
+        self.text_size.add(text_size)
+        every, entry = np.r_[self.keys, keys], np.r_[self.entry, entry]
         order = np.argsort(every, kind="stable")
-        self.keys, self.at, self.size = every[order], np.r_[self.at, at][order], np.r_[self.size, size][order]
-        self.flat = np.r_[self.flat, flat]
+        self.keys, self.entry = every[order], entry[order]
+
+
+def equal_spans(x: np.ndarray, x_at: np.ndarray, y: np.ndarray, y_at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether x[at:at+size] and y[at:at+size] are the same, for pairs of spans of equal size."""
+    out, lo, ends = np.ones(len(size), bool), 0, np.cumsum(size)
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BATCH, side="right")))
+        n = size[lo:hi]
+        first = np.cumsum(n) - n
+        step = np.arange(int(n.sum())) - np.repeat(first, n)
+        apart = x[np.repeat(x_at[lo:hi], n) + step] != y[np.repeat(y_at[lo:hi], n) + step]
+        out[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), n)[apart], minlength=hi - lo) == 0
+        lo = hi
+    return out
 
 
 def gather(at: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
@@ -245,20 +277,28 @@ def _encode_batch(batch, encode_piece, known: SpanTable, out) -> None:
     starts = pretoken_starts(cp, doc_starts[sizes > 0])
     ends = np.r_[starts[1:], len(cp)] if len(starts) else starts
     codes, keys = pd.factorize(span_hashes(cp, starts, ends)) if len(starts) else (starts, np.zeros(0, U8))
-    found = known.find(keys)
-    new = np.flatnonzero(found < 0)
-    at, size, flat = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), known.flat
-    old = found >= 0
-    at[old], size[old] = known.at[found[old]], known.size[found[old]]
+    example = np.zeros(len(keys), np.int64)
+    example[codes[::-1]] = np.arange(len(codes))[::-1]
+    sizes_cp = ends - starts
+    same = sizes_cp == sizes_cp[example[codes]]
+    same[same] = equal_spans(cp, starts[same], cp, starts[example[codes[same]]], sizes_cp[same])
+    other = np.flatnonzero(~same)  # spans that only share a hash with the first of their code
+    codes[other] = len(keys) + np.arange(len(other))
+    example = np.r_[example, other]
+    found, taken = known.find(keys, cp, starts[example[: len(keys)]], sizes_cp[example[: len(keys)]])
+    found, taken = np.r_[found, np.full(len(other), -1)], np.r_[taken, np.ones(len(other), bool)]
+    new, old = np.flatnonzero(found < 0), found >= 0
+    at, size, flat = np.zeros(len(example), np.int64), np.zeros(len(example), np.int64), known.ids.flat
+    at[old], size[old] = known.at.flat[found[old]], known.size.flat[found[old]]
     if len(new):
-        example = np.zeros(len(keys), np.int64)
-        example[codes[::-1]] = np.arange(len(codes))[::-1]
-        ids = [encode_piece(whole[s:e]) for s, e in zip(starts[example[new]].tolist(), ends[example[new]].tolist(), strict=True)]
+        begin, end = starts[example[new]], ends[example[new]]
+        ids = [encode_piece(whole[s:e]) for s, e in zip(begin.tolist(), end.tolist(), strict=True)]
         new_size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         new_flat = np.fromiter((x for y in ids for x in y), dtype=np.uint32, count=int(new_size.sum()))
         at[new], size[new] = np.cumsum(new_size) - new_size + len(flat), new_size
         flat = np.r_[flat, new_flat]
-        known.add(keys[new], new_size, new_flat)
+        free = ~taken[new]
+        known.add(keys[new[free]], new_size[free], new_flat[np.repeat(free, new_size)], (end - begin)[free], gather(begin[free], (end - begin)[free], cp))
     ids = gather(at[codes], size[codes], flat)
     token_ends = np.r_[0, np.cumsum(size[codes])]
     bounds = token_ends[np.searchsorted(starts, np.r_[doc_starts, len(cp)])]

@@ -9,6 +9,7 @@ with cuts from the emptiest bins, so that one sequence per group is short at mos
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,12 +81,12 @@ def fill_gaps(bins: list[list[tuple[int, int, int]]], window: int) -> list[list[
 
 def _tokenize(tokenizer_path: str, end_id: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, known = _encoder(tokenizer_path)
+        encode, known, special = _encoder(tokenizer_path)
         most = PART_WINDOWS * window
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 rows = batch.slice(lo, 512)
-                ids = kernels.encode_texts([t or "" for t in rows.column("text").to_pylist()], encode, known)
+                ids = _encode(rows.column("text").to_pylist(), encode, known, special)
                 ids = [np.append(x, np.uint32(end_id)).astype("<u4") for x in ids]
                 parts = [(i, at) for i, x in enumerate(ids) for at in range(0, len(x), most)]
                 of = pa.array([i for i, _ in parts], pa.int64())
@@ -103,6 +104,25 @@ def _tokenize(tokenizer_path: str, end_id: int, window: int):
     return run
 
 
+def _encode(texts: list[str | None], encode, known, special: dict[str, int]) -> list[np.ndarray]:
+    """Ids of each text; the tokenizer's special strings inside it are their own ids, and what stands between them is encoded apart."""
+    between = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+    parts, of, cut = [], [], set()
+    for i, text in enumerate(texts):
+        own = between.split(text or "") if between and any(x in (text or "") for x in special) else [text or ""]
+        if len(own) > 1:
+            cut.add(i)
+        parts += own
+        of += [i] * len(own)
+    ids = kernels.encode_texts(["" if i in cut and p in special else p for i, p in zip(of, parts, strict=True)], encode, known)
+    if not cut:
+        return ids
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    for i, p, x in zip(of, parts, ids, strict=True):
+        out[i].append(np.array([special[p]], np.uint32) if i in cut and p in special else x)
+    return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
+
+
 def _narrow(ids: np.ndarray) -> bytes:
     """Ids as their two low bytes planes, then the two high ones: high planes are zeros, which compress away."""
     planes = ids.view(np.uint16).reshape(-1, 2)
@@ -119,17 +139,19 @@ _encoders: dict = {}
 
 
 def _encoder(path: str):
-    """A pre-token encoder for a byte-level BPE file of the tokenizers library, with a table of what it has seen."""
+    """A pre-token encoder for a byte-level BPE file of the tokenizers library, a table of what it has seen, and the ids of special strings."""
     if path not in _encoders:
         import json
 
         import tiktoken
 
-        model = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
-        ranks = {bytes(_BYTE_OF[c] for c in token): i for token, i in model.items() if all(c in _BYTE_OF for c in token)}
-        ranks = {token: i for token, i in ranks.items() if token != b"<|endoftext|>"}
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        special = {x["content"]: x["id"] for x in file["added_tokens"]}
+        vocabulary = {token: i for token, i in file["model"]["vocab"].items() if token not in special}
+        ranks = {bytes(_BYTE_OF[c] for c in token): i for token, i in vocabulary.items() if all(c in _BYTE_OF for c in token)}
         encode = tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        _encoders[path] = encode, kernels.SpanTable()
+        _encoders[path] = encode, kernels.SpanTable(), special
     return _encoders[path]
 
 
@@ -181,7 +203,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 1024, end
 
     Null and empty texts give the end id alone; repeated rows and repeated or null doc_ids are packed
     each for itself; other columns are ignored; an empty table gives no pieces. Texts of any length
-    are tokenized whole.
+    are tokenized whole, as the library does by default: its special strings are ids of their own.
     """
     groups = max(1, -(-text_bytes(docs) // group_bytes))
     key = row_key()

@@ -301,6 +301,9 @@ def _settle(length: int):
         key = mix(kernels.span_hashes_long(raw, at[:-1], at[1:]) + ahead.astype(U8))
         _, first, same = np.unique(key, return_index=True, return_inverse=True)
         alone = first[same]  # the earliest occurrence of the same context
+        sure = (ahead == ahead[alone]) & (size == size[alone])
+        sure[sure] = kernels.equal_spans(raw, at[:-1][sure], raw, at[:-1][alone[sure]], size[sure])
+        alone = np.where(sure, alone, np.arange(n))  # one that only shares its hash stands for itself
         spare = np.flatnonzero(alone != np.arange(n))
         spans = [(block[spare], row[spare], place[spare] - ahead[spare], place[spare] - ahead[spare] + size[spare])]
         use = np.flatnonzero(alone == np.arange(n))

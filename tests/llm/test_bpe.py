@@ -38,6 +38,33 @@ def test_very_long_pretokens():
         assert time.time() - began < 20
 
 
+def thue_morse(n):
+    word = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_a_shared_polynomial_hash(spark):
+    for n in (1024, 2048, 4096):
+        x, y = thue_morse(n)
+        known = kernels.SpanTable()
+        encode = lambda t: kernels.encode_texts(t, lambda p: ENCODER.encode(p.encode()), known)  # noqa: B023, E731
+        assert [i.tolist() for i in encode([x, y])] == [LIBRARY.encode_ordinary(x), LIBRARY.encode_ordinary(y)]
+        assert encode([y])[0].tolist() == LIBRARY.encode_ordinary(y)
+        out = bpe.encode_decode(spark.createDataFrame([(1, x), (2, y)], "doc_id long, text string"), PATH).collect()
+        assert sorted((r.doc_id, bytes(r.decoded).decode()) for r in out) == [(1, x), (2, y)]
+
+
+def test_equal_hashes_are_confirmed(monkeypatch):
+    texts = ["one two three two one", "three four", "one", "five two"]
+    want = [LIBRARY.encode_ordinary(t) for t in texts]
+    monkeypatch.setattr(kernels, "span_hashes", lambda values, starts, ends: (ends - starts).astype(kernels.U8))  # all spans of a length collide
+    known = kernels.SpanTable()
+    for _ in range(2):
+        for t, w in zip(texts, want, strict=True):
+            assert kernels.encode_texts([t], lambda p: ENCODER.encode(p.encode()), known)[0].tolist() == w
+    assert [x.tolist() for x in kernels.encode_texts(texts, lambda p: ENCODER.encode(p.encode()), known)] == want
+
+
 def test_edges(spark):
     rows = [(1, "a b", 1), (1, "a b", 2), (None, None, 3), (2, "", 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, token_ids int")

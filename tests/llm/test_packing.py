@@ -30,11 +30,10 @@ def test_bins_hold_every_item_once(sizes):
 
 
 def test_packing_matches_the_tokenizers_library(spark):
-    texts = [(1, "Hello  world's\n\n 12"), (2, None), (3, ""), (4, "é" * 5000), (4, "é" * 5000), (None, "x y " * 3000), (7, "a <|endoftext|> b")]
+    texts = [(1, "Hello  world's\n\n 12"), (2, None), (3, ""), (4, "é" * 5000), (4, "é" * 5000), (None, "x y " * 3000), (7, "a <|endoftext|> b"), (8, "<|endoftext|><|endoftext|>  \n<|endoftext|"), (9, "<|endoftext|>")]
     docs = spark.createDataFrame([(*r, 0) for r in texts], "doc_id long, text string, key int")
     rows = packing.pack_documents(docs, PATH).collect()
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     want = sorted((d or -1, tuple(t.encode(x or "", add_special_tokens=False).ids) + (0,)) for d, x in texts)
     by_seq, by_doc = {}, {}
     for r in rows:
@@ -54,6 +53,16 @@ def test_packing_matches_the_tokenizers_library(spark):
             assert any(x[r.start : r.start + r.length] == got and len(x) == r.doc_tokens for x in ids)
 
 
+def test_ids_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    text, t, ids = {r.doc_id: r.text for r in docs.collect()}, Tokenizer.from_file(PATH), {}
+    for r in packing.pack_documents(docs, PATH).collect():
+        ids.setdefault(r.doc_id, {})[r.start] = np.frombuffer(r.token_ids, "<u4").tolist()
+    want = t.encode_batch([x or "" for x in text.values()], add_special_tokens=False)
+    for doc, w in zip(text, want, strict=True):
+        assert [x for _, part in sorted(ids[doc].items()) for x in part] == [*w.ids, 0]
+
+
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_documents(docs, PATH).count() == 0
