@@ -29,7 +29,7 @@ def unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return roots(parent)
 
 
-def connected_components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node of links(a, b) of long ids; component is its smallest node.
 
     Both steps replace a node's links by links to its smallest neighbour, so the table never grows
@@ -39,7 +39,7 @@ def connected_components(links: DataFrame, a: str, b: str, most_rounds: int = 60
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     edges = links.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
     edges, before = cut_lineage(edges, "links"), None
-    for _ in range(most_rounds):
+    while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
@@ -51,7 +51,5 @@ def connected_components(links: DataFrame, a: str, b: str, most_rounds: int = 60
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
