@@ -54,10 +54,10 @@ def _assign(pivots: dict, radius: float):
                 rows.append(at[i]), cells.append(j), home.append(best[i] == j)
             if rows:
                 take = pa.array(np.concatenate(rows))
-                columns = [batch.column(c).take(take) for c in ("rep", "copies", "label", "dim", "embedding")]
+                columns = [batch.column(c).take(take) for c in ("key", "rep", "copies", "label", "dim", "embedding")]
                 yield pa.RecordBatch.from_arrays(
                     [*columns, pa.array(np.concatenate(cells), pa.int64()), pa.array(np.concatenate(home))],
-                    names=["rep", "copies", "label", "dim", "embedding", "cell", "home"],
+                    names=["key", "rep", "copies", "label", "dim", "embedding", "cell", "home"],
                 )
 
     return run
@@ -67,7 +67,8 @@ def _join(threshold: float):
     """Links of one cell, or of a pair of its blocks: counts for rows at home, a forest for all."""
 
     def run(t: pa.Table) -> pa.Table:
-        x, rep, copies = _unit(t.column("embedding")), np.array(t.column("rep")), np.array(t.column("copies"))
+        x, copies = _unit(t.column("embedding")), np.array(t.column("copies"))
+        key, rep = np.array(t.column("key")), np.array(t.column("rep"))
         block, home = np.array(t.column("block")), np.array(t.column("home"))
         one = t.column("block_a")[0].as_py() == t.column("block_b")[0].as_py()
         links, parent = np.zeros(len(x), np.int64), np.arange(len(x))
@@ -85,7 +86,7 @@ def _join(threshold: float):
             i, j = rows[i], right[j]
             parent = unite(parent, i, j)
         keep = (links > 0) | (parent != np.arange(len(x)))
-        return pa.table({"rep": rep[keep], "links": np.where(home, links, 0)[keep], "root": rep[parent][keep]})
+        return pa.table({"key": key[keep], "links": np.where(home, links, 0)[keep], "rep": rep[keep], "root": rep[parent][keep]})
 
     return run
 
@@ -97,7 +98,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cell_rows: int
     itself included) and kept (vec_id = component_id), one row per row. Rows whose vec_id, label or
     vector is null, whose vector is empty or zero or holds null or non-finite components link with
     nothing, nor do vectors of different lengths. Equal rows link with each other; rows that share a
-    vec_id stay apart but share links' components. Other columns are ignored.
+    vec_id have links of their own and one component. Other columns are ignored.
 
     Pivots are a bounded sample of the distinct vectors (most_pivots); cell_rows bounds a task.
     """
@@ -105,7 +106,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cell_rows: int
     valid = F.expr(f"vec_id is not null and label is not null and embedding is not null and {FINITE} and exists(embedding, x -> x != 0)")
     rows = rows.withColumn("valid", F.coalesce(valid, F.lit(False)))
     distinct = rows.where("valid").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    distinct = cut_lineage(distinct.withColumn("dim", F.size("embedding").cast("long")), "vectors")
+    distinct = distinct.withColumn("dim", F.size("embedding").cast("long")).withColumn("key", F.monotonically_increasing_id())
+    distinct = cut_lineage(distinct, "vectors")  # keys are as written
     n = distinct.count()
     sample = distinct.orderBy(F.xxhash64("rep", F.lit(7))).limit(min(most_pivots, math.ceil(n / cell_rows))).collect()
     groups: dict = {}
@@ -114,19 +116,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cell_rows: int
     pivots = {key: _unit(pa.array(p, pa.list_(pa.float64()))) for key, p in groups.items()}
 
     radius = math.sqrt(2 - 2 * threshold)
-    cells = distinct.mapInArrow(_assign(pivots, radius), "rep long, copies long, label long, dim long, embedding array<double>, cell long, home boolean")
+    cells = distinct.mapInArrow(_assign(pivots, radius), "key long, rep long, copies long, label long, dim long, embedding array<double>, cell long, home boolean")
     of = ["label", "dim", "cell"]
     cells = cut_lineage(cells, "cells")
     blocks = cells.groupBy(of).agg(F.expr(f"cast(ceil(count(*) / {2.0 * cell_rows}) as int)").alias("blocks"))
-    placed = cells.join(blocks, of).withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+    placed = cells.join(blocks, of).withColumn("block", F.expr("cast(pmod(xxhash64(key), blocks) as int)"))
     paired = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     paired = paired.withColumn("block_a", F.least("block", "other")).withColumn("block_b", F.greatest("block", "other"))
-    found = cut_lineage(paired.groupBy(*of, "block_a", "block_b").applyInArrow(_join(threshold), "rep long, links long, root long"), "found")
-
-    component = connected_components(found, "rep", "root").withColumnRenamed("node", "rep")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    per = distinct.select("label", "embedding", "rep", "copies").join(links, "rep", "left").join(component, "rep", "left")
-    out = rows.where("valid").join(per, ["label", "embedding"])
+    found = cut_lineage(paired.groupBy(*of, "block_a", "block_b").applyInArrow(_join(threshold), "key long, links long, rep long, root long"), "found")
+
+    links = found.groupBy("key").agg(F.sum("links").alias("links"))
+    out = rows.where("valid").join(distinct.select("label", "embedding", "key", "rep", "copies"), ["label", "embedding"]).join(links, "key", "left")
+    # a vec_id of several vectors joins their components
+    several = out.groupBy("vec_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("vec_id")
+    ties = out.join(several, "vec_id", "left_semi").select("rep", F.col("vec_id").alias("root"))
+    component = connected_components(found.select("rep", "root").union(ties), "rep", "root").withColumnRenamed("node", "rep")
+    out = out.join(component, "rep", "left")
     linked = out.select(
         "vec_id",
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),

@@ -46,6 +46,12 @@ def test_range_join_is_exact(spark, cell_rows):
     assert sorted(map(tuple, got.collect()), key=str) == brute_links(rows, 0.98)
 
 
+def test_links_of_rows_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0], 0, ""), (1, [0.0, 1.0], 0, ""), (2, [1.0, 0.001], 0, ""), (5, [0.0, 1.0], 1, ""), (4, [0.0, 1.0], 1, ""), (5, [1.0, 0.0], 1, ""), (3, [1.0, 0.0], 1, "")]
+    got = sorted(tuple(r)[:3] for r in vector_join.near_duplicates(spark.createDataFrame(rows, SCHEMA), 0.98).collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 1, 3), (5, 1, 3)]
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert vector_join.near_duplicates(df).count() == 0
