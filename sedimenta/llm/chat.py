@@ -17,32 +17,36 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Layouts in order of preference. `turns`: the list with role and text fields; `fields`: (role, field) in order; `pairs`: a list of records with such fields.
+#: Layouts in order of preference. `turns`: the list with role and text fields, `roles`: what its role names stand for; `fields`: (role, field) in order; `pairs`: a list of records with such fields.
 LAYOUTS = [
     {"name": "messages", "turns": "messages", "role": "role", "text": "content"},
     {"name": "turns", "turns": "turns", "role": "role", "text": "text"},
-    {"name": "conversations", "turns": "conversations", "role": "from", "text": "value"},
-    {"name": "dialog", "turns": "dialog", "role": "speaker", "text": "utterance"},
+    {"name": "conversations", "turns": "conversations", "role": "from", "text": "value", "roles": {"human": "user", "gpt": "assistant"}},
+    {"name": "dialog", "turns": "dialog", "role": "speaker", "text": "utterance", "roles": {"human": "user", "bot": "assistant", "model": "assistant"}},
     {"name": "instruction_input", "fields": [("system", "instruction"), ("user", "input"), ("assistant", "output")]},
     {"name": "instruction", "fields": [("user", "instruction"), ("assistant", "output")]},
     {"name": "prompt_completion", "fields": [("system", "system"), ("user", "prompt"), ("assistant", "completion")], "optional": ["system"]},
     {"name": "prompt_response", "fields": [("user", "prompt"), ("assistant", "response")]},
     {"name": "question_answer", "fields": [("user", "question"), ("assistant", "answer")]},
 ]
-ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def paths(value, at: str = "") -> set[str]:
-    """Nested field paths of a record; list elements share the path `[]`."""
-    if isinstance(value, dict):
-        return set().union({at} if at else set(), *(paths(v, f"{at}.{k}" if at else k) for k, v in value.items()))
-    if isinstance(value, list):
-        return set().union({at}, *(paths(v, f"{at}[]") for v in value))
-    return {at}
+def paths(value) -> set[str]:
+    """Nested field paths of a record, of any depth; list elements share the path `[]`."""
+    found, todo = set(), [("", value)]
+    while todo:
+        at, x = todo.pop()
+        if at or not isinstance(x, dict):
+            found.add(at)
+        if isinstance(x, dict):
+            todo += [(f"{at}.{k}" if at else k, v) for k, v in x.items()]
+        elif isinstance(x, list):
+            todo += [(f"{at}[]", v) for v in x]
+    return found
 
 
 def fingerprint(record: dict) -> int:
-    return xxhash.xxh64_intdigest("\n".join(sorted(paths(record))))
+    return xxhash.xxh64_intdigest("\n".join(sorted(paths(record))).encode("utf-8", "surrogatepass"))
 
 
 class LayoutTable:
@@ -70,10 +74,20 @@ class LayoutTable:
         if layout is None:
             return None
         if "turns" in layout:
-            found = [(x.get(layout["role"]), x.get(layout["text"])) for x in record[layout["turns"]] or [] if isinstance(x, dict)]
+            own = record[layout["turns"]]
+            if not isinstance(own, list) and own is not None:
+                return None
+            found = [(x.get(layout["role"]), x.get(layout["text"])) for x in own or [] if isinstance(x, dict)]
         else:
             found = [(role, record.get(f)) for role, f in layout["fields"] if f in record]
-        return [(ROLE_NAMES.get(r, r) or "", t if isinstance(t, str) else "" if t is None else json.dumps(t, ensure_ascii=False)) for r, t in found]
+        names = layout.get("roles", {})
+        return [(names.get(r, r), t) for r, t in ((_plain(r), _plain(t)) for r, t in found)]
+
+
+def _plain(value) -> str:
+    """A text as it is, lone surrogates as U+FFFD; null as empty; any other value as JSON."""
+    text = value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+    return text if text.isascii() else text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
 
 #: The template's control strings, fixed values of a widely used chat format; `[ROLE]` ... `[/ROLE]` holds any other role.
@@ -120,8 +134,10 @@ def format_records(records: DataFrame, record: str = "record", layouts: list[dic
     """Format JSON records: adds formatted, turns (role and text, as read back), loss_text and layout.
 
     loss_text is all text under the loss mask, unescaped, in order. A record that is null, no JSON
-    object or of no known layout gets nulls. Null texts count as empty, an empty list of turns gives
-    an empty conversation. Other columns pass through, but columns named as the new ones are replaced.
+    object, nested too deeply for the JSON reader, or of no known layout (the turns being no list
+    included) gets nulls. Null roles and texts count as empty, roles and texts that are no strings are
+    taken as their JSON, lone surrogates become U+FFFD, elements of the list that are no objects are
+    left out; an empty or null list of turns gives an empty conversation. Other columns pass through, but columns named as the new ones are replaced.
     """
     new = ["formatted", "turns", "loss_text", "layout"]
     rows = records.drop(*new)
@@ -135,9 +151,9 @@ def format_records(records: DataFrame, record: str = "record", layouts: list[dic
             for raw in batch.column(record).to_pylist():
                 try:
                     value = json.loads(raw) if raw else None
-                except ValueError:
-                    value = None
-                turns = table.turns(value) if isinstance(value, dict) else None
+                    turns = table.turns(value) if isinstance(value, dict) else None
+                except (ValueError, RecursionError):
+                    turns = None
                 if turns is None:
                     out.append((None,) * 4)
                     continue
@@ -151,8 +167,29 @@ def format_records(records: DataFrame, record: str = "record", layouts: list[dic
     return rows.mapInArrow(run, schema)
 
 
+#: Spark SQL of one record for each layout, from the turns `t` of role r and text x.
+_AS_LAYOUT = {
+    "turns": "to_json(struct(transform(t, y -> struct(y.role as role, y.text as text)) as turns))",
+    "messages": "to_json(struct(transform(t, y -> struct(y.role as role, y.text as content)) as messages))",
+    "conversations": "to_json(struct(transform(t, y -> struct(case y.role when 'user' then 'human' when 'assistant' then 'gpt' else y.role end as from, y.text as value)) as conversations))",
+    "dialog": "to_json(struct(transform(t, y -> struct(case y.role when 'user' then 'human' when 'assistant' then 'bot' else y.role end as speaker, y.text as utterance)) as dialog))",
+    "prompt_response": "to_json(struct(t[0].text as prompt, t[1].text as response))",
+    "instruction": "to_json(struct(t[0].text as instruction, t[1].text as output))",
+    "question_answer": "to_json(struct(t[0].text as question, t[1].text as answer))",
+}
+
+
 def conversation_records(rows: DataFrame) -> DataFrame:
-    """conv_id and a JSON record of the turns of conversations(conv_id, turn, role, text), by turn (null first), role and text."""
+    """conv_id and a JSON record of the turns of conversations(conv_id, turn, role, text), by turn (null first), role and text.
+
+    Records come in mixed layouts, as in a corpus of many sources: those of one user and one assistant
+    turn as prompts, instructions or questions, others as one of four kinds of turn lists; a hash of
+    conv_id chooses. Roles other than user, assistant and system keep their names in `turns` records.
+    """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    each = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
-    return each.select("conv_id", F.to_json(F.struct(F.expr("transform(t, x -> struct(x.role as role, x.text as text))").alias("turns"))).alias("record"))
+    each = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t")).withColumn("h", F.expr("pmod(xxhash64(conv_id), 12)"))
+    pick = lambda names: " ".join(f"when {i} then {_AS_LAYOUT[n]}" for i, n in enumerate(names))
+    record = f"""case when exists(t, y -> y.role not in ('user', 'assistant', 'system')) then {_AS_LAYOUT["turns"]}
+        when size(t) = 2 and t[0].role = 'user' and t[1].role = 'assistant' then case h % 3 {pick(("prompt_response", "instruction", "question_answer"))} end
+        else case h % 4 {pick(("turns", "messages", "conversations", "dialog"))} end end"""
+    return each.select("conv_id", F.expr(record).alias("record"))

@@ -35,6 +35,39 @@ def test_layouts(spark):
     assert [tuple(t) for t in out[95].turns] == [("user", ""), ("assistant", "a")]
 
 
+def test_odd_records(spark):
+    deep = '{"messages": [{"role": "user", "content": ' + "[" * 100_000 + "]" * 100_000 + "}]}"
+    rows = {
+        1: '{"messages": [{"role": {"a": 1}, "content": "x"}]}',
+        2: '{"turns": [{"role": 7, "text": [1, "é"]}, 5, null, {"role": null, "text": null}]}',
+        3: deep,
+        4: r'{"prompt": "a\ud800b", "response": "\ud83d\ude00 \udc00"}',
+        5: '{"messages": "abc"}',
+        6: '{"messages": null}',
+        7: '{"conversations": [{"from": "human", "value": "q"}, {"from": "narrator", "value": "n"}], "\\ud800": 1}',
+        8: '{"turns": [{"role": "human", "text": "q"}]}',
+    }
+    out = {r.id: r for r in chat.format_records(spark.createDataFrame(list(rows.items()), "id int, record string")).collect()}
+    turns = {i: None if r.turns is None else [tuple(t) for t in r.turns] for i, r in out.items()}
+    assert turns == {
+        1: [('{"a": 1}', "x")],
+        2: [("7", '[1, "é"]'), ("", "")],
+        3: None,
+        4: [("user", "a\ufffdb"), ("assistant", "\U0001f600 \ufffd")],
+        5: None,
+        6: [],
+        7: [("user", "q"), ("narrator", "n")],
+        8: [("human", "q")],
+    }
+    assert out[6].formatted == "" and out[5].layout is None
+
+
+def test_query_runs_over_many_layouts(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    found = {r.layout for r in chat.format_records(chat.conversation_records(rows)).select("layout").distinct().collect()}
+    assert len(found) >= 4 and None not in found
+
+
 def test_conversations(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 1, "assistant", "b"), (2, None, None, "x"), (None, 0, "user", "n"), (3, 0, "assistant", "a" * 100_000)]
     df = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, record int")
