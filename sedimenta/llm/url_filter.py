@@ -1,14 +1,14 @@
 """URL filter: sorted 64-bit digests in a memory-mapped file, probed by binary search and confirmed by string.
 
-Rules are (verdict, host, path). Their keys host + path are hashed with xxhash64 and sorted into
-files that Spark ships to every executor, where workers map them. A URL's candidate keys are every
-parent domain of its host with every prefix of its path that some rule is as long as.
+Rules are (verdict, host, path), hashed with xxhash64 and sorted. Up to a bound they are files in the
+shared folder that Spark ships to every executor, where workers map them. Beyond it, digest ranges of
+the rules are probed where they lie by the distinct digests that URLs ask for. A URL's candidate keys
+are the parent domains of its host and the prefixes of its path that are as long as some rule's.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,9 +16,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+from .common import cut_lineage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,64 +35,65 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def digest(host: str, path: str) -> int:
+    return xxhash.xxh64_intdigest(f"{len(host)} {host}{path}".encode("utf-8", "surrogatepass"))
+
+
 class DigestFile:
-    """Sorted digests with the strings and verdicts of their rules."""
-
-    def __init__(self, folder: str, name: str):
-        of = lambda part, kind, **k: np.memmap(os.path.join(folder, f"{name}.{part}"), dtype=kind, mode="r", **k)
-        self.digests, self.ends, self.text, self.allow = of("digests", "<u8"), of("ends", "<i8"), of("text", np.uint8), of("allow", np.uint8)
-        self.lengths = of("lengths", "<i8").tolist()
-
-    @staticmethod
-    def write(rules: list[tuple[str, str, str]], folder: str, name: str) -> list[str]:
-        rows = sorted((xxhash.xxh64_intdigest(h + p), (h + p).encode(), v == "allow") for v, h, p in dict.fromkeys(rules))
-        parts = {
-            "digests": np.array([r[0] for r in rows], "<u8"),
-            "ends": np.cumsum([len(r[1]) for r in rows]).astype("<i8"),
-            "text": np.frombuffer(b"".join(r[1] for r in rows), np.uint8),
-            "allow": np.array([r[2] for r in rows], np.uint8),
-            "lengths": np.array(sorted({len(p) for _, _, p in rules}), "<i8"),
-        }
-        for part, array in parts.items():
-            array.tofile(os.path.join(folder, f"{name}.{part}"))
-        return [os.path.join(folder, f"{name}.{part}") for part in parts]
-
-    def find(self, keys: list[str]) -> list[int]:
-        """The rule of each key, or -1."""
-        wanted = np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), dtype="<u8", count=len(keys))
-        out = np.full(len(keys), -1)
-        lo = np.searchsorted(self.digests, wanted)
-        for i in np.flatnonzero(self.digests[np.minimum(lo, len(self.digests) - 1)] == wanted).tolist():
-            j = int(lo[i])
-            while j < len(self.digests) and self.digests[j] == wanted[i]:  # equal digests: only the stored string tells
-                if self.string(j) == keys[i]:
-                    out[i] = j
-                    break
-                j += 1
-        return out.tolist()
+    """Sorted digests with the strings, host lengths and verdicts of their rules."""
+
+    PARTS = {"digests": "<u8", "ends": "<i8", "text": np.uint8, "hosts": "<i4", "allow": np.uint8}
+
+    def __init__(self, parts: dict[str, np.ndarray]):
+        self.digests, self.ends, self.text, self.hosts, self.allow = (parts[p] for p in self.PARTS)
+
+    @classmethod
+    def mapped(cls, folder: str, name: str) -> DigestFile:
+        return cls({p: np.memmap(os.path.join(folder, f"{name}.{p}"), dtype=kind, mode="r") for p, kind in cls.PARTS.items()})
+
+    @classmethod
+    def of(cls, rules: list[tuple[str, str, str]]) -> DigestFile:
+        rows = sorted((digest(h, p), (h + p).encode("utf-8", "surrogatepass"), len(h), v == "allow") for v, h, p in rules)
+        own = {"digests": [r[0] for r in rows], "ends": np.cumsum([len(r[1]) for r in rows]), "hosts": [r[2] for r in rows], "allow": [r[3] for r in rows]}
+        return cls({p: np.frombuffer(b"".join(r[1] for r in rows), kind) if p == "text" else np.array(own[p], dtype=kind) for p, kind in cls.PARTS.items()})
+
+    def bytes(self) -> dict[str, bytes]:
+        return {p: a.tobytes() for p, a in zip(self.PARTS, (self.digests, self.ends, self.text, self.hosts, self.allow), strict=True)}
+
+    def find(self, wanted: np.ndarray) -> list[list[int]]:
+        """The rules of each digest: none, or one, or several of which strings decide."""
+        lo, hi = np.searchsorted(self.digests, wanted, "left"), np.searchsorted(self.digests, wanted, "right")
+        return [list(range(a, b)) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
 
     def string(self, j: int) -> str:
-        return self.text[(self.ends[j - 1] if j else 0) : self.ends[j]].tobytes().decode()
+        return self.text[(self.ends[j - 1] if j else 0) : self.ends[j]].tobytes().decode("utf-8", "surrogatepass")
 
 
-def _probe(name: str, default: str):
+def candidates(host: str, path: str, lengths: dict[int, list[int]]) -> Iterator[tuple[str, str]]:
+    """Suffixes of the host at dots with prefixes of the path, of the lengths that rules have (by host length)."""
+    for n, paths in lengths.items():
+        if n == len(host) or n < len(host) and host[len(host) - n - 1] == ".":
+            for k in paths:
+                if k > len(path):
+                    break
+                yield host[len(host) - n :], path[:k]
+
+
+def _probe(name: str, lengths: dict[int, list[int]], default: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = DigestFile(SparkFiles.getRootDirectory(), name)
+        rules = DigestFile.mapped(SparkFiles.getRootDirectory(), name)
         for batch in batches:
             keys, of = [], []
             for i, (host, path) in enumerate(zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)):
-                at = 0
-                while True:
-                    own = [host[at:] + path[:n] for n in rules.lengths if n <= len(path)]
-                    keys += own
-                    of += [i] * len(own)
-                    at = host.find(".", at) + 1
-                    if not at:
-                        break
+                own = list(candidates(host, path, lengths))
+                keys += own
+                of += [i] * len(own)
             best: dict[int, tuple[int, int]] = {}
-            for i, key, j in zip(of, keys, rules.find(keys), strict=True):
-                if j >= 0:
-                    best[i] = max(best.get(i, (0, 0)), (len(key), j))
+            found = rules.find(np.fromiter((digest(*k) for k in keys), dtype="<u8", count=len(keys)))
+            for i, (host, path), js in zip(of, keys, found, strict=True):
+                for j in js:  # equal digests: only the stored string tells
+                    if rules.hosts[j] == len(host) and rules.string(j) == host + path:
+                        best[i] = max(best.get(i, (-1, 0)), (len(host + path), j))
             rule = [rules.string(best[i][1]) if i in best else None for i in range(batch.num_rows)]
             verdict = [("allow" if rules.allow[best[i][1]] else "block") if i in best else default for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=[*batch.schema.names, "rule", "verdict"])
@@ -97,23 +101,97 @@ def _probe(name: str, default: str):
     return run
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow", most_rules: int = 4_000_000) -> DataFrame:
+def _ship(spark: SparkSession, rules: list[tuple[str, str, str]]) -> str:
+    """Rule files in the shared folder, fetched by every executor."""
+    name = f"rules-{uuid.uuid4().hex}"
+    for part, raw in DigestFile.of(rules).bytes().items():
+        path = f"{shared_folder(spark)}/{name}.{part}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+        for lo in range(0, len(raw), 1 << 22):
+            out.write(bytearray(raw[lo : lo + (1 << 22)]))
+        out.close()
+        spark.sparkContext.addFile(path)
+    return name
+
+
+def _asked(lengths: dict[int, list[int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, found = [], []
+            for r, host, path in zip(*(batch.column(c).to_pylist() for c in ("row", "host", "path")), strict=True):
+                own = [digest(*k) for k in candidates(host, path, lengths)]
+                row += [r] * len(own)
+                found += own
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(np.array(found, np.uint64).view(np.int64))], names=["row", "digest"])
+
+    return run
+
+
+def _ruled(table: pa.Table, asked: pa.Table) -> pa.Table:
+    """The rules of a digest range whose digests were asked for."""
+    rules = DigestFile.of(list(zip(*(table.column(c).to_pylist() for c in ("verdict", "h", "p")), strict=True)))
+    wanted = np.array(asked.column("digest"), np.int64).view(np.uint64)
+    out = [(w, rules.string(j), int(rules.hosts[j]), "allow" if rules.allow[j] else "block") for w, js in zip(wanted.view(np.int64).tolist(), rules.find(wanted), strict=True) for j in js]
+    columns = list(zip(*out, strict=True)) or [[]] * 4
+    return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.string()), strict=True)], names=["digest", "text", "n_host", "verdict"])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = [digest(h, p) for h, p in zip(batch.column("h").to_pylist(), batch.column("p").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(own, np.uint64).view(np.int64))], names=[*batch.schema.names, "digest"])
+
+
+def _by_ranges(rows: DataFrame, rules: DataFrame, lengths: dict[int, list[int]], default: str, ranges: int) -> DataFrame:
+    """Verdicts by rules(verdict, h, p) in digest ranges: distinct digests are probed there, hits come back to the rows."""
+    rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()), "urls")  # row numbers are as written
+    part = F.expr(f"pmod(digest, {ranges})").alias("part")
+    asked = rows.mapInArrow(_asked(lengths), "row long, digest long")
+    filed = rules.mapInArrow(_digests, "verdict string, h string, p string, digest long").select("*", part)
+    distinct = asked.select("digest").distinct().select("digest", part)
+    hits = filed.groupBy("part").cogroup(distinct.groupBy("part")).applyInArrow(_ruled, "digest long, text string, n_host int, verdict string")
+    found = asked.join(hits, "digest").join(rows, "row")
+    sure = "right(host, n_host) = left(text, n_host) and startswith(path, substring(text, n_host + 1)) and (length(host) = n_host or right(host, n_host + 1) = '.' || left(text, n_host))"
+    best = found.where(sure).groupBy("row").agg(F.max_by(F.struct("text", "verdict"), F.length("text")).alias("b"))
+    out = rows.join(best, "row", "left")
+    return out.select("page_id", "host", "path", F.col("b.text").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
+
+
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, default: str = "allow", most_rules: int = 4_000_000) -> DataFrame:
     """page_id, host, path, rule and verdict of every row of pages(page_id, url).
 
     A rule fits its host and all subdomains where the path starts with the rule's; the longest rule
-    wins (of equal rules the first); without one the verdict is `default`, as for a URL on no list.
-    Null URLs and URLs without :// have empty hosts and paths. The files that reach every executor
-    hold most_rules rules at most. Rows stay one for one; other columns are ignored.
+    wins (of equal rules the first of a list, in a table the one that blocks); without one the verdict
+    is `default`, as for a URL on no list. rules: a list, or a table (verdict, host, path) of any size;
+    rows of it with nulls are no rules. Files of most_rules rules at most reach every executor; more
+    rules are probed in digest ranges of that size, with the same results.
+
+    Null URLs and URLs without :// have empty hosts and paths. Rows stay one for one; other columns
+    are ignored.
     """
-    rules = list({(h, p): (v, h, p) for v, h, p in reversed(rules)}.values())
-    if len(rules) > most_rules:
-        raise ValueError(f"{len(rules)} rules exceed the bound of {most_rules}")
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    if not rules:
+    if isinstance(rules, DataFrame):
+        own = rules.selectExpr("verdict", "host as h", "path as p").where("verdict is not null and h is not null and p is not null")
+        own = cut_lineage(own.groupBy("h", "p").agg(F.max("verdict").alias("verdict")).select("verdict", "h", "p"), "rules")
+        n = own.count()
+        rules = [tuple(r) for r in own.collect()] if n <= most_rules else own
+    else:
+        rules = list({(h, p): (v, h, p) for v, h, p in reversed(rules)}.values())
+        n = len(rules)
+    if not n:
         return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    name = f"rules-{uuid.uuid4().hex}"
-    folder = tempfile.mkdtemp(prefix="sedimenta-rules-")
-    for file in DigestFile.write(rules, folder, name):
-        spark.sparkContext.addFile(file)
-    return rows.mapInArrow(_probe(name, default), "page_id long, host string, path string, rule string, verdict string")
+    if n > most_rules:
+        own = rules if isinstance(rules, DataFrame) else spark.createDataFrame(rules, "verdict string, h string, p string")
+        pairs = [tuple(r) for r in own.select(F.length("h"), F.length("p")).distinct().collect()]  # as many as lengths of hosts and paths
+        return _by_ranges(rows, own, _lengths(pairs), default, -(-n // most_rules))
+    name = _ship(spark, rules)
+    return rows.mapInArrow(_probe(name, _lengths((len(h), len(p)) for _, h, p in rules), default), "page_id long, host string, path string, rule string, verdict string")
+
+
+def _lengths(pairs) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
+    for h, p in sorted(set(pairs)):
+        out.setdefault(h, []).append(p)
+    return out

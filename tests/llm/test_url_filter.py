@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 
 from sedimenta.llm import url_filter
 from sedimenta.llm.queries import URL_RULES
@@ -25,13 +24,21 @@ def test_against_brute_force(spark):
     assert sorted(map(str, got)) == sorted(map(str, want))
     assert url_filter.judge_urls(df.limit(0), URL_RULES).count() == 0
     assert {r.verdict for r in url_filter.judge_urls(df, []).collect()} == {"allow"}
-    with pytest.raises(ValueError):
-        url_filter.judge_urls(df, URL_RULES, most_rules=2)
+    table = spark.createDataFrame([*URL_RULES, ("allow", "org", None), ("allow", "com", "/de/"), ("block", "exampl", "e.org/es/"), ("allow", "", "/")], "verdict string, host string, path string")
+    more = [*URL_RULES, ("block", "exampl", "e.org/es/"), ("allow", "", "/")]
+    want = sorted(map(str, [(i % 9, *brute(u, more)) for i, u in enumerate(urls)]))
+    for most in (2, 100):
+        assert sorted(map(str, map(tuple, url_filter.judge_urls(df, table, most_rules=most).collect()))) == want
+        assert sorted(map(str, map(tuple, url_filter.judge_urls(df, more, most_rules=most).collect()))) == want
 
 
-def test_equal_digests_are_told_apart(tmp_path, monkeypatch):
-    monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda s: len(s))
-    url_filter.DigestFile.write([("allow", "ab", "/"), ("block", "cd", "/"), ("block", "e", "/")], str(tmp_path), "r")
-    rules = url_filter.DigestFile(str(tmp_path), "r")
-    assert np.array(rules.digests).tolist() == [2, 3, 3]
-    assert [rules.string(j) if j >= 0 else None for j in rules.find(["cd/", "ab/", "xy/", "e/"])] == ["cd/", "ab/", None, "e/"]
+def test_keys_of_long_hosts_do_not_grow_with_their_square():
+    keys = list(url_filter.candidates("a." * 100_000 + "org", "/" * 50_000, url_filter._lengths([(3, 1), (3, 4), (5, 0), (900, 1)])))
+    assert keys == [("org", "/"), ("org", "////"), ("a.org", "")]
+
+
+def test_equal_digests_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "digest", lambda h, p: len(h + p))
+    rules = url_filter.DigestFile.of([("allow", "ab", "/"), ("block", "cd", "/"), ("block", "e", "/")])
+    assert rules.digests.tolist() == [2, 3, 3]
+    assert [[rules.string(j) for j in js] for js in rules.find(np.array([3, 2, 9], np.uint64))] == [["ab/", "cd/"], ["e/"], []]
