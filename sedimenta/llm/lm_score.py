@@ -253,7 +253,7 @@ def _score(buckets: int, ranges: int, n: int, v: int, base: float, weights: tupl
     return run
 
 
-def score_documents(docs: DataFrame, held_out_fold: int = 1, base: float = 1.5, weights: tuple[float, float] = (300.0, 20.0), block_bytes: int = 8 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, held_out_fold: int = 1, base: float = 1.5, weights: tuple[float, float] = (1000.0, 20.0), block_bytes: int = 8 << 20) -> DataFrame:
     """Scores of every whole text of documents(doc_id, text) under a model of the documents outside the fold.
 
     Words are runs outside ASCII white space with A-Z lower-cased; each document also has one end.

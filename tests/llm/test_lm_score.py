@@ -37,7 +37,7 @@ def test_base_scores(spark, block_bytes):
     assert lm_score.score_documents(df.limit(0)).count() == 0
 
 
-def model_score(rows, base=1.5, a=300.0, b=20.0):
+def model_score(rows, base=1.5, a=1000.0, b=20.0):
     """Scores by exact dictionaries of quantised counts."""
     least = lambda c: math.ceil(base ** math.floor(math.log(c) / math.log(base) + 1e-9) - 1e-6) if c else 0
     most = lambda c: math.ceil(base ** (1 + math.floor(math.log(c) / math.log(base) + 1e-9)) - 1e-6) - 1 if c else 0
