@@ -1,6 +1,6 @@
 """Quality scores by Bradley-Terry pairwise ranking.
 
-A document's score is linear in features of its bytes, words and lines. It is learned from preference
+A document's score is linear in features of its bytes, words and lines, and of its words hashed to buckets. It is learned from preference
 pairs (a document labelled 1 beats one labelled 0) by logistic loss on feature differences. A quantile
 of the training scores is the threshold; scores are shifted so that it lies at `cut`.
 """
@@ -34,6 +34,9 @@ _CLASS = np.full(256, len(_CLASSES), dtype=np.int64)
 for _i, _members in enumerate(_CLASSES):
     _CLASS[list(_members)] = _i
 _N = len(_CLASSES) + 1
+#: Buckets of hashed words, and the weight of their features beside the others.
+BUCKETS, BUCKET_WEIGHT = 64, 0.3
+_SUMS = _N + 6 + BUCKETS
 _SYMBOLS = np.isin(_CLASS, (6, 7))
 
 
@@ -48,7 +51,7 @@ def _per_doc(parts: list[bytes], of: np.ndarray, docs: int) -> np.ndarray:
     """Sums that features are made of; distinct words, lines and distinct lines are right only of documents in one part."""
     raw = np.frombuffer(b"".join(parts), dtype=np.uint8)
     if not len(raw):
-        return np.zeros((docs, _N + 6))
+        return np.zeros((docs, _SUMS))
     sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
     starts = np.cumsum(sizes) - sizes
     doc = np.repeat(of, sizes)
@@ -66,13 +69,14 @@ def _per_doc(parts: list[bytes], of: np.ndarray, docs: int) -> np.ndarray:
     line_end = np.r_[line_start[1:], len(raw)]
     line_doc = doc[line_start]
     line_key = kernels.span_hashes(raw, line_start, line_end - (raw[line_end - 1] == 0x0A))
-    sums = [counts, n_words, _distinct(word_doc, key, docs), np.bincount(line_doc, minlength=docs), _distinct(line_doc, line_key, docs), again, caps]
+    bucket = np.bincount(word_doc * BUCKETS + (key % kernels.U8(BUCKETS)).astype(np.int64), minlength=docs * BUCKETS).reshape(docs, BUCKETS)
+    sums = [counts, n_words, _distinct(word_doc, key, docs), np.bincount(line_doc, minlength=docs), _distinct(line_doc, line_key, docs), again, caps, bucket]
     return np.column_stack(sums).astype(float)
 
 
 def _of_long(text: str) -> np.ndarray:
     """The sums of one text read part by part; what is distinct is kept as hashes over all parts."""
-    sums, seen, new, held = np.zeros(_N + 6), np.zeros(0, kernels.U8), [], 0
+    sums, seen, new, held = np.zeros(_SUMS), np.zeros(0, kernels.U8), [], 0
     lines, n_lines, line, open_bytes = set(), 0, hashlib.blake2b(digest_size=16), 0
     for part in kernels.pieces_of(text, kernels.BATCH // 4):  # cut before a space: no word and no run of symbols or capitals is cut
         raw = part.encode("utf-8", "surrogatepass")
@@ -98,7 +102,7 @@ def _of_long(text: str) -> np.ndarray:
 
 def features(texts: list[str]) -> np.ndarray:
     """One row of features for each text."""
-    out, batch, of, held = np.zeros((len(texts), _N + 6)), [], [], 0
+    out, batch, of, held = np.zeros((len(texts), _SUMS)), [], [], 0
 
     def flush() -> None:
         if batch:
@@ -120,9 +124,9 @@ def features(texts: list[str]) -> np.ndarray:
     flush()
     n = out[:, :_N].sum(axis=1)
     share = out[:, :_N] / np.maximum(n, 1)[:, None]
-    words, distinct, lines, distinct_lines, again, caps = out[:, _N:].T
+    words, distinct, lines, distinct_lines, again, caps = out[:, _N : _N + 6].T
     w, ln = np.maximum(words, 1), np.maximum(lines, 1)
-    columns = [share, np.sqrt(share), np.log1p(n), n / w / 10, distinct / w, words / ln / 20, distinct_lines / ln, np.sqrt(again / w), np.sqrt(caps / w), np.log1p(lines), n > 0]
+    columns = [share, np.sqrt(share), np.log1p(n), n / w / 10, distinct / w, words / ln / 20, distinct_lines / ln, np.sqrt(again / w), np.sqrt(caps / w), np.log1p(lines), n > 0, np.sqrt(out[:, _N + 6 :] / w[:, None])]
     return np.column_stack(columns)
 
 
@@ -150,6 +154,7 @@ class QualityModel:
         """x: features of labelled documents; good: their labels. Without both labels all documents score alike."""
         mean, scale = (x.mean(axis=0), x.std(axis=0)) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
         scale = np.where(scale > 1e-9, scale, 1)
+        scale[-BUCKETS:] /= BUCKET_WEIGHT
         if good.all() or not good.any():
             return cls(mean, scale, np.zeros(x.shape[1]), 0.0 if not len(x) or good.all() else math.inf)
         z = np.clip((x - mean) / scale, -8, 8)

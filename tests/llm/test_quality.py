@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -51,3 +52,26 @@ def test_ranking_learns_the_order():
     good = x @ [1, -2, 0] + rng.normal(scale=0.1, size=400) > 0
     model = quality.QualityModel.fit(x, good, 5000, 1)
     assert ((model.score(x, 0.3) >= 0.3) == good).mean() > 0.97
+
+
+def brute_features(text):
+    raw = text.encode()
+    classes = [lambda b: 97 <= b <= 122, lambda b: 65 <= b <= 90, lambda b: 48 <= b <= 57, lambda b: b == 32, lambda b: b == 10, lambda b: b in b".,;:'\"-()", lambda b: b in b"!?", lambda b: b in b"#$%&*+/<=>@\\^_`{|}~[]", lambda b: b >= 128, lambda b: True]
+    kind = [next(i for i, f in enumerate(classes) if f(b)) for b in raw]
+    share = [kind.count(i) / max(len(raw), 1) for i in range(10)]
+    words = [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", raw)]
+    lines = raw.split(b"\n")
+    lines = lines[:-1] if not lines[-1] else lines
+    again = sum(a == b and k in (6, 7) for a, b, k in zip(raw, raw[1:], kind[1:], strict=False))
+    caps = sum(a == b == 1 for a, b in zip(kind, kind[1:], strict=False))
+    bucket = [0] * quality.BUCKETS
+    for w in words:
+        bucket[int(quality.kernels.words(np.frombuffer(w, np.uint8), np.zeros(1, np.int64))[0][0]) % quality.BUCKETS] += 1
+    n, w, ln = len(raw), max(len(words), 1), max(len(lines), 1)
+    return [*share, *np.sqrt(share), np.log1p(n), n / w / 10, len(set(words)) / w, len(words) / ln / 20, len(set(lines)) / ln, np.sqrt(again / w), np.sqrt(caps / w), np.log1p(len(lines)), n > 0, *(np.sqrt(b / w) for b in bucket)]
+
+
+def test_features_match_brute_force(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    texts += ["", "\n", "a\n\nB!! é\x0b##", "ABC def!", "x " * 200_000 + "\nx y\nx y", "A" * 300_000]
+    assert np.allclose(quality.features(texts), [brute_features(t) for t in texts])
