@@ -139,7 +139,7 @@ def encode_column(df: DataFrame, ranks_path: str, text: str = "text", out: str =
                 encoded = pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays([*rows.columns, encoded], names=[*rows.schema.names, out])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(kernels.giving_back(run), schema)
 
 
 def decode_column(df: DataFrame, ranks_path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -157,7 +157,7 @@ def decode_column(df: DataFrame, ranks_path: str, ids: str = "token_ids", out: s
                 decoded = [None if x is None else kernels.gather(at[x], size[x], flat).tobytes() for x in found]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(decoded, pa.binary())], names=[*rows.schema.names, out])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(kernels.giving_back(run), schema)
 
 
 def encode_decode(docs: DataFrame, ranks_path: str) -> DataFrame:

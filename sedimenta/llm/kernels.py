@@ -184,7 +184,7 @@ class _Buffer:
 
     def add(self, values: np.ndarray) -> None:
         if self.n + len(values) > len(self.room):
-            more = np.zeros(2 * (self.n + len(values)), self.room.dtype)
+            more = np.zeros((self.n + len(values)) * 5 // 4, self.room.dtype)
             more[: self.n] = self.room[: self.n]
             self.room = more
         self.room[self.n : self.n + len(values)] = values
@@ -196,12 +196,15 @@ class _Buffer:
 
 
 class SpanTable:
-    """Values (lists of ids) of spans by their hash, with the spans themselves; the entries seen first stay when it is full."""
+    """Values (lists of ids) of spans by their hash, with the spans themselves; the entries seen first stay when it is full.
 
-    def __init__(self, most: int = 1_500_000):
-        self.most = most
-        self.keys, self.entry = np.zeros(0, U8), np.zeros(0, np.int64)
-        self.at, self.size, self.text_at, self.text_size = (_Buffer(np.int64) for _ in range(4))
+    A cache alone: spans that it has no room for are encoded anew in each batch.
+    """
+
+    def __init__(self, most: int = 1_000_000, most_text: int = 8 << 20, longest: int = 1 << 10):
+        self.most, self.most_text, self.longest = most, most_text, longest
+        self.keys, self.entry = np.zeros(0, U8), np.zeros(0, np.int32)
+        self.at, self.size, self.text_at, self.text_size = (_Buffer(np.int32) for _ in range(4))
         self.ids, self.text = _Buffer(np.uint32), _Buffer(np.uint32)
 
     def find(self, keys: np.ndarray, cp: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,9 +220,13 @@ class SpanTable:
         return np.where(same, entry, -1), taken
 
     def add(self, keys: np.ndarray, size: np.ndarray, ids: np.ndarray, text_size: np.ndarray, text: np.ndarray) -> None:
-        if not len(keys) or len(self.keys) + len(keys) > self.most:
+        short = text_size <= self.longest
+        if not short.all():
+            ids, text = ids[np.repeat(short, size)], text[np.repeat(short, text_size)]
+            keys, size, text_size = keys[short], size[short], text_size[short]
+        if not len(keys) or len(self.keys) + len(keys) > self.most or self.text.n + len(text) > self.most_text:
             return
-        entry = np.arange(len(keys)) + self.at.n
+        entry = (np.arange(len(keys)) + self.at.n).astype(np.int32)
         for mine, n, buffer, values in ((self.at, size, self.ids, ids), (self.text_at, text_size, self.text, text)):
             mine.add(np.r_[0, np.cumsum(n)[:-1]] + buffer.n)
             buffer.add(values)
@@ -234,7 +241,7 @@ def equal_spans(x: np.ndarray, x_at: np.ndarray, y: np.ndarray, y_at: np.ndarray
     """Whether x[at:at+size] and y[at:at+size] are the same, for pairs of spans of equal size."""
     out, lo, ends = np.ones(len(size), bool), 0, np.cumsum(size)
     while lo < len(size):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BATCH, side="right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BATCH // 4, side="right")))
         n = size[lo:hi]
         first = np.cumsum(n) - n
         step = np.arange(int(n.sum())) - np.repeat(first, n)
