@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +47,15 @@ def _sql() -> str:
 
 
 CLEAN_SQL = _sql()
-MARKERS = "id=\"__next\"|data-reactroot|window.__nuxt__|ng-app|loading"
+#: What tells a page that scripts fill, fixed values; letter case does not count.
+MARKERS = ["__NUXT__", "data-reactroot", 'id="__next"', "ng-version", "skeleton", "loading", 'id="root"', 'id="app"', "window.__APOLLO_STATE__", "__INITIAL_STATE__"]
+
+
+def is_dynamic(html: str = "html"):
+    """Whether a page holds a marker of a page that scripts fill; false for null."""
+    return F.coalesce(F.lower(html).rlike("|".join(re.escape(m.lower()) for m in MARKERS)), F.lit(False))
+
+
 
 
 def h01_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,9 +63,10 @@ def h01_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def h19_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First h1, else the title element."""
+    """First h1, else the title that the page gives to link previews, else the title element."""
+    meta = [F.nullif(F.trim(F.regexp_extract("html", rf"""(?is)<meta[^>]*(?:property|name)=["']{k}["'][^>]*content=["'](.*?)["']""", 1)), F.lit("")) for k in ("og:title", "twitter:title")]
     first = [F.nullif(F.trim(F.regexp_replace(F.regexp_extract("html", f"(?is)<{t}[^>]*>(.*?)</{t}>", 1), "<[^>]+>", "")), F.lit("")) for t in ("h1", "title")]
-    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(*first, F.lit("")).alias("title"))
+    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(first[0], *meta, first[1], F.lit("")).alias("title"))
 
 
 def h26_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,22 +77,29 @@ def h26_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def h28_cleaning_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select("page_id", F.char_length("html").alias("html_length"), F.char_length(clean_text()).alias("cleaned_length"), F.regexp_count("html", F.lit("<[^>]+>")).alias("tags"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.char_length("html").alias("html_length"), F.char_length(clean_text()).alias("cleaned_length"), F.regexp_count("html", F.lit("<[^>]+>")).alias("tags"), F.regexp_count("html", F.lit("&[a-zA-Z][a-zA-Z0-9]*;|&#[0-9]+;|&#x[0-9a-fA-F]+;")).alias("entities"))
     return rows.withColumn("reduction", F.round(1 - F.col("cleaned_length") / F.col("html_length"), 3))
 
 
 def h30_dynamic_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.lower("html").rlike(MARKERS).alias("dynamic"))
+    return table(spark, sf_dir, "pages").select("page_id", is_dynamic().alias("dynamic"))
 
 
+DYNAMIC_SQL = """coalesce(contains(lower(html), '__nuxt__') OR contains(lower(html), 'data-reactroot') OR contains(lower(html), 'id="__next"') OR contains(lower(html), 'ng-version')
+  OR contains(lower(html), 'skeleton') OR contains(lower(html), 'loading') OR contains(lower(html), 'id="root"') OR contains(lower(html), 'id="app"')
+  OR contains(lower(html), 'window.__apollo_state__') OR contains(lower(html), '__initial_state__'), false)"""
 QUERIES = {q.__name__: q for q in (h01_clean_text, h19_title, h26_outline, h28_cleaning_stats, h30_dynamic_pages)}
 ORACLES = {
     "h01_clean_text": f"SELECT page_id, {CLEAN_SQL} AS clean_text FROM pages",
-    "h19_title": "SELECT page_id, coalesce(" + ", ".join(f"nullif(trim(regexp_replace(regexp_extract(html, '(?is)<{t}[^>]*>(.*?)</{t}>', 1), '<[^>]+>', '', 'g')), '')" for t in ("h1", "title")) + ", '') AS title FROM pages",
+    "h19_title": """SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g')), ''),
+      nullif(trim(regexp_extract(html, '(?is)<meta[^>]*(?:property|name)=["'']og:title["''][^>]*content=["''](.*?)["'']', 1)), ''),
+      nullif(trim(regexp_extract(html, '(?is)<meta[^>]*(?:property|name)=["'']twitter:title["''][^>]*content=["''](.*?)["'']', 1)), ''),
+      nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', '', 'g')), ''), '') AS title FROM pages""",
     "h26_outline": """WITH h AS (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-3][^>]*>.*?</h[1-3]>') AS a FROM pages),
       e AS (SELECT page_id, unnest(a) AS h, unnest(range(1, len(a) + 1)) AS position FROM h)
       SELECT page_id, CAST(position AS INTEGER) AS position, CAST(h[3:3] AS INTEGER) AS level, trim(regexp_replace(h, '<[^>]+>', '', 'g')) AS text FROM e""",
     "h28_cleaning_stats": f"""WITH s AS (SELECT page_id, CAST(length(html) AS INTEGER) AS html_length, CAST(length({CLEAN_SQL}) AS INTEGER) AS cleaned_length,
-      CAST(len(regexp_extract_all(html, '<[^>]+>')) AS INTEGER) AS tags FROM pages) SELECT *, round(1 - cleaned_length / html_length, 3) AS reduction FROM s""",
-    "h30_dynamic_pages": f"SELECT page_id, regexp_matches(lower(html), '{MARKERS}') AS dynamic FROM pages",
+      CAST(len(regexp_extract_all(html, '<[^>]+>')) AS INTEGER) AS tags,
+      CAST(len(regexp_extract_all(html, '&[a-zA-Z][a-zA-Z0-9]*;|&#[0-9]+;|&#x[0-9a-fA-F]+;')) AS INTEGER) AS entities FROM pages) SELECT *, round(1 - cleaned_length / html_length, 3) AS reduction FROM s""",
+    "h30_dynamic_pages": "SELECT page_id, " + DYNAMIC_SQL + " AS dynamic FROM pages",
 }

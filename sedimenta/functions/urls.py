@@ -63,20 +63,24 @@ def u03_url_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def u04_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first page of each canonical URL, by a pre-aggregated minimum."""
-    pages = table(spark, sf_dir, "pages").select("page_id", normalized().alias("normalized_url"))
-    return pages.groupBy("normalized_url").agg(F.min("page_id").alias("page_id"), F.count("*").alias("crawl_count"))
+    """The first page of each URL as it is written, by a pre-aggregated minimum."""
+    return table(spark, sf_dir, "pages").groupBy("url").agg(F.min("page_id").alias("page_id"))
 
 
 def u05_domain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(domain().alias("domain")).agg(F.count("*").alias("pages"))
 
 
+def title_slug(title: Column, url: Column) -> Column:
+    """Title of at most 60 characters fit for a file name, `untitled` without one, and eight digits of the URL's md5 (of an empty text for null)."""
+    plain = F.coalesce(F.nullif(F.btrim(title, F.lit(" \t\n\r\f\x0b")), F.lit("")), F.lit("untitled"))
+    slug = F.regexp_replace(F.regexp_replace(F.replace(plain, F.lit(" "), F.lit("-")), r'[<>:"/\\|?*]', "_"), "-+", "-")
+    return F.concat(F.substring(slug, 1, 60), F.lit("-"), F.substring(F.md5(F.coalesce(url, F.lit(""))), 1, 8))
+
+
 def u07_url_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title slug of at most 60 characters with eight digits of the URL's md5."""
-    title = "regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)"
-    slug = f"substring(regexp_replace(regexp_replace(replace({title}, ' ', '-'), '[<>:\"/\\\\\\\\|?*]', '_'), '-+', '-'), 1, 60)"
-    return table(spark, sf_dir, "pages").select("page_id", F.expr(f"concat({slug}, '-', substring(md5(url), 1, 8))").alias("slug"))
+    title = F.regexp_extract("html", "(?s)<title[^>]*>(.*?)</title>", 1)
+    return table(spark, sf_dir, "pages").select("page_id", title_slug(title, F.col("url")).alias("slug"))
 
 
 QUERIES = {q.__name__: q for q in (u01_normalize_url, u02_url_hash, u03_url_key, u04_first_seen, u05_domain_counts, u07_url_slug)}
@@ -84,8 +88,9 @@ ORACLES = {
     "u01_normalize_url": NORMALIZED_SQL + " SELECT page_id, normalized_url FROM n",
     "u02_url_hash": NORMALIZED_SQL + " SELECT page_id, sha256(normalized_url) AS url_hash FROM n",
     "u03_url_key": "SELECT page_id, md5(lower(rtrim(url, '/')))[1:12] AS url_key FROM pages",
-    "u04_first_seen": NORMALIZED_SQL + " SELECT normalized_url, min(page_id) AS page_id, count(*) AS crawl_count FROM n GROUP BY 1",
+    "u04_first_seen": "SELECT url, min(page_id) AS page_id FROM pages GROUP BY 1",
     "u05_domain_counts": "SELECT coalesce(nullif(regexp_extract(url, '://([^/?#]*)', 1), ''), 'unknown') AS domain, count(*) AS pages FROM pages GROUP BY 1",
-    "u07_url_slug": r"""SELECT page_id, regexp_replace(regexp_replace(replace(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), ' ', '-'), '[<>:"/\\|?*]', '_', 'g'), '-+', '-', 'g')[1:60]
-      || '-' || md5(url)[1:8] AS slug FROM pages""",
+    "u07_url_slug": r"""WITH t AS (SELECT page_id, url, trim(coalesce(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM pages)
+      SELECT page_id, regexp_replace(regexp_replace(replace(CASE WHEN t = '' THEN 'untitled' ELSE t END, ' ', '-'), '[<>:"/\\|?*]', '_', 'g'), '-+', '-', 'g')[1:60]
+      || '-' || md5(coalesce(url, ''))[1:8] AS slug FROM t""",
 }

@@ -46,7 +46,7 @@ def a04_quality_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
         n.alias("items"),
         F.round(F.count_if(F.expr(LOW_INFO.format(contains="contains"))) / n, 4).alias("low_info_rate"),
         F.round(F.count_if(F.expr("length(t) < 30")) / n, 4).alias("indexable_fail_rate"),
-        F.round((n - F.count_distinct("t")) / n, 4).alias("duplicate_rate"),
+        F.round((n - F.count_distinct(F.md5("t"))) / n, 4).alias("duplicate_rate"),
     )
 
 
@@ -62,17 +62,28 @@ def a08_label_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a23_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """0.5, more for length and for each group of cue words, at most 1."""
-    length = "case when length(text) > 1000 then 2 when length(text) > 500 then 1 else 0 end"
-    cues = " + ".join(f"if(lower(text) rlike '{c}', 1, 0)" for c in CUES)
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr(f"round(least(1.0D, 0.5D + ({length} + {cues}) / 10.0D), 2)").alias("reliability"))
+    return table(spark, sf_dir, "documents").select("doc_id", reliability("text").alias("reliability"))
 
 
-CUES = ["definition|concept", "rule|must", "example|case"]
+def reliability(text: str):
+    """0.5, more for length and for each group of cue words, at most 1; 0.5 for null."""
+    length = f"case when length({text}) > 1000 then 2 when length({text}) > 500 then 1 else 0 end"
+    cues = " + ".join(f"if(coalesce({text} rlike '{c}', false), 1, 0)" for c in CUES)
+    return F.expr(f"round(least(1.0D, 0.5D + ({length} + {cues}) / 10.0D), 2)")
+
+
+#: Groups of words that show structure, fixed values.
+CUES = ["步骤|流程", "示例|例子", "规则|约束"]
+
+
+def valid_text(text: str):
+    """Whether a text of 5 characters or more holds no NUL, ÿ or þ, and a letter or for the half printable characters; false for null."""
+    seen = rf"length(regexp_replace({text}, r'[^\x09-\x0D\x20-\x7E\x{{80}}-\x{{10FFFF}}]', '')) * 2 >= length({text})"
+    return F.expr(rf"coalesce(length({text}) >= 5 and not {text} rlike r'[\x00ÿþ]' and ({text} rlike r'\p{{L}}' or {seen}), false)")
 
 
 def p15_valid_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr(r"length(trim(text)) >= 5 and not contains(text, 'ÿ') and not contains(text, 'þ') and text rlike '\\p{L}'").alias("valid"))
+    return table(spark, sf_dir, "documents").select("doc_id", valid_text("text").alias("valid"))
 
 
 def o01_longest_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +127,8 @@ QUERIES = {
     for q in (d02_content_hash, d03_fingerprint, d04_exact_content, a04_quality_rates, a05_grain_report, a08_label_rates, a23_reliability, p15_valid_text,
               o01_longest_per_source, p07_transcript, w01_sequential_ids, w07_context_budget, p02_dotted_path, t01_event_windows)
 }
-_RELIABLE = "CASE WHEN length(text) > 1000 THEN 2 WHEN length(text) > 500 THEN 1 ELSE 0 END + " + " + ".join(f"CASE WHEN regexp_matches(lower(text), '{c}') THEN 1 ELSE 0 END" for c in CUES)
+RELIABLE_SQL = """round(least(1.0::DOUBLE, 0.5::DOUBLE + (CASE WHEN length(text) > 1000 THEN 2 WHEN length(text) > 500 THEN 1 ELSE 0 END + CASE WHEN contains(text, '步骤') OR contains(text, '流程') THEN 1 ELSE 0 END
+  + CASE WHEN contains(text, '示例') OR contains(text, '例子') THEN 1 ELSE 0 END + CASE WHEN contains(text, '规则') OR contains(text, '约束') THEN 1 ELSE 0 END) / 10.0::DOUBLE), 2)"""
 ORACLES = {
     "d02_content_hash": f"SELECT doc_id, {_HASH_SQL} AS content_hash FROM documents",
     "d03_fingerprint": r"SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{3,}')[1:200], ' ') AS fingerprint FROM documents",
@@ -126,8 +138,9 @@ ORACLES = {
       round(count(*) FILTER (length(t) < 30) / count(*), 4) AS indexable_fail_rate, round((count(*) - count(DISTINCT t)) / count(*), 4) AS duplicate_rate FROM (SELECT lang, text AS t FROM documents) GROUP BY lang""",
     "a05_grain_report": "SELECT lang, source, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, max(n_chars) AS longest FROM documents GROUP BY ROLLUP (lang, source)",
     "a08_label_rates": "SELECT lang, count(*) AS labelled, round(avg(quality), 4) AS quality_rate, round(avg(toxic), 4) AS toxic_rate FROM documents JOIN labels USING (doc_id) GROUP BY lang",
-    "a23_reliability": f"SELECT doc_id, round(least(1.0::DOUBLE, 0.5::DOUBLE + ({_RELIABLE}) / 10.0::DOUBLE), 2) AS reliability FROM documents",
-    "p15_valid_text": r"SELECT doc_id, length(trim(text)) >= 5 AND NOT contains(text, 'ÿ') AND NOT contains(text, 'þ') AND regexp_matches(text, '\p{L}') AS valid FROM documents",
+    "a23_reliability": f"SELECT doc_id, {RELIABLE_SQL} AS reliability FROM documents",
+    "p15_valid_text": r"""SELECT doc_id, coalesce(length(text) >= 5 AND NOT contains(text, chr(0)) AND NOT contains(text, 'ÿ') AND NOT contains(text, 'þ')
+      AND (regexp_matches(text, '\p{L}') OR length(regexp_replace(text, '[^\x09-\x0D\x20-\x7E\x{80}-\x{10FFFF}]', '', 'g')) * 2 >= length(text)), false) AS valid FROM documents""",
     "o01_longest_per_source": "SELECT * FROM (SELECT source, doc_id, n_chars, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS INTEGER) AS rank FROM documents) WHERE rank <= 3",
     "p07_transcript": "SELECT conv_id, string_agg('## ' || role || chr(10) || text, chr(10) || chr(10) ORDER BY turn, role, text) AS markdown FROM conversations GROUP BY conv_id",
     "w01_sequential_ids": r"""WITH s AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]'), lambda s: trim(s)), lambda s: length(s) > 15) AS a FROM conversations),

@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialects import duck_sql, spark_sql
-from ..functions.html import CLEAN_SQL, clean_text
+from ..functions.html import CLEAN_SQL, DYNAMIC_SQL, clean_text, is_dynamic
 from ..functions.urls import domain
 from ..session import table
 
 #: Words, patterns and limits of the extraction rules, fixed values.
 RULE_WORDS = ["必须", "应该", "不能", "禁止", "要求", "规定", "限制", "约束", "条件", "如果", "当", "则"]
-STAND_INS = ["est", "the "]
 WEB_WORDS = ["http", "www.", "redirect_link", "displayed_link", "favicon", "snippet_highlighted_words", "organic_results", "search_metadata"]
 FIELD_WORDS = ["position", "title", "link", "redirect_link", "displayed_link", "favicon", "date", "snippet", "snippet_highlighted_words", "source", "search_metadata", "search_parameters", "organic_results", "pagination"]
-NOT_A_NAME = [r"^[0-9]+[、. ]", "^[一二三四五六七八九十百千]+[、. ]", "https?://", r"www\.", "^[第 ]*[0-9]+[章节步骤]", r"^ *[（(].*[）)] *$"]
+NOT_A_NAME = [
+    "^[0-9]+[、.]", r"^[0-9]+\s", "^[一二三四五六七八九十百千]+[、.]", r"^[一二三四五六七八九十百千]+\s", "https?://", r"www\.",
+    r"^[第\s]*[0-9]+[章节步骤]", r"^\s*[（(].*[）)]\s*$", r"^\s*\x22 .* \x22\s*$",
+]
 NOT_AN_ITEM = ["^[0-9]+$", "^[a-zA-Z]+$", r"^[{}\[\]\x22\x27]+$", "json", "redirect_link", "favicon", "snippet_highlighted_words"]
 IMAGE_ENDS = ["jpg", "jpeg", "png", "gif", "webp", "svg"]
 IMAGE_WORDS = ["image", "img", "photo", "pic"]
@@ -26,8 +28,7 @@ DOMAINS = {
     "www.infoq.cn": "infoq", "xie.infoq.cn": "infoq", "www.visual-paradigm.com": "vp", "boardmix.cn": "boardmix", "www.processon.com": "processon",
     "www.finebi.com": "finebi", "jingyan.baidu.com": "baidu", "www.feishu.cn": "feishu", "www.w3cschool.cn": "w3c", "www.runoob.com": "runoob",
 }
-MAIN_SELECTORS = [r"<article[ >]", r"<main[ >]", r"id=\x22content\x22", r"class=\x22post\x22", r"class=\x22article\x22", r"class=\x22content\x22", r"role=\x22main\x22", r"class=\x22entry-content\x22", r"id=\x22content_views\x22"]
-DYNAMIC = r"id=\x22__next\x22|data-reactroot|window.__nuxt__|ng-app|loading"
+MAIN_SELECTORS = [r"<article[ >]", r"<main[ >]", r"id=\x22content\x22", r"class=\x22([^\x22]* )?post[ \x22]", r"class=\x22([^\x22]* )?article[ \x22]", r"class=\x22([^\x22]* )?content[ \x22]", r"role=\x22main\x22", r"class=\x22([^\x22]* )?entry-content[ \x22]", r"id=\x22content_views\x22"]
 INVISIBLE = r"[\x{200B}-\x{200F}\x{2060}\x{FEFF}]"
 EMOJI = r"[\x{1F300}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2600}-\x{27BF}\x{FE0F}]"
 
@@ -57,13 +58,18 @@ VALID_ITEM = f"length(l) BETWEEN 5 AND 100 AND NOT @like(lower(l), @'{'|'.join(x
 IMAGE_URL = f"coalesce(@like(lower(url), @'\\.({'|'.join(IMAGE_ENDS)})$|{'|'.join(IMAGE_WORDS)}') AND NOT @like(lower(url), @'{'|'.join(NOT_CONTENT)}'), false)"
 
 
+def once(expression: str):
+    """An expression behind a generator: what follows reads its value instead of repeating it."""
+    return F.explode(F.array(F.expr(spark_sql(expression))))
+
+
 def e02_clean_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.expr(spark_sql(CLEANED)).alias("cleaned"))
 
 
 def p18_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many sentences of a cleaned text carry meaning, and how long they are in all."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(spark_sql(CLEANED)).alias("c")).select("doc_id", F.expr(spark_sql(SENTENCES)).alias("s"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", once(CLEANED).alias("c")).select("doc_id", once(SENTENCES).alias("s"))
     return rows.select("doc_id", F.coalesce(F.size("s"), F.lit(0)).alias("sentences"), F.expr("coalesce(aggregate(s, 0L, (n, x) -> n + length(x)), 0L)").alias("chars"))
 
 
@@ -72,16 +78,17 @@ def rule_rows(docs: DataFrame, words: list[str], among: int, least: int) -> Data
 
     Texts of under 50 cleaned characters or with fewer than two sentences that carry meaning have none.
     """
-    rows = docs.select("doc_id", F.expr(spark_sql(CLEANED)).alias("c")).where("length(c) >= 50").select("doc_id", F.expr(spark_sql(SENTENCES)).alias("s"))
+    rows = docs.select("doc_id", once(CLEANED).alias("c")).where("length(c) >= 50").select("doc_id", once(SENTENCES).alias("s"))
     picked = f"slice(filter(slice(s, 1, {among}), x -> length(x) > 20 and x rlike '{'|'.join(words)}'), 1, {least})"
     found = rows.where("size(s) >= 2").select("doc_id", F.posexplode(F.expr(picked)).alias("pos", "action"))
     return found.select("doc_id", F.format_string("rule_%03d", F.col("pos") + 1).alias("rule_id"), "action")
 
 
 def e05_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules of the documents. The invented prose has none of the fixed words, so that frequent words stand in for them."""
-    # the words are a parameter; a corpus of real prose takes RULE_WORDS alone
-    return rule_rows(table(spark, sf_dir, "documents"), [*RULE_WORDS, *STAND_INS], 10, 6)
+    """How many rules each document has, and the first one; the invented prose has none of the fixed words."""
+    docs = table(spark, sf_dir, "documents")
+    found = rule_rows(docs, RULE_WORDS, 10, 6).groupBy("doc_id").agg(F.count("*").alias("rules"), F.min_by("action", "rule_id").alias("first_rule"))
+    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("rules", F.lit(0).cast("long")).alias("rules"), "first_rule")
 
 
 def p19_concept_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +139,7 @@ def h29_crawl_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = " + ".join(f"if(regexp_like(html, r'(?i){s}'), 1, 0)" for s in MAIN_SELECTORS)
     rows = table(spark, sf_dir, "pages").select(
         "page_id", F.expr("coalesce(length(html), 0)").alias("html_length"), F.length(clean_text()).alias("cleaned_length"),
-        F.expr(f"coalesce({hits}, 0)").alias("main_selector_hits"), F.expr(f"coalesce(regexp_like(html, r'(?i){DYNAMIC}'), false)").alias("dynamic_markers_found"),
+        F.expr(f"coalesce({hits}, 0)").alias("main_selector_hits"), is_dynamic().alias("dynamic_markers_found"),
     )
     rows = rows.withColumn("text_density", F.expr("if(html_length > 0, round(cleaned_length / html_length, 4), 0.0D)"))
     return rows.withColumn("fallback", F.expr(_FALLBACK))
@@ -173,8 +180,8 @@ _MEANT_SQL = f"WITH d AS (SELECT doc_id, {duck_sql(CLEANED)} AS c FROM documents
 ORACLES = {
     "e02_clean_content": f"SELECT doc_id, {duck_sql(CLEANED)} AS cleaned FROM documents",
     "p18_sentences": _MEANT_SQL.replace("{0}", "true") + " SELECT doc_id, CAST(coalesce(len(s), 0) AS INTEGER) AS sentences, CAST(coalesce(list_sum(list_transform(s, lambda x: length(x))), 0) AS BIGINT) AS chars FROM s",
-    "e05_rules": _MEANT_SQL.replace("{0}", "length(c) >= 50") + f""", r AS (SELECT doc_id, list_filter(s[1:10], lambda x: length(x) > 20 AND regexp_matches(x, '{"|".join([*RULE_WORDS, *STAND_INS])}'))[1:6] AS a FROM s WHERE len(s) >= 2),
-      e AS (SELECT doc_id, unnest(a) AS action, unnest(range(1, len(a) + 1)) AS i FROM r) SELECT doc_id, printf('rule_%03d', i) AS rule_id, action FROM e""",
+    "e05_rules": _MEANT_SQL.replace("{0}", "length(c) >= 50") + """, r AS (SELECT doc_id, list_filter(s[1:10], lambda x: length(x) > 20 AND regexp_matches(x, '必须|应该|不能|禁止|要求|规定|限制|约束|条件|如果|当|则'))[1:6] AS a FROM s WHERE len(s) >= 2)
+      SELECT d.doc_id, CAST(coalesce(len(a), 0) AS BIGINT) AS rules, a[1] AS first_rule FROM documents d LEFT JOIN r USING (doc_id)""",
     "p19_concept_names": f"SELECT page_id, {duck_sql(VALID_NAME)} AS valid FROM (SELECT page_id, regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) AS t FROM pages)",
     "p21_checklist_items": duck_sql(rf"SELECT doc_id, CAST(@size(@filter(@map(@split(text, @'\n'), @lambda l@to trim(l)), @lambda l@to {VALID_ITEM})) AS INTEGER) AS items FROM documents"),
     "u11_image_urls": f"SELECT page_id, {duck_sql(IMAGE_URL)} AS is_image FROM pages",
@@ -185,7 +192,7 @@ ORACLES = {
     "h25_visible": f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '{INVISIBLE}', '', 'g'), '{EMOJI}', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS text FROM documents",
     "h29_crawl_metrics": f"""WITH m AS (SELECT page_id, CAST(coalesce(length(html), 0) AS INTEGER) AS html_length, CAST(length({CLEAN_SQL}) AS INTEGER) AS cleaned_length,
         CAST(coalesce({" + ".join(f"CASE WHEN regexp_matches(html, '(?i){s}') THEN 1 ELSE 0 END" for s in MAIN_SELECTORS)}, 0) AS INTEGER) AS main_selector_hits,
-        coalesce(regexp_matches(html, '(?i){DYNAMIC}'), false) AS dynamic_markers_found FROM pages),
+        {DYNAMIC_SQL} AS dynamic_markers_found FROM pages),
       d AS (SELECT *, CASE WHEN html_length > 0 THEN round(cleaned_length / html_length, 4) ELSE 0.0::DOUBLE END AS text_density FROM m) SELECT *, {_FALLBACK} AS fallback FROM d""",
     "h14_sections": _SECTIONS_SQL + " SELECT * FROM s",
 }
