@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from .functions import html, urls
 from .operators import caches, chunking, corpus, extraction, retrieval, signals
-from .operators import refinement, structure
+from .operators import evaluation, refinement, structure
 from .sources import artifacts
 from .streaming import dedup
 
 FLAGSHIP = "u01_normalize_url"
-MODULES = (urls, html, corpus, signals, retrieval, caches, extraction, chunking, dedup, structure, artifacts, refinement)
+MODULES = (urls, html, corpus, signals, retrieval, caches, extraction, chunking, dedup, structure, artifacts, refinement, evaluation)
 
 
 def queries() -> dict[str, Callable]:
