@@ -13,6 +13,12 @@ MARKS = {
     "@size(": ("size(", "len("),
     "@whole)": (", 0)", ")"),
     "@every)": (")", ", 'g')"),
+    "@take(": ("slice(", "list_slice("),
+    "@both(": ("concat(", "list_concat("),
+    "@before(": ("substring_index(", "split_part("),
+    "@[": ("array(", "["),
+    "@]": (")", "]"),
+    "@1": ("$1", "\\1"),
     "@lambda ": ("", "lambda "),
     "@to": (" ->", ":"),
     "@'": ("r'", "'"),

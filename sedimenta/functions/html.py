@@ -78,7 +78,7 @@ def h26_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def h28_cleaning_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", F.char_length("html").alias("html_length"), F.char_length(clean_text()).alias("cleaned_length"), F.regexp_count("html", F.lit("<[^>]+>")).alias("tags"), F.regexp_count("html", F.lit("&[a-zA-Z][a-zA-Z0-9]*;|&#[0-9]+;|&#x[0-9a-fA-F]+;")).alias("entities"))
-    return rows.withColumn("reduction", F.round(1 - F.col("cleaned_length") / F.col("html_length"), 3))
+    return rows.withColumn("reduction", F.round(1 - F.try_divide(F.col("cleaned_length"), F.col("html_length")), 3))
 
 
 def h30_dynamic_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +100,6 @@ ORACLES = {
       SELECT page_id, CAST(position AS INTEGER) AS position, CAST(h[3:3] AS INTEGER) AS level, trim(regexp_replace(h, '<[^>]+>', '', 'g')) AS text FROM e""",
     "h28_cleaning_stats": f"""WITH s AS (SELECT page_id, CAST(length(html) AS INTEGER) AS html_length, CAST(length({CLEAN_SQL}) AS INTEGER) AS cleaned_length,
       CAST(len(regexp_extract_all(html, '<[^>]+>')) AS INTEGER) AS tags,
-      CAST(len(regexp_extract_all(html, '&[a-zA-Z][a-zA-Z0-9]*;|&#[0-9]+;|&#x[0-9a-fA-F]+;')) AS INTEGER) AS entities FROM pages) SELECT *, round(1 - cleaned_length / html_length, 3) AS reduction FROM s""",
+      CAST(len(regexp_extract_all(html, '&[a-zA-Z][a-zA-Z0-9]*;|&#[0-9]+;|&#x[0-9a-fA-F]+;')) AS INTEGER) AS entities FROM pages) SELECT *, round(1 - cleaned_length / nullif(html_length, 0), 3) AS reduction FROM s""",
     "h30_dynamic_pages": "SELECT page_id, " + DYNAMIC_SQL + " AS dynamic FROM pages",
 }

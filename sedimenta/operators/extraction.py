@@ -11,7 +11,7 @@ from ..functions.urls import domain
 from ..session import table
 
 #: Words, patterns and limits of the extraction rules, fixed values.
-RULE_WORDS = ["必须", "应该", "不能", "禁止", "要求", "规定", "限制", "约束", "条件", "如果", "当", "则"]
+RULE_WORDS = ["规则", "约束", "限制", "要求", "必须", "应该", "应当", "需要", "不能", "禁止", "规定", "条件", "如果", "当", "则"]
 WEB_WORDS = ["http", "www.", "redirect_link", "displayed_link", "favicon", "snippet_highlighted_words", "organic_results", "search_metadata"]
 FIELD_WORDS = ["position", "title", "link", "redirect_link", "displayed_link", "favicon", "date", "snippet", "snippet_highlighted_words", "source", "search_metadata", "search_parameters", "organic_results", "pagination"]
 NOT_A_NAME = [
@@ -180,7 +180,7 @@ _MEANT_SQL = f"WITH d AS (SELECT doc_id, {duck_sql(CLEANED)} AS c FROM documents
 ORACLES = {
     "e02_clean_content": f"SELECT doc_id, {duck_sql(CLEANED)} AS cleaned FROM documents",
     "p18_sentences": _MEANT_SQL.replace("{0}", "true") + " SELECT doc_id, CAST(coalesce(len(s), 0) AS INTEGER) AS sentences, CAST(coalesce(list_sum(list_transform(s, lambda x: length(x))), 0) AS BIGINT) AS chars FROM s",
-    "e05_rules": _MEANT_SQL.replace("{0}", "length(c) >= 50") + """, r AS (SELECT doc_id, list_filter(s[1:10], lambda x: length(x) > 20 AND regexp_matches(x, '必须|应该|不能|禁止|要求|规定|限制|约束|条件|如果|当|则'))[1:6] AS a FROM s WHERE len(s) >= 2)
+    "e05_rules": _MEANT_SQL.replace("{0}", "length(c) >= 50") + """, r AS (SELECT doc_id, list_filter(s[1:10], lambda x: length(x) > 20 AND regexp_matches(x, '规则|约束|限制|要求|必须|应该|应当|需要|不能|禁止|规定|条件|如果|当|则'))[1:6] AS a FROM s WHERE len(s) >= 2)
       SELECT d.doc_id, CAST(coalesce(len(a), 0) AS BIGINT) AS rules, a[1] AS first_rule FROM documents d LEFT JOIN r USING (doc_id)""",
     "p19_concept_names": f"SELECT page_id, {duck_sql(VALID_NAME)} AS valid FROM (SELECT page_id, regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) AS t FROM pages)",
     "p21_checklist_items": duck_sql(rf"SELECT doc_id, CAST(@size(@filter(@map(@split(text, @'\n'), @lambda l@to trim(l)), @lambda l@to {VALID_ITEM})) AS INTEGER) AS items FROM documents"),

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from .functions import html, urls
 from .operators import caches, chunking, corpus, extraction, retrieval, signals
-from .operators import evaluation, indexing, refinement, scoring, search, structure
+from .operators import evaluation, indexing, knowledge, refinement, scoring, search, structure
 from .sources import artifacts
 from .streaming import dedup
 
 FLAGSHIP = "u01_normalize_url"
-MODULES = (urls, html, corpus, signals, retrieval, caches, extraction, chunking, dedup, structure, artifacts, refinement, evaluation, scoring, indexing, search)
+MODULES = (urls, html, corpus, signals, retrieval, caches, extraction, chunking, dedup, structure, artifacts, refinement, evaluation, scoring, indexing, search, knowledge)
 
 
 def queries() -> dict[str, Callable]:

@@ -1,7 +1,9 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from sedimenta.operators import caches, chunking, extraction, retrieval, structure
+from sedimenta.functions import html
+from sedimenta.operators import caches, chunking, extraction, knowledge, retrieval, structure
 from sedimenta.sources import artifacts
 from sedimenta.streaming import dedup
 from verify import compare
@@ -15,6 +17,9 @@ TEXTS = [
     "   ",
     None,
     "word " * 20000,
+    "1、数据流图是指描述系统中数据流动和处理过程的图形化工具3。第二句话介绍外部实体的定义以及它和系统之间的各种关系与边界。步骤一是收集所有用户需求并整理成完整清单文档！随后分析每一个需求的可行性和实现代价细节。"
+    "模板：该结构框架能够帮助工程师快速完成系统设计任务吗？\n1. 检查所有输入是否有效\n2、确认输出格式符合标准要求\n• 记录全部出现的错误问题",
+    "一、模式 说明：这里给出一个可以重复使用的设计模式供大家参考学习。流程图展示了从开始到结束的所有步骤与分支情况说明。（边界）用来称呼系统与外界之间的分隔，\"接口\"则用于连接两边的不同部件。",
 ]
 PAGES = [
     (1, "https://www.zhihu.com/a.png", "<html><title>名称 x</title><body><nav>n</nav><article class=a><h1>A <b>b</b></h1><p>one<br>two</p><H3 id=1>C</H3><ul><li>i</li></ul></article></body></html>"),
@@ -23,7 +28,7 @@ PAGES = [
     (4, "https://www.zhihu.com/a.png", "<p>no heading</p><a href=x>link</a>"),
     (5, "http://logo.de/img", "<h2>only</h2>" + "t " * 3000),
 ]
-MODULES = (extraction, structure, chunking)
+MODULES = (extraction, structure, chunking, knowledge, html)
 CASES = [(m, n) for m in MODULES for n in m.QUERIES if n != "c02_cases"]
 
 
@@ -63,7 +68,36 @@ def test_nearest_skips_broken_vectors(spark, folder):
 
 def test_rules(spark, folder):
     got = extraction.rule_rows(spark.read.parquet(f"{folder}/documents.parquet"), extraction.RULE_WORDS, 10, 6).collect()
-    assert [(r.doc_id, r.rule_id) for r in got] == [(0, "rule_001")]
+    assert [(r.doc_id, r.rule_id) for r in got if r.doc_id < 8] == [(0, "rule_001")]
+
+
+def test_concepts_and_patterns(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = [(r.doc_id, r.concept_id, r.name) for r in knowledge.concepts(docs).orderBy("doc_id", "concept_id").collect()]
+    assert (8, "concept_001", "数据流图") in got
+    first = knowledge.concepts(docs).where("doc_id = 8").orderBy("concept_id").first()
+    assert first.definition == "数据流图是指描述系统中数据流动和处理过程的图形化工具。"
+    steps = knowledge.transformations(docs).where("doc_id = 8").orderBy("transformation_id").first()
+    assert steps.first_step.startswith("1、数据流图") or steps.first_step.startswith("步骤")
+    assert {r.doc_id: r["items"] for r in knowledge.checklist(docs).collect()}[8].count("检查所有输入是否有效") == 1
+
+
+def test_categories(spark):
+    rows = [(0.9, 3, "A DFD of it"), (0.6, 3, "dfd"), (0.9, 1, "dfd"), (0.7, 2, "requirement analysis, uml"), (0.8, 2, "none"), (0.8, 2, None)]
+    df = spark.createDataFrame(rows, "r double, n int, t string")
+    got = [r.c for r in df.select(structure.category(F.col("r"), F.col("n"), F.col("t")).alias("c")).collect()]
+    assert got == ["dfd_modeling", "archived", "archived", "requirement_analysis", "uncategorized", "uncategorized"]
+
+
+def test_dynamic_pages_and_validity(spark):
+    from sedimenta.operators import corpus
+
+    pages = ['<div id="app">', "window.__NUXT__=1", "LOADING", "<p>plain</p>", None, "__INITIAL_STATE__", "ng-app"]
+    got = [r.d for r in spark.createDataFrame([(p,) for p in pages], "html string").select(html.is_dynamic().alias("d")).collect()]
+    assert got == [True, True, True, False, False, True, False]
+    texts = ["abcd", "abcde", "a\0bcde", "ÿabcdef", "12345", "\x01\x02\x03\x04\x05", None, "  a  "]
+    got = [r.v for r in spark.createDataFrame([(t,) for t in texts], "text string").select(corpus.valid_text("text").alias("v")).collect()]
+    assert got == [False, True, False, False, True, False, False, True]
 
 
 def test_ttl_across_buckets(spark):
