@@ -40,14 +40,15 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
 
 def search_items(responses: DataFrame, column: str = "raw", keys: list[str] = RESULT_KEYS, fields: dict[str, list[str]] = RESULT_FIELDS) -> DataFrame:
     """One row per result of JSON search responses: the first key that holds results counts, and of each field
-    the first name that is not empty; a single object is a list of one; results without a URL are left out."""
+    the first name that is not empty; a single object is a list of one; results without a URL are left out.
+    Columns that are named as a field are replaced."""
     lists = [F.get_json_object(column, f"$.{k}") for k in keys]
     first = F.coalesce(*(F.when(~x.isin("", "[]", "{}", "0", "false"), x) for x in lists))
     listed = F.when(first.startswith("["), first).otherwise(F.concat(F.lit("["), first, F.lit("]")))
     items = responses.select("*", F.posexplode(F.from_json(listed, "array<string>")).alias("place", "item"))
     values = {f: F.coalesce(*(F.nullif(F.nullif(F.get_json_object("item", f"$.{n}"), F.lit("")), F.lit("0")) for n in names)) for f, names in fields.items()}
     values["position"] = values["position"].cast("int")
-    return items.select(*responses.columns, "place", *(c.alias(f) for f, c in values.items())).where("url is not null").drop(column)
+    return items.select(*(c for c in responses.columns if c not in fields), "place", *(c.alias(f) for f, c in values.items())).where("url is not null").drop(column)
 
 
 def recovered_json(text: str):
