@@ -53,13 +53,19 @@ def t02_stream_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_table(first_contents(table_stream(spark, sf_dir, "documents")), "t02")
 
 
+def t01_stream_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of events that the stream has not seen within thirty days, the whole time that the table spans."""
+    return run_to_table(first_visits(table_stream(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "30 days").select("user_id", "event_type"), "t01")
+
+
 def t06_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = run_to_table(windowed_counts(table_stream(spark, sf_dir, "events")), "t06", "complete")
     return counts.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-QUERIES = {q.__name__: q for q in (t02_stream_contents, t06_stream_windows)}
+QUERIES = {q.__name__: q for q in (t01_stream_visits, t02_stream_contents, t06_stream_windows)}
 ORACLES = {
+    "t01_stream_visits": "SELECT DISTINCT user_id, event_type FROM events",
     "t02_stream_contents": f"SELECT DISTINCT {_HASH_SQL} AS content_hash FROM documents",
     "t06_stream_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
