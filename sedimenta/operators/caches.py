@@ -75,11 +75,17 @@ def structural_duplicates(items: DataFrame, least: float) -> DataFrame:
     sets = sets.select("item_id", F.expr("transform(s, x -> x.value)").alias("s"))
     classes = sets.groupBy("s").agg(F.min("item_id").alias("class_id"))
     members = sets.join(classes, "s").where("item_id <> class_id").selectExpr("item_id", "class_id as match_id", "1.0D as similarity")
-    prefix = F.expr(f"explode(slice(s, 1, size(s) - cast(ceil({least} * size(s)) as int) + 1))")
-    keyed = classes.select("class_id", "s", prefix.alias("value"))
-    a, b = keyed.select("value", F.col("class_id").alias("item_id"), F.col("s").alias("sa")), keyed.select("value", F.col("class_id").alias("match_id"), F.col("s").alias("sb"))
-    near = f"match_id < item_id and size(sa) >= {least} * size(sb) and size(sb) >= {least} * size(sa)"
-    pairs = a.join(b, "value").where(near).withColumn("similarity", F.expr("cast(size(array_intersect(sa, sb)) as double) / size(array_union(sa, sb))"))
+    prefix = F.expr(f"slice(s, 1, size(s) - cast(ceil({least} * size(s)) as int) + 1)")
+    marks = F.expr("aggregate(s, 0L, (m, v) -> m | shiftleft(1L, cast(pmod(xxhash64(v), 64) as int)))")
+    keyed = classes.select("class_id", "s", marks.alias("m"), F.posexplode(prefix).alias("i", "value"))
+    a = keyed.select("value", "i", F.col("m").alias("ma"), F.col("class_id").alias("item_id"), F.col("s").alias("sa"))
+    b = keyed.select("value", F.col("i").alias("j"), F.col("m").alias("mb"), F.col("class_id").alias("match_id"), F.col("s").alias("sb"))
+    # two sets share what is left of them from this value on at most, and no more than their marks have in common, but for values that share a mark
+    shared = "least(size(sa) - i, size(sb) - j, bit_count(ma & mb) + size(sa) - bit_count(ma))"
+    left = f"{shared} >= {least / (1 + least)} * (size(sa) + size(sb)) - 1e-9"
+    near = f"match_id < item_id and size(sa) >= {least} * size(sb) and size(sb) >= {least} * size(sa) and {left}"
+    pairs = a.join(b, "value").where(near)
+    pairs = pairs.withColumn("shared", F.size(F.array_intersect("sa", "sb"))).withColumn("similarity", F.expr("cast(shared as double) / (size(sa) + size(sb) - shared)"))
     best = pairs.where(F.col("similarity") >= least).groupBy("item_id").agg(F.max(F.struct("similarity", (-F.col("match_id")).alias("m"))).alias("b"))
     return members.unionByName(best.selectExpr("item_id", "-b.m as match_id", "b.similarity"))
 

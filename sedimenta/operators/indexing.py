@@ -45,7 +45,10 @@ def type_by_path(path: Column) -> Column:
 
 
 def _maps(body: str, path: str) -> str:
-    return f"filter(transform(coalesce(from_json(get_json_object({body}, '$.{path}'), 'array<string>'), array()), x -> from_json(x, 'map<string,string>')), m -> m is not null)"
+    """SQL of the objects of a list as maps; a list that holds other items too is taken item by item."""
+    items = f"get_json_object({body}, '$.{path}')"
+    each = f"transform(coalesce(from_json({items}, 'array<string>'), array()), x -> from_json(x, 'map<string,string>'))"
+    return f"filter(coalesce(from_json({items}, 'array<map<string,string>>'), {each}), m -> m is not null)"
 
 
 def _texts(value: str, by: str, least: str = "''") -> str:
@@ -66,18 +69,22 @@ def _overview(kind: str) -> str:
     return f"array(struct(concat(stem, '_overview') as id, coalesce(nullif(concat_ws('\\n', {fields}), ''), concat('知识文件: ', stem)) as text, '{kind}_overview' as kind))"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL of body in which `name` stands for value, evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def _or_overview(chunks: str, kind: str) -> str:
-    return f"if(size({chunks}) > 0, {chunks}, {_overview(kind)})"
+    return _let(chunks, "made", f"if(size(made) > 0, made, {_overview(kind)})")
 
 
 def _flow(end: str, other: str) -> str:
     """SQL of the flows of a process that have it at `end`, as data and their other end."""
-    flows = _maps("body", "dfd_elements.data_flows")
-    return f"nullif(array_join(transform(filter({flows}, f -> f['{end}'] = {_or('id')}), f -> concat(coalesce(f['data'], ''), ' ({other} ', coalesce(f['{other}'], ''), ')')), '; '), '')"
+    return f"nullif(array_join(transform(filter(flows, f -> f['{end}'] = {_or('id')}), f -> concat(coalesce(f['data'], ''), ' ({other} ', coalesce(f['{other}'], ''), ')')), '; '), '')"
 
 
 def _strategies() -> dict[str, str]:
-    first = lambda *paths: "coalesce(" + ", ".join(f"if(size({_maps('body', p)}) > 0, {_maps('body', p)}, null)" for p in paths[:-1]) + f", {_maps('body', paths[-1])})"
+    first = lambda *paths: "coalesce(" + ", ".join(_let(_maps("body", p), "ms", "if(size(ms) > 0, ms, null)") for p in paths[:-1]) + f", {_maps('body', paths[-1])})"
     rules = _chunk(
         first("rules", "validation_rules", "modeling_rules"), _or("id", "concat('rule_', i)"), "rule", f"concat('DFD规则: ', {_or('name')})", f"concat('规则ID: ', {_or('id', '''concat('rule_', i)''')})",
         "concat('定义: ', coalesce(m['definition'], m['detail'], ''))", "concat('严重级别: ', coalesce(m['severity'], m['level'], 'info'))", "concat('检测逻辑: ', nullif(m['detect_logic'], ''))",
@@ -91,7 +98,7 @@ def _strategies() -> dict[str, str]:
         "concat('分类: ', coalesce(c['name'], ''))", f"concat('DFD层级: Level-', {_or('dfd_level', '0')})", f"concat('模式类型: ', {_or('pattern_type')})", f"concat('适用场景: ', {_texts('''m['applicable_scenarios']''', '; ')})", f"concat('说明: ', {_texts('''m['notes']''', '; ')})",
     )
     categories = _maps("body", "categories")
-    templates = f"if(size({categories}) > 0, flatten(transform({categories}, c -> {inner})), {_overview('template')})"
+    templates = _let(categories, "cs", f"if(size(cs) > 0, flatten(transform(cs, c -> {inner})), {_overview('template')})")
     two = lambda a, b: f"concat({a}, {b})"
     levels = two(
         _chunk(_maps("body", "leveling_principles"), _or("id", "concat('p_', i)"), "leveling_principle", f"concat('DFD分层原则: ', {_or('id', '''concat('p_', i)''')})", f"concat('描述: ', {_or('description')})"),
@@ -111,7 +118,7 @@ def _strategies() -> dict[str, str]:
     needs = "concat('需求: ', nullif(array_join(slice(from_json(get_json_object(body, '$.requirements_text'), 'array<string>'), 1, 5), '; '), ''))"
     examples = two(
         f"array(struct(concat(stem, '_overview') as id, concat_ws('\\n', concat('DFD案例: ', {case}), concat('描述: ', coalesce(get_json_object(body, '$.description'), '')), {needs}, {names('external_entities', '外部实体')}, {names('processes', '处理过程')}, {names('data_stores', '数据存储')}) as text, 'case_overview' as kind))",
-        _chunk(_maps("body", "dfd_elements.processes"), _or("id"), "process_detail", f"concat('处理过程: ', {_or('id')}, ' ', {_or('name')})", f"concat('所属案例: ', {case})", f"concat('输入数据流: ', {_flow('to', 'from')})", f"concat('输出数据流: ', {_flow('from', 'to')})"),
+        _let(_maps("body", "dfd_elements.data_flows"), "flows", _chunk(_maps("body", "dfd_elements.processes"), _or("id"), "process_detail", f"concat('处理过程: ', {_or('id')}, ' ', {_or('name')})", f"concat('所属案例: ', {case})", f"concat('输入数据流: ', {_flow('to', 'from')})", f"concat('输出数据流: ', {_flow('from', 'to')})")),
     )
     return {
         "concepts": _or_overview(concepts, "concept"), "examples": examples, "rules": _or_overview(rules, "rule"), "templates": templates, "levels": _or_overview(levels, "levels"),
