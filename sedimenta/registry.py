@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from .functions import html, urls
 from .operators import caches, chunking, corpus, extraction, retrieval, signals
-from .operators import evaluation, indexing, knowledge, refinement, scoring, search, structure, webtext
+from .operators import evaluation, flows, indexing, knowledge, refinement, scoring, search, structure, webtext
 from .sources import artifacts, stores
 from .streaming import dedup
 
 FLAGSHIP = "u01_normalize_url"
-MODULES = (urls, html, corpus, signals, retrieval, caches, extraction, chunking, dedup, structure, artifacts, refinement, evaluation, scoring, indexing, search, knowledge, webtext, stores)
+MODULES = (urls, html, corpus, signals, retrieval, caches, extraction, chunking, dedup, structure, artifacts, refinement, evaluation, scoring, indexing, search, knowledge, webtext, stores, flows)
 
 
 def queries() -> dict[str, Callable]:
