@@ -32,10 +32,11 @@ def d03_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d04_exact_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document with the first one of equal content."""
+    """Each document with the first one of equal content; a null text equals none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", content_hash().alias("h"))
-    first = docs.groupBy("h").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("copies"))
-    return docs.join(first, "h").select("doc_id", "first_doc_id", "copies", (F.col("doc_id") != F.col("first_doc_id")).alias("is_duplicate"))
+    first = docs.where("h is not null").groupBy("h").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("copies"))
+    rows = docs.join(first, "h", "left").select("doc_id", F.coalesce("first_doc_id", "doc_id").alias("first_doc_id"), F.coalesce("copies", F.lit(1).cast("long")).alias("copies"))
+    return rows.withColumn("is_duplicate", F.col("doc_id") != F.col("first_doc_id"))
 
 
 def a04_quality_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +133,7 @@ RELIABLE_SQL = """round(least(1.0::DOUBLE, 0.5::DOUBLE + (CASE WHEN length(text)
 ORACLES = {
     "d02_content_hash": f"SELECT doc_id, {_HASH_SQL} AS content_hash FROM documents",
     "d03_fingerprint": r"SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{3,}')[1:200], ' ') AS fingerprint FROM documents",
-    "d04_exact_content": f"""WITH d AS (SELECT doc_id, {_HASH_SQL} AS h FROM documents), f AS (SELECT *, min(doc_id) OVER (PARTITION BY h) AS first_doc_id, count(*) OVER (PARTITION BY h) AS copies FROM d)
+    "d04_exact_content": f"""WITH d AS (SELECT doc_id, {_HASH_SQL} AS h FROM documents), f AS (SELECT *, CASE WHEN h IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY h) END AS first_doc_id, CASE WHEN h IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY h) END AS copies FROM d)
       SELECT doc_id, first_doc_id, copies, doc_id <> first_doc_id AS is_duplicate FROM f""",
     "a04_quality_rates": f"""SELECT lang, count(*) AS items, round(count(*) FILTER ({LOW_INFO.format(contains="contains")}) / count(*), 4) AS low_info_rate,
       round(count(*) FILTER (length(t) < 30) / count(*), 4) AS indexable_fail_rate, round((count(*) - count(DISTINCT t)) / count(*), 4) AS duplicate_rate FROM (SELECT lang, text AS t FROM documents) GROUP BY lang""",

@@ -23,11 +23,13 @@ def let_workers_import(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a folder of our own only where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session (as in tests) gets a folder of its own; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         sc = spark.sparkContext
         if sc.getCheckpointDir() is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="sedimenta-"))
         folder = sc.getCheckpointDir()
     return folder.rstrip("/")
