@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame
@@ -22,6 +23,16 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
+def scanned(docs: DataFrame) -> DataFrame:
+    """docs as they are if they are read from files row by row, which gives the same rows in the same order whenever a
+    lost task is run again; else (after a shuffle, a Python step or from memory) as a table of the shared folder.
+
+    What numbers rows by their place in the scan needs this.
+    """
+    steps = {re.match(r"[\s:+*()\d-]*([A-Za-z]*)", line)[1] for line in docs._jdf.queryExecution().executedPlan().toString().strip().splitlines()}
+    return docs if "FileScan" in steps and steps <= {"FileScan", "ColumnarToRow", "Project", "Filter"} else cut_lineage(docs, "scanned")
+
+
 def row_key():
     """A number for each scanned row, the same whenever the same input split is scanned again.
 
@@ -35,6 +46,7 @@ def in_blocks(docs: DataFrame, block_bytes: int, *columns: str) -> tuple[DataFra
 
     Repeated rows, null ids and a repeated id spread over all blocks alike.
     """
+    docs = scanned(docs.select("doc_id", "text", *columns))
     blocks = max(1, -(-text_bytes(docs) // block_bytes))
     rows = docs.select(F.col("doc_id").cast("long"), "text", *columns, F.monotonically_increasing_id().alias("row"))
     return rows.withColumn("block", F.expr(f"cast(pmod(xxhash64(row), {blocks}) as int)")), blocks
@@ -45,6 +57,7 @@ def in_runs(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
 
     A pass over the scan sees whole blocks without a shuffle.
     """
+    docs = scanned(docs.select("doc_id", "text"))
     total, n = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     run = max(1, int(block_bytes * n / max(total or 0, 1)))
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row"))

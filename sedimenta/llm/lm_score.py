@@ -263,8 +263,8 @@ def score_documents(docs: DataFrame, held_out_fold: int = 1, base: float = 1.5,
 
     A level is read too high with probability 2**-12, never too low. Null and empty texts have the end
     alone. A null doc_id is in training. Rows stay one for one; other columns are ignored. Words are
-    told apart by 64-bit hashes, pairs and triples by 48 bits. docs must give the same rows in the same
-    order whenever they are scanned, as files do.
+    told apart by 64-bit hashes, pairs and triples by 48 bits. Documents that are not read from files
+    are written to the shared folder first, so that lost tasks see the same rows again.
     """
     rows, blocks = in_runs(docs, block_bytes)
     blocked = rows.withColumn("held_out", is_fold(F.col("doc_id"), held_out_fold))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import row_key, text_bytes
+from .common import row_key, scanned, text_bytes
 
 #: Ids of one row between tokenizing and packing, at most; longer documents travel in parts.
 PART_WINDOWS = 64
@@ -205,6 +205,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 1024, end
     each for itself; other columns are ignored; an empty table gives no pieces. Texts of any length
     are tokenized whole, as the library does by default: its special strings are ids of their own.
     """
+    docs = scanned(docs.select("doc_id", "text"))
     groups = max(1, -(-text_bytes(docs) // group_bytes))
     key = row_key()
     rows = docs.select(F.col("doc_id").cast("long"), "text", key.alias("key"))

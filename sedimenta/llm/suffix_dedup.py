@@ -400,7 +400,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, columns: tuple[str, ...]
     kept with the characters whole that runs cut into.
 
     Null texts are empty; texts shorter than `length` stay whole. Rows with equal doc_ids are separate
-    documents in the order they are scanned; null doc_ids come last. block_bytes bounds a task's text;
+    documents in the order they are scanned; null doc_ids come last. Documents that are not read from files
+    are written to the shared folder first, so that lost tasks see the same rows again. block_bytes bounds a task's text;
     anchors with more than most_contexts contexts are settled by a shuffled aggregation.
     """
     blocked, blocks = in_blocks(docs, block_bytes, *columns)
