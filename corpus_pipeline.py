@@ -49,7 +49,11 @@ def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 1024 tokens, one row per piece with its ids."""
+    """Sequences of 1024 tokens, one row per piece with its ids.
+
+    Null and empty texts give the end id alone; repeated rows and null doc_ids are packed each for itself. Groups are
+    drawn by the place of rows in the stage's table, so that two runs may cut documents otherwise.
+    """
     let_workers_import(spark)
     return packing.pack_documents(docs, queries.tokenizer_path("byte_bpe_50k.json"))
 
