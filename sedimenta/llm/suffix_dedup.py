@@ -9,8 +9,9 @@ suffix array), and only those whose gram occurs again anywhere:
 3. Ranges of anchors sort the contexts to the right and, reversed, to the left of the anchor by
    deep-shallow sorting: multikey quicksort down to a shallow depth, then blind tries for groups whose
    common prefix is longer. Common prefixes of neighbours tell which windows are equal, and the
-   earliest stays. Anchors with too many contexts for one task are settled window by window instead,
-   in a shuffled aggregation.
+   earliest stays. The contexts of anchors with too many for one task are cut to ranges of window
+   offsets and parted by the bytes that all windows of a range share, again and again; only windows
+   that are still too many when each stands alone, all equal then, need no sorting: the first stays.
 4. Spans go back to their blocks, which cut them out.
 """
 
@@ -31,6 +32,8 @@ from .kernels import U8, giving_back, mix
 
 GRAM = 24
 SHALLOW = 40
+#: Widths of the ranges of offsets that the contexts of a crowded anchor are split into, one after the other.
+SPLITS = (39, 13, 4, 1)
 LAST = (1 << 63) - 1
 CONTEXTS = "anchor long, context binary, ahead int, behind int, doc_id long, row long, position long, block int"
 CONTEXT_TYPES = pa.schema([(x.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]]) for x in CONTEXTS.split(", ")])
@@ -338,20 +341,27 @@ def _settle(length: int):
     return run
 
 
-def _windows(length: int):
-    """Every window of the contexts of crowded anchors, by hash."""
+def _split(length: int, width: int):
+    """Contexts cut to windows whose offsets lie in one range of `width`, with a key of the bytes that all windows of the range share: equal windows have equal keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for one in range(0, batch.num_rows, 512):
-                out = []
-                for r in batch.slice(one, 512).to_pylist():
-                    begin = r["position"] - r["ahead"]
-                    for s in range(r["ahead"] - r["behind"] + 1):
-                        digest = xxhash.xxh3_128_digest(r["context"][s : s + length])
-                        out.append((digest, r["doc_id"], r["row"], begin + s, r["block"]))
-                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["digest", "doc_id", "row", "start", "block"])
+                rows = batch.slice(one, 512)
+                of, contexts, keys, aheads, behinds = [], [], [], [], []
+                for i, (context, ahead, behind) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("context", "ahead", "behind")), strict=True)):
+                    for first in range(behind // width * width, ahead + 1, width):
+                        last = min(first + width - 1, length - GRAM)
+                        high, low = min(ahead, last), max(behind, first)
+                        of.append(i)
+                        contexts.append(context[ahead - high : ahead - low + length])
+                        keys.append(xxhash.xxh3_128_digest(context[ahead - first : ahead - last + length], seed=first))
+                        aheads.append(high)
+                        behinds.append(low)
+                own = rows.take(pa.array(of, pa.int64()))
+                made = {"context": pa.array(contexts, pa.binary()), "ahead": pa.array(aheads, pa.int32()), "behind": pa.array(behinds, pa.int32())}
+                columns = [made.get(c) if c in made else own.column(c) for c in CONTEXT_TYPES.names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(keys, pa.binary())], names=[*CONTEXT_TYPES.names, "key"])
 
     return run
 
@@ -402,7 +412,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, columns: tuple[str, ...]
     Null texts are empty; texts shorter than `length` stay whole. Rows with equal doc_ids are separate
     documents in the order they are scanned; null doc_ids come last. Documents that are not read from files
     are written to the shared folder first, so that lost tasks see the same rows again. block_bytes bounds a task's text;
-    anchors with more than most_contexts contexts are settled by a shuffled aggregation.
+    most_contexts: contexts that are sorted
+    together, beyond which they are split further.
     """
     blocked, blocks = in_blocks(docs, block_bytes, *columns)
     buckets = max(1, blocks // 4)
@@ -413,15 +424,28 @@ def remove_repeats(docs: DataFrame, length: int = 100, columns: tuple[str, ...]
     spans = found.where("anchor is null").select("block", "row", F.col("position").alias("start"), F.col("doc_id").alias("stop"))
 
     contexts = found.where("anchor is not null")
-    crowded = contexts.groupBy("anchor").count().where(F.col("count") > most_contexts).select("anchor")
-    crowded = cut_lineage(crowded, "crowded")
+    crowded = cut_lineage(contexts.groupBy("anchor").count().where(F.col("count") > most_contexts).select("anchor"), "crowded")
     ranges = max(1, blocks)
-    calm = contexts.join(crowded, "anchor", "left_anti").withColumn("part", F.expr(f"pmod(xxhash64(anchor), {ranges})"))
-    settled = calm.groupBy("part").applyInArrow(giving_back(_settle(length)), SPANS)
-    windows = contexts.join(crowded, "anchor", "left_semi").mapInArrow(giving_back(_windows(length)), "digest binary, doc_id long, row long, start long, block int")
-    first = windows.groupBy("digest").agg(F.min(F.struct("doc_id", "row", "start")).alias("first"))
-    later = windows.join(first, "digest").where(F.struct("doc_id", "row", "start") != F.col("first"))
-    spans = spans.union(settled).union(later.select("block", "row", "start", (F.col("start") + length).alias("stop")))
+
+    def settled(rows: DataFrame, key: str) -> DataFrame:
+        calm = rows.join(crowded, key, "left_anti").select(*CONTEXT_TYPES.names, F.expr(f"pmod(xxhash64({key}), {ranges})").alias("part"))
+        return calm.groupBy("part").applyInArrow(giving_back(_settle(length)), SPANS)
+
+    spans = spans.union(settled(contexts, "anchor"))
+    left = contexts.join(crowded, "anchor", "left_semi")
+    for width in SPLITS if crowded.first() else ():
+        pieces = cut_lineage(left.mapInArrow(giving_back(_split(length, width)), f"{CONTEXTS}, key binary"), "pieces")
+        if width == 1:  # a key is one window
+            first = pieces.groupBy("key").agg(F.min(F.struct("doc_id", "row", "position")).alias("first"))
+            later = pieces.join(first, "key").where(F.struct("doc_id", "row", "position") != F.col("first"))
+            start = F.col("position") - F.col("ahead")
+            spans = spans.union(later.select("block", "row", start.alias("start"), (start + length).alias("stop")))
+            break
+        crowded = cut_lineage(pieces.groupBy("key").count().where(F.col("count") > most_contexts).select("key"), "crowded")
+        spans = spans.union(settled(pieces, "key"))
+        if not crowded.first():
+            break
+        left = pieces.join(crowded, "key", "left_semi").drop("key")
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocked.select("doc_id", *columns).schema)
     return blocked.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(giving_back(_cut(["doc_id", *columns], with_text)), f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>, text string")

@@ -34,7 +34,7 @@ def test_deep_shallow_sort(strings, copies):
     assert [strings[i] for i in order] == sorted(strings)
 
 
-@pytest.mark.parametrize("most_contexts, block_bytes", [(200_000, 8 << 20), (200_000, 4000), (3, 4000)])
+@pytest.mark.parametrize("most_contexts, block_bytes", [(200_000, 8 << 20), (200_000, 4000), (1, 4000), (3, 4000), (15, 8 << 20)])
 def test_against_brute_force(spark, most_contexts, block_bytes):
     rng = random.Random(2)
     letters = "abcdé \n"
