@@ -70,10 +70,10 @@ def h19_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def h26_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings h1 to h3 in order."""
-    found = F.expr(r"regexp_extract_all(html, '(?is)<h[1-3][^>]*>.*?</h[1-3]>', 0)")
+    """Headings h1 to h3 that hold text, in order."""
+    found = F.expr(r"filter(regexp_extract_all(html, '(?is)<h[1-3][^>]*>.*?</h[1-3]>', 0), h -> trim(regexp_replace(h, '<[^>]+>', '')) <> '')")
     rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("pos", "h"))
-    return rows.select("page_id", (F.col("pos") + 1).cast("int").alias("position"), F.expr("cast(substring(h, 3, 1) as int)").alias("level"), F.trim(F.regexp_replace("h", "<[^>]+>", "")).alias("text"))
+    return rows.select("page_id", (F.col("pos") + 1).cast("int").alias("position"), F.expr("cast(substring(h, 3, 1) as int)").alias("level"), F.expr("concat('h', substring(h, 3, 1))").alias("tag"), F.trim(F.regexp_replace("h", "<[^>]+>", "")).alias("text"))
 
 
 def h28_cleaning_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,9 +95,9 @@ ORACLES = {
       nullif(trim(regexp_extract(html, '(?is)<meta[^>]*(?:property|name)=["'']og:title["''][^>]*content=["''](.*?)["'']', 1)), ''),
       nullif(trim(regexp_extract(html, '(?is)<meta[^>]*(?:property|name)=["'']twitter:title["''][^>]*content=["''](.*?)["'']', 1)), ''),
       nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', '', 'g')), ''), '') AS title FROM pages""",
-    "h26_outline": """WITH h AS (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-3][^>]*>.*?</h[1-3]>') AS a FROM pages),
+    "h26_outline": """WITH h AS (SELECT page_id, list_filter(regexp_extract_all(html, '(?is)<h[1-3][^>]*>.*?</h[1-3]>'), lambda h: trim(regexp_replace(h, '<[^>]+>', '', 'g')) <> '') AS a FROM pages),
       e AS (SELECT page_id, unnest(a) AS h, unnest(range(1, len(a) + 1)) AS position FROM h)
-      SELECT page_id, CAST(position AS INTEGER) AS position, CAST(h[3:3] AS INTEGER) AS level, trim(regexp_replace(h, '<[^>]+>', '', 'g')) AS text FROM e""",
+      SELECT page_id, CAST(position AS INTEGER) AS position, CAST(h[3:3] AS INTEGER) AS level, 'h' || h[3:3] AS tag, trim(regexp_replace(h, '<[^>]+>', '', 'g')) AS text FROM e""",
     "h28_cleaning_stats": f"""WITH s AS (SELECT page_id, CAST(length(html) AS INTEGER) AS html_length, CAST(length({CLEAN_SQL}) AS INTEGER) AS cleaned_length,
       CAST(len(regexp_extract_all(html, '<[^>]+>')) AS INTEGER) AS tags,
       CAST(len(regexp_extract_all(html, '&[a-zA-Z][a-zA-Z0-9]*;|&#[0-9]+;|&#x[0-9a-fA-F]+;')) AS INTEGER) AS entities FROM pages) SELECT *, round(1 - cleaned_length / nullif(html_length, 0), 3) AS reduction FROM s""",

@@ -18,14 +18,18 @@ _LIST = ", ".join(f"'{p}'" for p in TRACKING)
 def normalized(url: str = "url") -> Column:
     """Canonical form of a URL column: trimmed, scheme and host in lower case, default ports, tracking
     parameters, blank values and the fragment gone, parameters by key, an empty path as /. What has no
-    scheme stays as it is; null stays null. Escapes are kept as written."""
+    scheme stays as it is; null stays null. Parameters are decoded (a broken escape is kept as written) and
+    encoded anew, so that each has one spelling; of equal keys the order stays."""
     u = f"trim(BOTH FROM {url})"
     scheme = f"lower(regexp_extract({u}, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1))"
     host = f"regexp_replace(lower(regexp_extract({u}, '://([^/?#]*)', 1)), if({scheme} = 'http', ':80$', ':443$'), '')"
     path = f"regexp_extract({u}, '://[^/?#]*([^?#]*)', 1)"
     query = f"regexp_extract({u}, '^[^?#]*[?]([^#]*)', 1)"
-    kept = f"filter(split({query}, '&'), p -> p rlike '^[^=]+=.+$' and lower(substring_index(p, '=', 1)) not in ({_LIST}))"
-    ordered = f"array_join(transform(array_sort(transform({kept}, (p, i) -> struct(substring_index(p, '=', 1) as k, i as i, p as p))), x -> x.p), '&')"
+    plain = lambda x: f"coalesce(try_url_decode({x}), {x})"
+    coded = lambda x: f"replace(replace(url_encode({x}), '*', '%2A'), '%7E', '~')"
+    pairs = f"transform(filter(split({query}, '&'), p -> p rlike '=.'), p -> struct({plain("substring_index(p, '=', 1)")} as k, {plain("substring(p, instr(p, '=') + 1)")} as v))"
+    kept = f"filter({pairs}, p -> lower(p.k) not in ({_LIST}))"
+    ordered = f"array_join(transform(array_sort(transform({kept}, (p, i) -> struct(p.k as k, i as i, p.v as v))), x -> concat({coded('x.k')}, '=', {coded('x.v')})), '&')"
     return F.expr(f"if({scheme} = '', {u}, concat({scheme}, '://', {host}, if({path} = '', '/', {path}), if({ordered} = '', '', concat('?', {ordered}))))")
 
 
@@ -37,8 +41,9 @@ WITH a AS (
     regexp_extract(u, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(u, '^[^?#]*[?]([^#]*)', 1) AS query FROM a
 ), c AS (
   SELECT *, coalesce(array_to_string(list_transform(list_sort(list_transform(
-    list_filter(string_split(query, '&'), lambda p: regexp_matches(p, '^[^=]+=.+$') AND lower(split_part(p, '=', 1)) NOT IN ({_LIST})),
-    lambda p, i: {{'k': split_part(p, '=', 1), 'i': i, 'p': p}})), lambda x: x.p), '&'), '') AS rest FROM b
+    list_filter(list_transform(list_filter(string_split(query, '&'), lambda p: regexp_matches(p, '=.')), lambda p: {{'k': url_decode(replace(split_part(p, '=', 1), '+', ' ')), 'v': url_decode(replace(p[instr(p, '=') + 1:], '+', ' '))}}),
+      lambda p: lower(p.k) NOT IN ({_LIST})),
+    lambda p, i: {{'k': p.k, 'i': i, 'v': p.v}})), lambda x: replace(url_encode(x.k), '%20', '+') || '=' || replace(url_encode(x.v), '%20', '+')), '&'), '') AS rest FROM b
 ), n AS (
   SELECT page_id, url, CASE WHEN scheme = '' THEN u ELSE scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END
     || CASE WHEN rest = '' THEN '' ELSE '?' || rest END END AS normalized_url FROM c

@@ -33,11 +33,13 @@ def d01_ttl_duplicates(spark: SparkSession, sf_dir: str, ttl_seconds: int = 6 *
 
 
 def d07_cache_stats(spark: SparkSession, sf_dir: str, days: int = 7) -> DataFrame:
-    """Keys in all, and those last visited within `days` days of the newest visit or before: two levels of partial sums."""
+    """Keys in all, those last visited within `days` days of the newest visit or before, distinct contents, and the setting: partial sums."""
     last = table(spark, sf_dir, "events").groupBy(*KEY).agg(F.max("ts").alias("last"))
     newest = table(spark, sf_dir, "events").agg(F.max("ts").alias("newest"))  # one row
     live = F.expr(f"last > newest - interval {days} days")
-    return last.join(F.broadcast(newest), F.lit(True)).agg(F.count("*").alias("total"), F.count_if(live).alias("active"), F.count_if(~live).alias("expired"))
+    return last.join(F.broadcast(newest), F.lit(True)).agg(F.count("*").alias("total"), F.count_if(live).alias("active"), F.count_if(~live).alias("expired")).join(
+        F.broadcast(table(spark, sf_dir, "events").agg(F.count_distinct("props").alias("contents"), F.lit(days).alias("ttl_days"))), F.lit(True)
+    )  # one row each
 
 
 def k11_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +102,7 @@ QUERIES = {q.__name__: q for q in (d01_ttl_duplicates, d07_cache_stats, k11_upse
 ORACLES = {
     "d01_ttl_duplicates": "SELECT event_id, coalesce(ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) <= INTERVAL 6 HOURS, false) AS seen FROM events",
     "d07_cache_stats": """WITH l AS (SELECT max(ts) AS last FROM events GROUP BY user_id, event_type), n AS (SELECT *, (SELECT max(ts) FROM events) - INTERVAL 7 DAYS AS cut FROM l)
-      SELECT count(*) AS total, count(*) FILTER (last > cut) AS active, count(*) FILTER (last <= cut) AS expired FROM n""",
+      SELECT count(*) AS total, count(*) FILTER (last > cut) AS active, count(*) FILTER (last <= cut) AS expired, (SELECT count(DISTINCT props) FROM events) AS contents, 7 AS ttl_days FROM n""",
     "k11_upsert": """WITH p AS (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events),
       s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 6 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS run FROM p),
       r AS (SELECT user_id, event_type, run, min(ts) AS f, max(ts) AS l, count(*) AS crawl_count FROM s GROUP BY 1, 2, 3)
