@@ -9,44 +9,86 @@ from pyspark.sql import functions as F
 
 from ..session import table
 
-#: Block tags that end a line, then what is removed, then entities (ampersand last), then white space.
-_STEPS = [
+#: Block tags that end a line, then what is removed; white space and what else a plain text does not hold.
+_TAGS = [
     (r"(?i)</?(br|p|div|h[1-6]|li)[^>]*>", "\n"),
     (r"(?s)<!--.*?-->", ""),
     (r"(?is)<(script|style)[^>]*>.*?</(script|style)>", ""),
     (r"<[^>]+>", ""),
-    ("&nbsp;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
-    (r"[ \t\n\r\f\x0B ]+", " "),
-    (r"""[^\p{L}\p{N}_ .,!?;:()\[\]{}"'　-〿＀-￯-]""", " "),
+]
+_BLANKS = [
+    (r"[ \t\n\r\f\x0B\x{A0}]+", " "),
+    (r"""[^\p{L}\p{N}_ .,!?;:()\[\]{}"'\x{3000}-\x{303F}\x{FF00}-\x{FFEF}-]""", " "),
     (" +", " "),
 ]
+#: Named entities, fixed values; the ampersand is the last to be decoded.
+ENTITIES = {
+    "nbsp": 0xA0, "lt": 0x3C, "gt": 0x3E, "quot": 0x22, "apos": 0x27, "copy": 0xA9, "reg": 0xAE, "trade": 0x2122, "hellip": 0x2026, "mdash": 0x2014, "ndash": 0x2013, "lsquo": 0x2018, "rsquo": 0x2019, "ldquo": 0x201C, "rdquo": 0x201D,
+    "middot": 0xB7, "bull": 0x2022, "laquo": 0xAB, "raquo": 0xBB, "times": 0xD7, "deg": 0xB0, "plusmn": 0xB1, "euro": 0x20AC, "pound": 0xA3, "yen": 0xA5, "sect": 0xA7, "para": 0xB6, "amp": 0x26,
+}
+
+
+def _numeric(text: str) -> str:
+    """SQL of a text with its numeric entities decoded; numbers that are no characters become U+FFFD, what is no entity stays."""
+    n = "coalesce(cast(nullif(regexp_extract(p, r'^([0-9]{1,7});', 1), '') as bigint), cast(conv(nullif(regexp_extract(p, r'^[xX]([0-9a-fA-F]{1,6});', 1), ''), 16, 10) as bigint))"
+    bad = f"({n} = 0 or {n} between 55296 and 57343 or {n} > 1114111)"
+    letter = f"if({bad}, '\uFFFD', decode(unhex(lpad(hex({n}), 8, '0')), 'UTF-32'))"
+    piece = f"case when i = 0 then p when {n} is null then concat('&#', p) else concat({letter}, substring(p, instr(p, ';') + 1)) end"
+    return f"array_join(transform(split({text}, '&#'), (p, i) -> {piece}), '')"
+
+
+def decoded(text: str) -> str:
+    """SQL of a text with its entities decoded: numeric ones, named ones, and numeric ones that this brings forth."""
+    out = _numeric(text)
+    for name, code in ENTITIES.items():
+        out = f"replace({out}, '&{name};', decode(unhex('{code:08X}'), 'UTF-32'))"
+    return _numeric(out)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
 def clean_text(html: str = "html"):
     """Plain text of a page on one line; null gives an empty text."""
-    out = F.coalesce(F.col(html), F.lit(""))
-    for pattern, by in _STEPS:
-        out = F.regexp_replace(out, F.lit(pattern), F.lit(by))
-    return F.trim(out)
+    out = f"coalesce({html}, '')"
+    for pattern, by in _TAGS:
+        out = f"regexp_replace({out}, {_quoted(pattern)}, {_quoted(by)})"
+    out = f"element_at(transform(array({out}), t -> if(contains(t, '&'), {decoded('t')}, t)), 1)"  # no ampersand, no entity
+    for pattern, by in _BLANKS:
+        out = f"regexp_replace({out}, {_quoted(pattern)}, {_quoted(by)})"
+    return F.expr(f"trim({out})")
+
+
+def _decoded_sql(text: str) -> str:
+    n = "coalesce(CAST(nullif(regexp_extract(p, '^([0-9]{1,7});', 1), '') AS BIGINT), CAST('0x' || nullif(regexp_extract(p, '^[xX]([0-9a-fA-F]{1,6});', 1), '') AS BIGINT))"
+    letter = f"CASE WHEN {n} = 0 OR {n} BETWEEN 55296 AND 57343 OR {n} > 1114111 THEN chr(65533) ELSE chr(CAST({n} AS INTEGER)) END"
+    numeric = lambda t: f"array_to_string(list_transform(string_split({t}, '&#'), lambda p, i: CASE WHEN i = 1 THEN p WHEN {n} IS NULL THEN '&#' || p ELSE {letter} || p[instr(p, ';') + 1:] END), '')"
+    out = numeric(text)
+    for name, code in ENTITIES.items():
+        out = f"replace({out}, '&{name};', chr({code}))"
+    return numeric(out)
 
 
 def _sql() -> str:
     out = "coalesce(html, '')"
-    for pattern, by in _STEPS:
-        for a, b in ((r" ", r"\x{A0}"), (r"　-〿", r"\x{3000}-\x{303F}"), (r"＀-￯", r"\x{FF00}-\x{FFEF}")):
-            pattern = pattern.replace(a, b)
-        out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '{by.replace(chr(39), chr(39) * 2)}', 'g')"
+    doubled = lambda x: x.replace("'", "''")
+    for pattern, by in _TAGS:
+        out = f"regexp_replace({out}, '{doubled(pattern)}', '{by}', 'g')"
+    out = _decoded_sql(out)
+    for pattern, by in _BLANKS:
+        out = f"regexp_replace({out}, '{doubled(pattern)}', '{by}', 'g')"
     return f"trim({out})"
 
 
 CLEAN_SQL = _sql()
+
+
+def h04_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with their entities decoded, tags and all."""
+    return table(spark, sf_dir, "pages").select("page_id", F.expr(decoded("html")).alias("html"))
+
+
 #: What tells a page that scripts fill, fixed values; letter case does not count.
 MARKERS = ["__NUXT__", "data-reactroot", 'id="__next"', "ng-version", "skeleton", "loading", 'id="root"', 'id="app"', "window.__APOLLO_STATE__", "__INITIAL_STATE__"]
 
@@ -88,8 +130,9 @@ def h30_dynamic_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 DYNAMIC_SQL = """coalesce(contains(lower(html), '__nuxt__') OR contains(lower(html), 'data-reactroot') OR contains(lower(html), 'id="__next"') OR contains(lower(html), 'ng-version')
   OR contains(lower(html), 'skeleton') OR contains(lower(html), 'loading') OR contains(lower(html), 'id="root"') OR contains(lower(html), 'id="app"')
   OR contains(lower(html), 'window.__apollo_state__') OR contains(lower(html), '__initial_state__'), false)"""
-QUERIES = {q.__name__: q for q in (h01_clean_text, h19_title, h26_outline, h28_cleaning_stats, h30_dynamic_pages)}
+QUERIES = {q.__name__: q for q in (h01_clean_text, h04_entities, h19_title, h26_outline, h28_cleaning_stats, h30_dynamic_pages)}
 ORACLES = {
+    "h04_entities": f"SELECT page_id, {_decoded_sql('html')} AS html FROM pages",
     "h01_clean_text": f"SELECT page_id, {CLEAN_SQL} AS clean_text FROM pages",
     "h19_title": """SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g')), ''),
       nullif(trim(regexp_extract(html, '(?is)<meta[^>]*(?:property|name)=["'']og:title["''][^>]*content=["''](.*?)["'']', 1)), ''),
