@@ -82,7 +82,28 @@ def v10_decomposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"), F.lit("general").alias("intent"), F.lit(10).alias("weight"))
 
 
-QUERIES = {q.__name__: q for q in (h15_internal_cleanup, p05_first_lists, p14_text_values, r07_export, r08_export, r09_two_stages, a14_diagram_score, v10_decomposed)}
+def p03_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure of each artifact: how many fields it has, and of the first three their name and kind, of lists with their length."""
+    rows = artifacts(spark, sf_dir).where("type_id in ('diagrams.dfd.concepts', 'domain', 'theory')").select("type_id", "seq", "body", F.expr("json_object_keys(body)").alias("k"))
+    value = "get_json_object(body, concat('$.', x))"
+    kind = f"concat(x, ':', case when startswith({value}, '[') then concat('list', size(from_json({value}, 'array<string>'))) when startswith({value}, '{{') then 'dict' else 'text' end)"
+    return rows.select("type_id", "seq", F.size("k").alias("fields"), F.expr(f"array_join(transform(slice(k, 1, 3), x -> {kind}), ',')").alias("profile"))
+
+
+def simhash(docs: DataFrame, most: int = 1000) -> DataFrame:
+    """doc_id and simhash (16 hex digits) of documents(doc_id, text): each of the first `most` distinct words of two letters or more votes with the bits of its md5; texts without words have none."""
+    words = F.expr(rf"explode(slice(array_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}', 0)), 1, {most}))")
+    rows = docs.select("doc_id", words.alias("w")).select("doc_id", *(F.expr(f"cast(conv(substring(md5(w), {at}, 8), 16, 10) as bigint)").alias(h) for h, at in (("a", 1), ("b", 9))))
+    votes = rows.groupBy("doc_id").agg(*(F.sum(F.expr(f"(shiftright({h}, {k}) & 1) * 2 - 1")).alias(f"{h}{k}") for h in "ab" for k in range(32)))
+    half = lambda h: "lpad(lower(hex(" + " + ".join(f"if({h}{k} > 0, {1 << k}L, 0L)" for k in range(32)) + ")), 8, '0')"
+    return votes.select("doc_id", F.expr(f"concat({half('a')}, {half('b')})").alias("simhash"))
+
+
+def d10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (h15_internal_cleanup, p05_first_lists, p14_text_values, r07_export, r08_export, r09_two_stages, a14_diagram_score, v10_decomposed, p03_structure, d10_simhash)}
 _SIGNALS, _PIECES = SIGNAL_SQL["a09_keyword_signals"], SIGNAL_SQL["e15_sentence_candidates"]
 ORACLES = {
     "h15_internal_cleanup": f"SELECT page_id, {duck_sql(CLEANED_UP)} AS html FROM pages",
@@ -96,5 +117,10 @@ ORACLES = {
       SELECT doc_id, type_id, CASE type_id WHEN 'concepts' THEN concept_candidates WHEN 'rules' THEN rule_candidates ELSE 0 END AS pieces, CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) AS tokens FROM t JOIN b USING (doc_id) JOIN documents USING (doc_id)""",
     "a14_diagram_score": """WITH n AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS p, count(*) FILTER (l_quantity > 20) AS f, count(*) FILTER (l_returnflag = 'R') AS s, count(DISTINCT l_suppkey) AS e FROM lineitem GROUP BY 1)
       SELECT l_orderkey, round(least(1.0::DOUBLE, 0.3::DOUBLE + CASE WHEN f > 0 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN s > 0 THEN 0.2::DOUBLE ELSE 0 END + 0.2::DOUBLE + least(p, 5) * 0.05::DOUBLE + least(f, 5) * 0.05::DOUBLE), 4) AS score FROM n""",
+    "p03_structure": "WITH " + CONCEPTS_SQL + """ SELECT 'diagrams.dfd.concepts' AS type_id, seq, 4 AS fields, 'content_slug:text,description:text,elements:list' || len(ids) AS profile FROM a
+      UNION ALL SELECT 'domain', c_custkey, 6, 'domain_id:text,name:text,description:text' FROM customer UNION ALL SELECT 'theory', doc_id, 2, 'concepts:list1,principles:list1' FROM documents""",
+    "d10_simhash": r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM documents), f AS (SELECT doc_id, list_filter(w, lambda x, i: list_position(w, x) = i)[1:1000] AS w FROM w), u AS (SELECT doc_id, unnest(w) AS w FROM f),
+      h AS (SELECT doc_id, CAST('0x' || md5(w)[1:8] AS BIGINT) AS a, CAST('0x' || md5(w)[9:16] AS BIGINT) AS b FROM u)
+      SELECT doc_id, """ + " || ".join("lpad(lower(to_hex(" + " + ".join(f"CASE WHEN sum((({h} >> {k}) & 1) * 2 - 1) > 0 THEN {1 << k} ELSE 0 END" for k in range(32)) + ")), 8, '0')" for h in "ab") + " AS simhash FROM h GROUP BY 1",
     "v10_decomposed": "SELECT conv_id, turn, text AS query, 'general' AS intent, 10 AS weight FROM conversations WHERE role = 'user'",
 }

@@ -56,6 +56,15 @@ def s01_parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "source_url", F.length("clean_text").alias("chars"))
 
 
+def s02_artifact_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artifacts in folders by day and hour: a scan of one day and of hours that begin with 1 reads those folders alone; unknown types are dropped."""
+    path = new_folder(spark, "artifacts-by-time")
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.date_format("ts", "HH").alias("hour"))
+    rows.write.partitionBy("day", "hour").json(f"{path}/by-time")
+    back = scan_knowledge(spark, f"{path}/by-time", "event_id long, event_type string, day string, hour string", ("day", "hour"))
+    return back.where("day = '2024-01-15' and startswith(hour, '1') and event_type in ('click', 'view', 'purchase')").select("event_id", "event_type", "day", "hour")
+
+
 def s03_load_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Knowledge by type in folders (K08), of which a load of one type reads its own folder alone."""
     path = new_folder(spark, "knowledge")
@@ -169,10 +178,11 @@ def r06_refine_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (s01_parsed_pages, s03_load_type, s04_index_scan, s05_evaluation_scan, s07_collections, s09_url_index, s10_url_list, s16_saved_pages, k07_category_files, k10_clear, k12_page_folders, k13_report, t03_incremental, r06_refine_run)
+    for q in (s01_parsed_pages, s02_artifact_scan, s03_load_type, s04_index_scan, s05_evaluation_scan, s07_collections, s09_url_index, s10_url_list, s16_saved_pages, k07_category_files, k10_clear, k12_page_folders, k13_report, t03_incremental, r06_refine_run)
 }
 ORACLES = {
     "s01_parsed_pages": f"SELECT page_id, url AS source_url, CAST(length({CLEAN_SQL}) AS INTEGER) AS chars FROM pages",
+    "s02_artifact_scan": "SELECT event_id, event_type, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%H') AS hour FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-15' AND hour(ts) BETWEEN 10 AND 19 AND event_type IN ('click', 'view', 'purchase')",
     "s03_load_type": """SELECT c_custkey AS seq, 'domain' AS type_id, CAST(length('{"domain_id":"d_' || c_custkey || '","name":"' || c_name || '","description":"' || c_mktsegment || '","terms":[{"term":"' || c_mktsegment || '"}],"rules":[{"rule_id":"r_' || c_nationkey || '","description":""}],"models":[{"entity":"' || c_name
       || '","attributes":["' || c_nationkey || '"]}]}') AS INTEGER) AS chars, true AS has_path FROM customer""",
     "s04_index_scan": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'concepts' ELSE 'rules' END AS folder FROM pages WHERE page_id % 3 < 2",
