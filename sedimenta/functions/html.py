@@ -1,4 +1,7 @@
-"""HTML to text and structure with regular expressions that run inside the JVM."""
+"""HTML to text and structure with regular expressions that run inside the JVM.
+
+A null page has an empty text and title, no headings, no markers and null lengths.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""URL identity: canonical addresses, hashes, domains and slugs, all as column expressions."""
+"""URL identity: canonical addresses, hashes, domains and slugs, all as column expressions.
+
+A null URL stays null, and so do its hashes and keys; its domain is `unknown`.
+"""
 
 from __future__ import annotations
 

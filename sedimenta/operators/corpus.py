@@ -1,4 +1,8 @@
-"""Content identity, corpus reports and grouped rates over documents, labels and events."""
+"""Content identity, corpus reports and grouped rates over documents, labels and events.
+
+A null text has a null hash and fingerprint, equals no other, is no valid text and low in information; null keys of a
+report are a group of their own; events without a time are in no window.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Rule-based extraction from texts: cleaning, meaningful sentences, rules, names, list items, image and file names, page metrics."""
+"""Rule-based extraction from texts: cleaning, meaningful sentences, rules, names, list items, image and file names, page metrics.
+
+A null text stays null when cleaned and has no sentences and no rules; a null name or item is null, a null URL no image.
+"""
 
 from __future__ import annotations
 

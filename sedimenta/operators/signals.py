@@ -1,4 +1,7 @@
-"""Keyword signals, sentence candidates, text predicates, summaries and event windows as column expressions."""
+"""Keyword signals, sentence candidates, text predicates, summaries and event windows as column expressions.
+
+A null text is no HTML and low in information, and has null counts of cues and lines; events without a time are in no window.
+"""
 
 from __future__ import annotations
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from ..functions.urls import domain
-from ..session import shared_folder, table
+from ..session import path_exists, shared_folder, table
 
 #: Result lists and fields of search responses in the order in which they are looked for, fixed values.
 RESULT_KEYS = ["organic_results", "web_results", "news_results", "related_questions"]
@@ -59,14 +59,11 @@ def recovered_json(text: str):
 
 
 def append_new(rows: DataFrame, path: str, key: str) -> None:
-    """Append the rows whose key the Parquet table at path does not hold yet, the first of each key."""
+    """Append the rows whose key the Parquet table at path does not hold yet, the first of each key; one writer at a time."""
     spark = rows.sparkSession
     fresh = rows.dropDuplicates([key])
-    try:
+    if path_exists(spark, path):
         fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti").select(rows.columns)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
     fresh.write.mode("append").parquet(path)
 
 

@@ -16,7 +16,7 @@ from ..functions.html import CLEAN_SQL, clean_text
 from ..functions.urls import domain
 from ..operators.evaluation import _ITEMS_SQL, quality_report
 from ..operators.structure import TYPE_COLLECTIONS
-from ..session import shared_folder, table
+from ..session import path_exists, shared_folder, table
 from .artifacts import read_url_list
 from .pages import CONCEPTS_SQL, artifacts
 
@@ -40,8 +40,7 @@ def scan_knowledge(spark: SparkSession, path: str, schema: str, folders: tuple[s
 
 def collection(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A vector collection: what its Parquet folder holds, or an empty table of its schema before the first write."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 

@@ -26,7 +26,7 @@ TABLES = {
     ),
     "documents": (
         "doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT",
-        [(i, t, "en", f"src{i % 3}", len(t)) for i, t in enumerate(["the rule must hold. 规则：必须 the end", "", "   ", "a" * 70, "a" * 70, "<p>html &amp; text</p>\nhttps://a.com/x y", "示例：一\n结果: 二。步骤一是收集所有用户需求并整理成完整清单文档！", "数据流图是指描述系统中数据流动和处理过程的图形化工具。" * 9])],
+        [(i, t, "en", f"src{i % 3}", len(t)) for i, t in enumerate(["the rule must hold. 规则：必须 the end", "", "   ", "a" * 70, "a" * 70, "<p>html &amp; text</p>\nhttps://a.com/x y", "示例：一\n结果: 二。步骤一是收集所有用户需求并整理成完整清单文档！", "数据流图是指描述系统中数据流动和处理过程的图形化工具。" * 9, "处理校验计算，请求响应数据；记录表数据库。用户管理员 DFD Data Flow 概念定义规则必须如果则要求。流程步骤示例例子约束 MIS 订单 Level 错误问题 正确建议命名。" * 12, "process data flow concept definition rule DFD. " * 30])],
     ),
     "labels": ("doc_id BIGINT, quality INTEGER, toxic INTEGER", [(0, 1, 0), (1, 0, 1), (2, None, None), (3, 1, None)]),
     "benchmark": ("item_id BIGINT, text VARCHAR", [(0, "the rule"), (1, None)]),
