@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.html import CLEAN_SQL, clean_text
-from ..functions.urls import domain
+from ..functions.urls import NORMALIZED_SQL, domain, normalized
 from ..operators.evaluation import _ITEMS_SQL, quality_report
 from ..operators.structure import TYPE_COLLECTIONS
 from ..session import path_exists, shared_folder, table
-from .artifacts import read_url_list
+from .artifacts import append_new, read_url_list
 from .pages import CONCEPTS_SQL, artifacts
 
 #: Files beside artifacts that scans leave out, and folders that an index leaves out: fixed values.
@@ -100,6 +100,26 @@ def s07_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection(spark, path, schema).groupBy("collection").agg(F.count("*").alias("vectors"), F.max("vec_id").alias("last"))
 
 
+#: Columns of the caches of URLs and of contents.
+URL_CACHE = "url_hash string, url string, normalized_url string, content_hash string, first_page long"
+CONTENT_CACHE = "content_hash string, url string, first_page long"
+
+
+def s06_cache_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Caches of URLs and contents: opened empty, filled with the pages, filled once more (which adds nothing), and read; rows and keys of each."""
+    paths = {k: new_folder(spark, f"{k}-cache") for k in ("url", "content")}
+    opened = {k: collection(spark, paths[k], schema) for k, schema in (("url", URL_CACHE), ("content", CONTENT_CACHE))}
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", normalized().alias("normalized_url"), F.md5(clean_text()).alias("content_hash"))
+    first = lambda key: pages.where(f"{key} is not null").groupBy(key).agg(F.min_by("url", "page_id").alias("url"), F.min("page_id").alias("first_page"))
+    urls = pages.where("normalized_url is not null").groupBy("normalized_url").agg(F.min_by("url", "page_id").alias("url"), F.min_by("content_hash", "page_id").alias("content_hash"), F.min("page_id").alias("first_page"))
+    urls = urls.select(F.sha2("normalized_url", 256).alias("url_hash"), "url", "normalized_url", "content_hash", "first_page")
+    for _ in range(2):
+        append_new(opened["url"].unionByName(urls), paths["url"], "url_hash")
+        append_new(opened["content"].unionByName(first("content_hash").select("content_hash", "url", "first_page")), paths["content"], "content_hash")
+    count = lambda k, schema, key: collection(spark, paths[k], schema).agg(F.lit(k).alias("cache"), F.count("*").alias("rows"), F.count_distinct(key).alias("keys"), F.max("first_page").alias("last"))
+    return count("url", URL_CACHE, "url_hash").unionByName(count("content", CONTENT_CACHE, "content_hash"))
+
+
 def k10_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collections after one of them is cleared: its folder is replaced by an empty one, the others stay."""
     path = new_folder(spark, "cleared")
@@ -177,7 +197,7 @@ def r06_refine_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (s01_parsed_pages, s02_artifact_scan, s03_load_type, s04_index_scan, s05_evaluation_scan, s07_collections, s09_url_index, s10_url_list, s16_saved_pages, k07_category_files, k10_clear, k12_page_folders, k13_report, t03_incremental, r06_refine_run)
+    for q in (s01_parsed_pages, s02_artifact_scan, s03_load_type, s04_index_scan, s05_evaluation_scan, s06_cache_tables, s07_collections, s09_url_index, s10_url_list, s16_saved_pages, k07_category_files, k10_clear, k12_page_folders, k13_report, t03_incremental, r06_refine_run)
 }
 ORACLES = {
     "s01_parsed_pages": f"SELECT page_id, url AS source_url, CAST(length({CLEAN_SQL}) AS INTEGER) AS chars FROM pages",
@@ -186,6 +206,8 @@ ORACLES = {
       || '","attributes":["' || c_nationkey || '"]}]}') AS INTEGER) AS chars, true AS has_path FROM customer""",
     "s04_index_scan": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'concepts' ELSE 'rules' END AS folder FROM pages WHERE page_id % 3 < 2",
     "s05_evaluation_scan": _ITEMS_SQL + " SELECT t AS type_id, count(*) AS items, round(sum(missing) / sum(required), 4) AS missing_rate, round(sum(low_info) / sum(text_fields), 4) AS low_info_rate FROM e WHERE t IN ('domain', 'mappings', 'diagrams.dfd.templates') GROUP BY 1",
+    "s06_cache_tables": NORMALIZED_SQL + f""", u AS (SELECT normalized_url, min(page_id) AS f FROM n WHERE normalized_url IS NOT NULL GROUP BY 1), t AS (SELECT md5({CLEAN_SQL}) AS h, min(page_id) AS f FROM pages GROUP BY 1)
+      SELECT 'url' AS cache, count(*) AS rows, count(*) AS keys, max(f) AS last FROM u UNION ALL SELECT 'content', count(*), count(*), max(f) FROM t""",
     "s07_collections": "SELECT label AS collection, count(*) AS vectors, max(vec_id) AS last FROM embeddings WHERE label IS NOT NULL GROUP BY 1",
     "k10_clear": "SELECT label AS collection, count(*) AS vectors FROM embeddings WHERE label IS NOT NULL AND label <> 3 GROUP BY 1",
     "s09_url_index": "SELECT page_id, md5(lower(rtrim(url, '/')))[1:12] AS key, min(page_id) OVER (PARTITION BY md5(lower(rtrim(url, '/')))[1:12]) AS first_page_id FROM pages",
