@@ -127,6 +127,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cell_rows: int
 
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     out = rows.where("valid").join(distinct.select("label", "embedding", "key", "rep", "copies"), ["label", "embedding"]).join(links, "key", "left")
+    out = cut_lineage(out.select("vec_id", "rep", "copies", "links"), "linked")
     # a vec_id of several vectors joins their components
     several = out.groupBy("vec_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("vec_id")
     ties = out.join(several, "vec_id", "left_semi").select("rep", F.col("vec_id").alias("root"))
