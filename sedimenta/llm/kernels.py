@@ -320,3 +320,14 @@ def by_range(sorted_keys: np.ndarray, buckets: int):
     for b, (lo, hi) in enumerate(zip([0, *ends.tolist()], [*ends.tolist(), len(sorted_keys)], strict=True)):
         if hi > lo:
             yield b, slice(lo, hi)
+
+
+class Vocabulary(dict):
+    """Numbers from 0 on for things in the order in which they are first asked for."""
+
+    def __missing__(self, key) -> int:
+        self[key] = len(self)
+        return len(self) - 1
+
+    def ids(self, found: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, found), dtype=np.int64, count=len(found))

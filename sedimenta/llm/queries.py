@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import let_workers_import, table
-from . import bpe, chat, lm_score, minhash, packing, quality, suffix_dedup, url_filter, vector_join, vector_search
+from . import bpe, chat, language_id, lexical_search, lm_score, minhash, packing, periodic, quality, suffix_dedup, url_filter, vector_join, vector_search
 
 
 def tokenizer_path(name: str) -> str:
@@ -109,6 +111,52 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def planted_order(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The places that the words of every tenth text are read from, so that its end repeats with a period drawn from its id."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    places = np.arange(n)
+    places[a:] = a + (places[a:] - a) % p
+    return places
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of four periods or more among the words of every document, and its text without their repeats."""
+    let_workers_import(spark)
+    out = periodic.collapse_runs(table(spark, sf_dir, "documents"), least=6, factor=4, order=planted_order)
+    best = F.expr("aggregate(runs, get(runs, 0), (a, x) -> if(x.length * a.period > a.length * x.period, x, a))")
+    return out.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.expr("array_join(transform(runs, x -> concat(x.start, ',', x.length, ',', x.period, '\n')), '')"), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned outside the held-out fold."""
+    let_workers_import(spark)
+    docs = table(spark, sf_dir, "documents")
+    net = language_id.train(docs, fold=2, folds=4)
+    rows = docs.select(F.col("doc_id").cast("long"), "text", quality.is_fold(F.col("doc_id"), 2, 4).alias("held_out"))
+    return language_id.predict_languages(rows, net).drop("text")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for every benchmark item."""
+    let_workers_import(spark)
+    index = lexical_search.build_index(table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, table(spark, sf_dir, "benchmark"), k=50)
+
+
 OP2_SQL = """
 WITH RECURSIVE v AS (
   SELECT row_number() OVER () AS n, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -172,6 +220,68 @@ SELECT page_id, host, path,
 FROM u
 """
 
+OP11_SQL = r"""
+WITH crcs AS (
+  SELECT list(list_reduce(list_concat([b], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b)
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    CASE WHEN doc_id IS NOT NULL THEN xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) END AS h
+  FROM documents, crcs
+), s AS (
+  SELECT r, doc_id, words, len(words) AS n, coalesce(h % 10 = 0 AND len(words) > 0, false) AS planted,
+    (h // 10) % greatest(len(words), 1) AS a, 3 + (h // 10) % 8 AS k FROM d
+), w AS (
+  SELECT r, i, words[1 + CASE WHEN planted AND i >= a THEN a + (i - a) % (1 + (n - a) // k) ELSE i END] AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM s)
+), same AS (
+  SELECT x.r, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.r = y.r AND x.word = y.word AND x.i < y.i
+), stretch AS (
+  SELECT r, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT r, i, q, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM same) GROUP BY r, q, g
+), long AS (SELECT * FROM stretch WHERE length >= greatest(6, 4 * q)),
+runs AS (
+  SELECT * FROM long b WHERE NOT EXISTS (
+    SELECT 1 FROM long c WHERE c.r = b.r AND c.q < b.q AND c.start <= b.start AND c.start + c.length >= b.start + b.length)
+), best AS (
+  SELECT * FROM runs b WHERE NOT EXISTS (
+    SELECT 1 FROM runs c WHERE c.r = b.r AND (c.length * b.q > b.length * c.q OR (c.length * b.q = b.length * c.q AND (c.start, c.q) < (b.start, b.q))))
+), texts AS (
+  SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS t FROM runs GROUP BY r
+), dropped AS (
+  SELECT DISTINCT r, unnest(range(start + q, start + length)) AS i FROM runs
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS t FROM w ANTI JOIN dropped USING (r, i) GROUP BY r
+)
+SELECT s.doc_id, coalesce(texts.n_runs, 0) AS n_runs, best.start, best.length, best.q AS period, 1000 * best.length // best.q AS exponent_milli,
+  sha256(coalesce(texts.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM s LEFT JOIN best USING (r) LEFT JOIN texts USING (r) LEFT JOIN kept USING (r)
+"""
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), held AS (SELECT r, doc_id, len(terms) AS n, terms FROM d WHERE len(terms) > 0),
+sums AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM held),
+tfs AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM held) GROUP BY r, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term), sums
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), scores AS (
+  SELECT a.item_id, t.r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total)))) AS BIGINT) AS score
+  FROM asked a JOIN tfs t USING (term) JOIN weights USING (term) JOIN held USING (r), sums GROUP BY a.item_id, t.r
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+  FROM scores JOIN held USING (r) WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 50
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -185,6 +295,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_quality": op9_quality,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_language_id": op12_language_id,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
@@ -194,4 +307,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_topk_search": OP3_SQL,
         "op5_chat_format": OP5_SQL,
         "op8_url_filter": OP8_SQL,
+        "op11_periodic_runs": OP11_SQL,
+        "op13_lexical_search": OP13_SQL,
     }
