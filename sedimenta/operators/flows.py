@@ -12,17 +12,9 @@ from .evaluation import first_list, text_of, validated
 from .scoring import knowledge_score
 from .signals import ORACLES as SIGNAL_SQL
 from .signals import a09_keyword_signals, e15_sentence_candidates
-from .structure import _REMOVED, _steps
-from .webtext import NO_EMPTY, WITHOUT_NOISE
 
 #: Least scores that the second export accepts as a function and from the command line: fixed values.
 ACCEPTED, ACCEPTED_CLI = 0.5, 0.4
-CLEANED_UP = NO_EMPTY.replace("(html,", "(" + WITHOUT_NOISE.replace("(html,", "(" + _steps("html", _REMOVED) + ",") + ",")
-
-
-def h15_internal_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages without blacklisted tags (H09), then without noise (H10), then without empty nodes (H17)."""
-    return table(spark, sf_dir, "pages").select("page_id", F.expr(spark_sql(CLEANED_UP)).alias("html"))
 
 
 def p05_first_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,10 +95,9 @@ def d10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (h15_internal_cleanup, p05_first_lists, p14_text_values, r07_export, r08_export, r09_two_stages, a14_diagram_score, v10_decomposed, p03_structure, d10_simhash)}
+QUERIES = {q.__name__: q for q in (p05_first_lists, p14_text_values, r07_export, r08_export, r09_two_stages, a14_diagram_score, v10_decomposed, p03_structure, d10_simhash)}
 _SIGNALS, _PIECES = SIGNAL_SQL["a09_keyword_signals"], SIGNAL_SQL["e15_sentence_candidates"]
 ORACLES = {
-    "h15_internal_cleanup": f"SELECT page_id, {duck_sql(CLEANED_UP)} AS html FROM pages",
     "p05_first_lists": "WITH " + CONCEPTS_SQL + " SELECT 'diagrams.dfd.concepts' AS type_id, seq, CAST(len(ids) AS INTEGER) AS n FROM a UNION ALL SELECT 'theory', doc_id, 1 FROM documents UNION ALL SELECT 'schema', doc_id, 0 FROM labels UNION ALL SELECT 'diagrams.dfd.levels', s_suppkey, 1 FROM supplier",
     "p14_text_values": "SELECT c_custkey AS seq, CAST(c_nationkey AS VARCHAR) AS attributes, c_name AS name, '' AS term, '' AS none FROM customer",
     "r07_export": f"WITH a AS ({_SIGNALS}), b AS ({_PIECES}) SELECT doc_id, types, round(greatest(concept_score, rule_score), 4) AS score, greatest(concept_score, rule_score) >= 0.5 AS kept FROM a JOIN b USING (doc_id)",

@@ -1,8 +1,4 @@
-"""Pages to text and structure with regular expressions inside the JVM: noise, ratios, container scores, tables, images, sites, result lists.
-
-Elements are cut by their first end tag, so that an element inside one of its own kind ends the outer one
-early. Null pages hold nothing.
-"""
+"""Pages to text with regular expressions inside the JVM: plain texts, tag ratios, addresses, result lists, names, decisions. Null pages hold nothing."""
 
 from __future__ import annotations
 
@@ -15,29 +11,8 @@ from ..functions.urls import NORMALIZED_SQL, domain, normalized, title_slug
 from ..session import table
 from ..sources.artifacts import search_items
 
-#: Words of class and id that mark noise, tags that stay, tags that may be empty nodes, and words of images that are no content: fixed values.
-NOISE = [
-    "header", "footer", "nav", "toolbar", "sidebar", "side-bar", "recommend", "related", "comment", "copyright", "login", "signup", "share", "advert", "ad", "ads", "ad-", "ads-", "banner", "popup", "modal", "cookie", "tip", "metadata",
-    "statistics", "stat", "report", "like", "dislike", "follow", "qr", "avatar", "breadcrumbs", "sponsor", "promotion", "marketing", "track", "analytics", "widget", "badge", "pager", "next-prev", "toc", "guide", "disclaimer",
-    "feedback", "survey", "newsletter", "subscription", "download-btn",
-]
-WHITELIST = ["p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "img", "pre", "code", "blockquote", "table", "tr", "td", "th", "strong", "em", "b", "i", "u", "br", "figure", "figcaption"]
-MAY_BE_EMPTY = ["b", "i", "em", "strong", "u", "span", "a", "li", "ul", "ol", "p", "h1", "h2", "h3", "h4", "h5", "h6", "section", "div"]
-NO_IMAGE = ["avatar", "logo", "icon", "qr", "qrcode", "barcode", "ads", "ad", "banner", "tracker", "spacer", "blank"]
-BLOCKS = ["div", "section", "ul", "p", "span"]
-
-#: A page without elements whose class or id holds a word of noise.
-WITHOUT_NOISE = "html"
-for _tag in BLOCKS:
-    WITHOUT_NOISE = rf"regexp_replace({WITHOUT_NOISE}, @'(?is)<{_tag} [^>]*(class|id)=\x22[^\x22]*({'|'.join(NOISE)})[^\x22]*\x22[^>]*>.*?</{_tag}>', ''@every)"
-#: A page of whitelisted tags alone, whose other tags are unwrapped; white space between empty tags goes with them.
-UNWRAPPED = rf"replace(replace(regexp_replace(regexp_replace(html, @'(?i)<(/?(?:{'|'.join(WHITELIST)})(?:[ /][^>]*)?)>', chr(1) || '@1' || chr(2)@every), @'<[^>]*>', ''@every), chr(1), '<'), chr(2), '>')"
-NO_EMPTY = "html"
-for _tag in MAY_BE_EMPTY:
-    NO_EMPTY = rf"regexp_replace({NO_EMPTY}, @'(?i)<{_tag}(?: [^>]*)?>[ \t\r\n]*</{_tag}>', ''@every)"
 _ARTICLE = r"(?is)<article[^>]*>(.*)</article>"
 _COUNT = "@size(@all(k, @'{}'@whole))"
-_TEXT = r"trim(regexp_replace(regexp_replace({}, @'<[^>]*>', ' '@every), @'[ \t\r\n]+', ' '@every))"
 
 
 def h07_basic_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,18 +23,6 @@ def h07_basic_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BASIC = r"trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, @'<[^>]+>', ''@every), '&lt;', '<'), '&gt;', '>'), '&quot;', '\x22'), '&copy;', '©'), '&amp;', '&'), @'[ \t\r\n]+', ' '@every))".replace(r"'\x22'", "chr(34)")
 
 
-def h10_without_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.expr(spark_sql(WITHOUT_NOISE)).alias("html"))
-
-
-def h16_unwrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.expr(spark_sql(UNWRAPPED)).alias("html"))
-
-
-def h17_without_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.expr(spark_sql(NO_EMPTY)).alias("html"))
-
-
 def _container(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id and k, the article of a page or the page without one."""
     return table(spark, sf_dir, "pages").select("page_id", F.explode(F.array(F.coalesce(F.nullif(F.regexp_extract("html", _ARTICLE, 1), F.lit("")), "html", F.lit("")))).alias("k"))
@@ -75,42 +38,6 @@ def h12_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TAGS = {"tags": "<[a-zA-Z][^>]*>", "lists": "(?i)<(ul|ol|li)[ >]", "headings": "(?i)<h[1-3][ >]"}
 
 
-def container_score(text: Column, density: Column, noise: Column, lists: Column, headings: Column) -> Column:
-    """Score of a main container: text that is not in links, less for noise, lists and headings."""
-    return F.length(text) * (1 - density) * (1 - noise * 0.3) * (1 - lists * 0.2) * (1 - headings * 0.2)
-
-
-def h13_container_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of the containers; an article's own class and id hold no noise here."""
-    bare = r"length(regexp_replace({}, @'<[^>]+>|[ \t\r\n]', ''@every))"
-    inside = bare.format(r"@join(@all(k, @'(?is)<a [^>]*>.*?</a>'@whole), '')")
-    rows = _container(spark, sf_dir).select("page_id", F.expr(spark_sql(_TEXT.format("k"))).alias("text"), F.expr(spark_sql(inside)).alias("i"), F.expr(spark_sql(bare.format("k"))).alias("n"), *(F.expr(spark_sql(_COUNT.format(p))).alias(k) for k, p in _TAGS.items()))
-    share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
-    return rows.select("page_id", F.round(container_score(F.col("text"), share("i", "n"), F.lit(0), share("lists", "tags"), share("headings", "tags")), 4).alias("score"))
-
-
-def h20_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections of a page's container with their paragraphs, list items, code and images."""
-    parts = r"slice(split(regexp_replace(k, r'(?i)<h([1-3])([ >])', concat(chr(1), '$1<h$2')), chr(1)), 2, 1000000000)"
-    rows = _container(spark, sf_dir).select("page_id", F.posexplode(F.expr(parts)).alias("pos", "part"))
-    inner = lambda tag: f"filter(transform(regexp_extract_all(part, r'(?is)<{tag}(?: [^>]*)?>(.*?)</{tag}>', 1), x -> {spark_sql(_TEXT.format('x'))}), x -> x <> '')"
-    kinds = {"paragraphs": inner("p"), "items": inner("li"), "code": inner("pre"), "images": r"regexp_extract_all(part, r'(?is)<img [^>]*src=\x22([^\x22]*)\x22', 1)"}
-    return rows.select("page_id", "pos", F.expr("cast(substring(part, 1, 1) as int)").alias("level"), *(F.array_join(F.expr(e), "|").alias(k) for k, e in kinds.items()))
-
-
-def table_markdown(rows: str) -> str:
-    """SQL of an array of rows (arrays of texts) as a pipe table, the first row as its head; empty without rows."""
-    line = "concat('| ', array_join({0}, ' | '), ' |')"
-    return f"if(size({rows}) > 0, concat_ws('\\n', {line.format(rows + '[0]')}, {line.format(f'''transform({rows}[0], c -> '---')''')}, nullif(array_join(transform(slice({rows}, 2, size({rows})), r -> {line.format('r')}), '\\n'), '')), '')"
-
-
-def h21_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of each order as a pipe table of part and quantity."""
-    cells = "transform(sort_array(collect_list(struct(l_linenumber, l_partkey, l_quantity))), x -> array(cast(x.l_partkey as string), cast(cast(x.l_quantity as int) as string)))"
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.expr(f"concat(array(array('part', 'quantity')), {cells})").alias("r"))
-    return rows.select("l_orderkey", F.expr(table_markdown("r")).alias("markdown"))
-
-
 def resolved(base: str, url: str) -> str:
     """SQL of a relative URL against its page: absolute ones stay, // gets https, / starts at the host, others at the folder; dot segments stay."""
     root = rf"regexp_extract({base}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', 0)"
@@ -128,33 +55,6 @@ def u10_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _links(spark, sf_dir).select("page_id", "pos", F.expr(resolved("url", "src")).alias("resolved"))
 
 
-def h23_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links as images of a page: resolved, without those whose address holds a word of images that are no content, each once in order."""
-    rows = _links(spark, sf_dir).select("page_id", "pos", F.expr(resolved("url", "src")).alias("src")).where(~F.lower("src").rlike("|".join(NO_IMAGE)))
-    first = rows.groupBy("page_id", "src").agg(F.min("pos").alias("pos"))
-    return first.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "src"))), lambda x: x["src"]), "|").alias("images"))
-
-
-def h24_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page as a structured record: title, address, plain text, number of headings, links and paragraphs."""
-    n = lambda p: F.regexp_count("html", F.lit(p))
-    return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_extract("html", "(?is)<h1[^>]*>(.*?)</h1>", 1)).alias("title"), F.col("url").alias("source_url"), clean_text().alias("clean_text"), n("(?i)<h[1-3][ >]").alias("sections"), n("(?i)<a ").alias("links"), n("(?i)<p[ >]").alias("paragraphs"))
-
-
-def h32_site_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title, author, time and language of a page by ordered patterns, empty without a match."""
-    first = lambda *ps: F.coalesce(*(F.nullif(F.trim(F.regexp_extract("html", p, 1)), F.lit("")) for p in ps), F.lit(""))
-    return table(spark, sf_dir, "pages").select("page_id", first(*_SITE["title"]).alias("title"), first(*_SITE["author"]).alias("author"), first(*_SITE["time"]).alias("time"), first(*_SITE["lang"]).alias("lang"))
-
-
-_SITE = {
-    "title": ['(?is)<h1 class="title[^>]*>(.*?)</h1>', "(?is)<h1[^>]*>([^<]*)</h1>", "(?is)<title[^>]*>(.*?)</title>"],
-    "author": ['(?is)<[a-z]+ class="author[^>]*>([^<]*)<', '(?is)<meta name="author" content="([^"]*)"'],
-    "time": ['(?is)<time[^>]*>([^<]*)</time>', '(?is)<[a-z]+ class="date[^>]*>([^<]*)<'],
-    "lang": ['(?is)<html[^>]* lang="([^"]*)"'],
-}
-
-
 def h34_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title, description and headings of a page, then its paragraphs of over 20 characters."""
     return table(spark, sf_dir, "pages").select("page_id", F.expr(spark_sql(_PAGE_TEXT)).alias("text"))
@@ -249,7 +149,7 @@ def k01_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (h07_basic_clean, h10_without_noise, h12_tag_ratio, h13_container_score, h16_unwrapped, h17_without_empty, h20_sections, h21_tables, h23_images, h24_structured, h32_site_fields, h34_page_text,
+    for q in (h07_basic_clean, h12_tag_ratio, h34_page_text,
               h35_result_list, p01_search_items, u09_folder_name, u10_resolved, u12_names, u13_cookies, w06_clash_suffix, d06_decision, d09_manage, j07_source_urls, k01_paths)
 }
 _K = r"WITH c AS (SELECT page_id, coalesce(nullif(regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1), ''), html, '') AS k FROM pages)"
@@ -257,33 +157,11 @@ _N = lambda p: f"len(regexp_extract_all(k, '{p}'))"
 _LINKS = r"""WITH x AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS a FROM pages), l AS (SELECT page_id, url, unnest(a) AS s, CAST(unnest(range(len(a))) AS INTEGER) AS pos FROM x),
   r AS (SELECT page_id, url, pos, CASE pos % 3 WHEN 2 THEN s[2:] WHEN 1 THEN '/' || s ELSE s END AS src FROM l)"""
 _ITEMS = _LINKS + """, i AS (SELECT page_id, url AS keyword, pos AS place, CASE WHEN page_id % 2 = 0 AND pos = 1 THEN NULL ELSE s END AS url, s[2:] AS title, CASE WHEN page_id % 2 = 0 THEN 'about ' || s END AS snippet, CASE WHEN page_id % 2 = 0 THEN pos + 1 WHEN pos > 0 THEN pos END AS position FROM l)"""
-_SITE_SQL = {
-    "title": """coalesce(nullif(trim(regexp_extract(html, '(?is)<h1 class="title[^>]*>(.*?)</h1>', 1)), ''), nullif(trim(regexp_extract(html, '(?is)<h1[^>]*>([^<]*)</h1>', 1)), ''), nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), '')""",
-    "author": """coalesce(nullif(trim(regexp_extract(html, '(?is)<[a-z]+ class="author[^>]*>([^<]*)<', 1)), ''), nullif(trim(regexp_extract(html, '(?is)<meta name="author" content="([^"]*)"', 1)), ''), '')""",
-    "time": """coalesce(nullif(trim(regexp_extract(html, '(?is)<time[^>]*>([^<]*)</time>', 1)), ''), nullif(trim(regexp_extract(html, '(?is)<[a-z]+ class="date[^>]*>([^<]*)<', 1)), ''), '')""",
-    "lang": """coalesce(nullif(trim(regexp_extract(html, '(?is)<html[^>]* lang="([^"]*)"', 1)), ''), '')""",
-}
 _HOST = "coalesce(nullif(regexp_extract(url, '://([^/?#]*)', 1), ''), 'unknown')"
 ORACLES = {
     "h07_basic_clean": f"SELECT page_id, {duck_sql(_BASIC)} AS text FROM pages",
-    "h10_without_noise": f"SELECT page_id, {duck_sql(WITHOUT_NOISE)} AS html FROM pages",
-    "h16_unwrapped": f"SELECT page_id, {duck_sql(UNWRAPPED)} AS html FROM pages",
-    "h17_without_empty": f"SELECT page_id, {duck_sql(NO_EMPTY)} AS html FROM pages",
     "h12_tag_ratio": _K + f", n AS (SELECT page_id, {_N('<[a-zA-Z][^>]*>')} AS t, {_N('(?i)<(ul|ol|li)[ >]')} AS l, {_N('(?i)<h[1-3][ >]')} AS h FROM c) SELECT page_id, round(coalesce(l / nullif(t, 0), 0), 6) AS lists_ratio, round(coalesce(h / nullif(t, 0), 0), 6) AS headings_ratio FROM n",
-    "h13_container_score": _K + rf""", n AS (SELECT page_id, length({duck_sql(_TEXT.format('k'))}) AS s, length(regexp_replace(array_to_string(regexp_extract_all(k, '(?is)<a [^>]*>.*?</a>'), ''), '<[^>]+>|[ \t\r\n]', '', 'g')) AS i, length(regexp_replace(k, '<[^>]+>|[ \t\r\n]', '', 'g')) AS n,
-      {_N('<[a-zA-Z][^>]*>')} AS t, {_N('(?i)<(ul|ol|li)[ >]')} AS l, {_N('(?i)<h[1-3][ >]')} AS h FROM c)
-      SELECT page_id, round(s * (1 - coalesce(i / nullif(n, 0), 0)) * (1 - coalesce(l / nullif(t, 0), 0) * 0.2::DOUBLE) * (1 - coalesce(h / nullif(t, 0), 0) * 0.2::DOUBLE), 4) AS score FROM n""",
-    "h20_sections": _K + r""", p AS (SELECT page_id, string_split(regexp_replace(k, '(?i)<h([1-3])([ >])', chr(1) || '\1<h\2', 'g'), chr(1))[2:] AS parts FROM c), u AS (SELECT page_id, unnest(parts) AS part, CAST(unnest(range(len(parts))) AS INTEGER) AS pos FROM p)
-      SELECT page_id, pos, CAST(part[1:1] AS INTEGER) AS level, """ + ", ".join(
-        f"array_to_string(list_filter(list_transform(regexp_extract_all(part, '(?is)<{t}(?: [^>]*)?>(.*?)</{t}>', 1), lambda x: {duck_sql(_TEXT.format('x'))}), lambda x: x <> ''), '|') AS {k}" for k, t in (("paragraphs", "p"), ("items", "li"), ("code", "pre"))
-    ) + r""", array_to_string(regexp_extract_all(part, '(?is)<img [^>]*src="([^"]*)"', 1), '|') AS images FROM u""",
-    "h21_tables": """SELECT l_orderkey, '| part | quantity |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || l_partkey || ' | ' || CAST(l_quantity AS INTEGER) || ' |', chr(10) ORDER BY l_linenumber, l_partkey, l_quantity) AS markdown FROM lineitem GROUP BY 1""",
     "u10_resolved": _LINKS + f" SELECT page_id, pos, {resolved('url', 'src')} AS resolved FROM r",
-    "h23_images": _LINKS + f""", f AS (SELECT page_id, pos, {resolved('url', 'src')} AS src FROM r), k AS (SELECT page_id, src, min(pos) AS pos FROM f WHERE NOT regexp_matches(lower(src), 'avatar|logo|icon|qr|barcode|ad|banner|tracker|spacer|blank') GROUP BY 1, 2)
-      SELECT page_id, string_agg(src, '|' ORDER BY pos, src) AS images FROM k GROUP BY 1""",
-    "h24_structured": f"""SELECT page_id, trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)) AS title, url AS source_url, {CLEAN_SQL} AS clean_text, CAST(len(regexp_extract_all(html, '(?i)<h[1-3][ >]')) AS INTEGER) AS sections,
-      CAST(len(regexp_extract_all(html, '(?i)<a ')) AS INTEGER) AS links, CAST(len(regexp_extract_all(html, '(?i)<p[ >]')) AS INTEGER) AS paragraphs FROM pages""",
-    "h32_site_fields": "SELECT page_id, " + ", ".join(f"{sql} AS {k}" for k, sql in _SITE_SQL.items()) + " FROM pages",
     "h34_page_text": f"SELECT page_id, {duck_sql(_PAGE_TEXT)} AS text FROM pages",
     "p01_search_items": _ITEMS + " SELECT page_id, place, url, title, snippet, position FROM i WHERE url IS NOT NULL",
     "h35_result_list": _ITEMS + """, e AS (SELECT page_id, keyword, row_number() OVER (PARTITION BY page_id ORDER BY place) AS n, place, '. ' || title || chr(10) || chr(10) || '**链接**: ' || url || coalesce(chr(10) || chr(10) || '**摘要**: ' || snippet, '') || coalesce(chr(10) || chr(10) || '**排名**: ' || position, '') || chr(10) || chr(10) || '---' AS e FROM i WHERE url IS NOT NULL)
