@@ -119,13 +119,6 @@ def w06_clash_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.expr("concat(event_type, if(n > 0, concat('_', n), ''))").alias("name"))
 
 
-def d06_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What becomes of each page: skipped for its URL, or for its text, that an earlier page has, else added. By firsts of each, which is what one row after another gives while no page is skipped for one that was."""
-    rows = table(spark, sf_dir, "pages").select("page_id", normalized().alias("u"), F.md5(clean_text()).alias("c"))
-    urls, texts = rows.groupBy("u").agg(F.min("page_id").alias("u_first")), rows.groupBy("c").agg(F.min("page_id").alias("c_first"))
-    return rows.join(urls, "u", "left").join(texts, "c").select("page_id", F.expr("case when u_first < page_id then 'url' when c_first < page_id then 'content' else 'add' end").alias("decision"))
-
-
 def d09_manage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cache's numbers before and after cleaning visits older than ten days from the newest, and after a reset."""
     rows = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max("ts").alias("last"))
@@ -150,7 +143,7 @@ def k01_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (h07_basic_clean, h12_tag_ratio, h34_page_text,
-              h35_result_list, p01_search_items, u09_folder_name, u10_resolved, u12_names, u13_cookies, w06_clash_suffix, d06_decision, d09_manage, j07_source_urls, k01_paths)
+              h35_result_list, p01_search_items, u09_folder_name, u10_resolved, u12_names, u13_cookies, w06_clash_suffix, d09_manage, j07_source_urls, k01_paths)
 }
 _K = r"WITH c AS (SELECT page_id, coalesce(nullif(regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1), ''), html, '') AS k FROM pages)"
 _N = lambda p: f"len(regexp_extract_all(k, '{p}'))"
@@ -171,7 +164,6 @@ ORACLES = {
     "u12_names": "SELECT p_partkey, regexp_replace(trim(concat_ws('  ', p_name, p_brand, p_type, ' ')), '[ \\t\\r\\n]+', ' ', 'g')[1:64] AS name FROM part",
     "u13_cookies": "SELECT event_id, CAST(user_id + 1 AS VARCHAR) AS uid, event_type AS type, 'b=c' AS a, 3 AS n FROM events",
     "w06_clash_suffix": "WITH n AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y%m%d'), event_type ORDER BY event_id) - 1 AS n FROM events) SELECT event_id, event_type || CASE WHEN n > 0 THEN '_' || n ELSE '' END AS name FROM n",
-    "d06_decision": NORMALIZED_SQL + f", z AS (SELECT page_id, md5({CLEAN_SQL}) AS c FROM pages) SELECT page_id, CASE WHEN min(page_id) OVER (PARTITION BY normalized_url) < page_id THEN 'url' WHEN min(page_id) OVER (PARTITION BY z.c) < page_id THEN 'content' ELSE 'add' END AS decision FROM n JOIN z USING (page_id)",
     "d09_manage": """WITH l AS (SELECT max(ts) AS last FROM events GROUP BY user_id, event_type), n AS (SELECT count(*) AS s, count(*) FILTER (last >= (SELECT max(ts) FROM events) - INTERVAL 10 DAYS) AS c FROM l)
       SELECT 'stats' AS action, s AS rows FROM n UNION ALL SELECT 'clean', c FROM n UNION ALL SELECT 'reset', 0 FROM n""",
     "j07_source_urls": "SELECT page_id, CASE WHEN page_id % 2 = 1 THEN url WHEN page_id % 4 <> 0 THEN url || '?side' END AS source_url FROM pages",

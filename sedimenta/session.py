@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +40,10 @@ def shared_folder(spark: SparkSession) -> str:
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="sedimenta-"))
         folder = sc.getCheckpointDir()
     return folder.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of the shared folder: what reads it again, or after an executor was lost, computes nothing anew."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
