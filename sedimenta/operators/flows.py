@@ -11,7 +11,7 @@ from ..sources.pages import CONCEPTS_SQL, artifacts
 from .evaluation import first_list, text_of, validated
 from .scoring import knowledge_score
 from .signals import ORACLES as SIGNAL_SQL
-from .signals import a09_keyword_signals, e15_sentence_candidates
+from .signals import keyword_signals, sentence_candidates
 
 #: Least scores that the second export accepts as a function and from the command line: fixed values.
 ACCEPTED, ACCEPTED_CLI = 0.5, 0.4
@@ -41,8 +41,7 @@ def exported(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
 
 def r07_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first export over documents: signals, candidates of concepts and rules, the larger score of both, and whether it is kept."""
-    signals = a09_keyword_signals(spark, sf_dir).select("doc_id", "types")
-    rows = e15_sentence_candidates(spark, sf_dir).join(signals, "doc_id")
+    rows = sentence_candidates(keyword_signals(table(spark, sf_dir, "documents").select("doc_id", "text")))
     score = F.greatest("concept_score", "rule_score")
     return rows.select("doc_id", "types", F.round(score, 4).alias("score"), (score >= ACCEPTED).alias("kept"))
 
@@ -54,10 +53,9 @@ def r08_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r09_two_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two stages for each document: routed types, then how many pieces each type's extraction finds, with the tokens (a quarter of the characters, up) that both read."""
-    routed = a09_keyword_signals(spark, sf_dir).select("doc_id", F.explode(F.split("types", ",")).alias("type_id"))
-    found = e15_sentence_candidates(spark, sf_dir).select("doc_id", "concept_candidates", "rule_candidates")
-    tokens = table(spark, sf_dir, "documents").select("doc_id", F.expr("cast(ceil(length(coalesce(text, '')) / 4.0) as long)").alias("tokens"))
-    rows = routed.join(found, "doc_id").join(tokens, "doc_id")
+    tokens = F.expr("cast(ceil(length(coalesce(text, '')) / 4.0) as long)").alias("tokens")
+    found = sentence_candidates(keyword_signals(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    rows = found.select("doc_id", F.explode(F.split("types", ",")).alias("type_id"), "concept_candidates", "rule_candidates", tokens)
     return rows.select("doc_id", "type_id", F.expr("case type_id when 'concepts' then concept_candidates when 'rules' then rule_candidates else 0 end").alias("pieces"), "tokens")
 
 
@@ -97,15 +95,17 @@ def d10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (p05_first_lists, p14_text_values, r07_export, r08_export, r09_two_stages, a14_diagram_score, v10_decomposed, p03_structure, d10_simhash)}
 _SIGNALS, _PIECES = SIGNAL_SQL["a09_keyword_signals"], SIGNAL_SQL["e15_sentence_candidates"]
+_BY_ROW = lambda sql: sql.replace("SELECT doc_id,", "SELECT r, doc_id,").replace("FROM documents", "FROM keyed")
+_KEYED = f"keyed AS MATERIALIZED (SELECT row_number() OVER () AS r, * FROM documents), a AS ({_BY_ROW(_SIGNALS)}), b AS ({_BY_ROW(_PIECES)})"
 ORACLES = {
     "p05_first_lists": "WITH " + CONCEPTS_SQL + " SELECT 'diagrams.dfd.concepts' AS type_id, seq, CAST(len(ids) AS INTEGER) AS n FROM a UNION ALL SELECT 'theory', doc_id, 1 FROM documents UNION ALL SELECT 'schema', doc_id, 0 FROM labels UNION ALL SELECT 'diagrams.dfd.levels', s_suppkey, 1 FROM supplier",
     "p14_text_values": "SELECT c_custkey AS seq, CAST(c_nationkey AS VARCHAR) AS attributes, c_name AS name, '' AS term, '' AS none FROM customer",
-    "r07_export": f"WITH a AS ({_SIGNALS}), b AS ({_PIECES}) SELECT doc_id, types, round(greatest(concept_score, rule_score), 4) AS score, greatest(concept_score, rule_score) >= 0.5 AS kept FROM a JOIN b USING (doc_id)",
+    "r07_export": f"WITH {_KEYED} SELECT a.doc_id, types, round(greatest(concept_score, rule_score), 4) AS score, greatest(concept_score, rule_score) >= 0.5 AS kept FROM a JOIN b USING (r)",
     "r08_export": "WITH " + CONCEPTS_SQL + """, r AS (SELECT 'diagrams.dfd.concepts' AS type_id, seq, len(ids) >= 4 AND seq >= 10 AS valid, CASE WHEN len(ids) > 0 THEN least(1.0::DOUBLE, len(ids) / 5.0::DOUBLE) ELSE 0.2::DOUBLE END AS score FROM a
       UNION ALL SELECT 'diagrams.dfd.rules', conv_id * 1000 + turn, true, 0.25::DOUBLE FROM conversations UNION ALL SELECT 'domain', c_custkey, c_mktsegment IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE'), 0.5::DOUBLE FROM customer)
       SELECT type_id, seq, valid, round(score, 4) AS score, valid AND score >= 0.5 AS accepted FROM r""",
-    "r09_two_stages": f"""WITH a AS ({_SIGNALS}), b AS ({_PIECES}), t AS (SELECT doc_id, unnest(string_split(types, ',')) AS type_id FROM a)
-      SELECT doc_id, type_id, CASE type_id WHEN 'concepts' THEN concept_candidates WHEN 'rules' THEN rule_candidates ELSE 0 END AS pieces, CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) AS tokens FROM t JOIN b USING (doc_id) JOIN documents USING (doc_id)""",
+    "r09_two_stages": f"""WITH {_KEYED}, t AS (SELECT r, unnest(string_split(types, ',')) AS type_id FROM a)
+      SELECT keyed.doc_id, type_id, CASE type_id WHEN 'concepts' THEN concept_candidates WHEN 'rules' THEN rule_candidates ELSE 0 END AS pieces, CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) AS tokens FROM t JOIN b USING (r) JOIN keyed USING (r)""",
     "a14_diagram_score": """WITH n AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS p, count(*) FILTER (l_quantity > 20) AS f, count(*) FILTER (l_returnflag = 'R') AS s, count(DISTINCT l_suppkey) AS e FROM lineitem GROUP BY 1)
       SELECT l_orderkey, round(least(1.0::DOUBLE, 0.3::DOUBLE + CASE WHEN f > 0 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN s > 0 THEN 0.2::DOUBLE ELSE 0 END + 0.2::DOUBLE + least(p, 5) * 0.05::DOUBLE + least(f, 5) * 0.05::DOUBLE), 4) AS score FROM n""",
     "p03_structure": "WITH " + CONCEPTS_SQL + """ SELECT 'diagrams.dfd.concepts' AS type_id, seq, 4 AS fields, 'content_slug:text,description:text,elements:list' || len(ids) AS profile FROM a

@@ -36,21 +36,30 @@ def a06_corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.agg(F.count("*").alias("docs"), F.count_distinct("lang").alias("langs"), F.count_distinct("source").alias("sources"), F.sum(F.char_length("text")).alias("chars"), F.max(F.char_length("text")).alias("longest"))
 
 
-def a09_keyword_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Occurrences of each type's cues, and the types that have any, most first."""
+def keyword_signals(rows: DataFrame) -> DataFrame:
+    """rows(text) with the occurrences of each type's cues and the types that have any, most first."""
     count = {k: sum((F.regexp_count("text", F.lit(w)) for w in words), F.lit(0)).cast("long") for k, words in SIGNALS.items()}
     found = ", ".join(f"struct(-{k} as n, {i} as i, '{k}' as k)" for i, k in enumerate(SIGNALS))
     types = F.expr(f"coalesce(nullif(array_join(transform(array_sort(filter(array({found}), x -> x.n < 0)), x -> x.k), ','), ''), 'concepts,rules')")
-    return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(k) for k, c in count.items())).withColumn("types", types)
+    return rows.withColumns(count).withColumn("types", types)
 
 
-def e15_sentence_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of more than 10 characters with a concept or rule cue, and the scores they give."""
+def a09_keyword_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences of each type's cues, and the types that have any, most first."""
+    return keyword_signals(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def sentence_candidates(rows: DataFrame) -> DataFrame:
+    """rows(text) with the numbers of sentences of more than 10 characters that hold a concept or rule cue, and the scores they give."""
     blanks = r" \\t\\n\\r\\f\\x0B"
     sentences = rf"filter(transform(split(text, '[。.!?\\n]'), s -> regexp_replace(s, '^[{blanks}]+|[{blanks}]+$', '')), s -> length(s) > 10)"
-    n = {k: f"size(filter({sentences}, s -> s rlike '{'|'.join(cues)}'))" for k, cues in (("concept", SIGNALS["concepts"]), ("rule", RULE_CUES))}
-    rows = table(spark, sf_dir, "documents").select("doc_id", *(F.expr(e).alias(f"{k}_candidates") for k, e in n.items()))
-    return rows.withColumns({f"{k}_score": F.least(F.lit(1.0), F.col(f"{k}_candidates") / per) for k, per in (("concept", 5.0), ("rule", 6.0))})
+    n = {f"{k}_candidates": F.expr(f"size(filter({sentences}, s -> s rlike '{'|'.join(cues)}'))") for k, cues in (("concept", SIGNALS["concepts"]), ("rule", RULE_CUES))}
+    return rows.withColumns(n).withColumns({f"{k}_score": F.least(F.lit(1.0), F.col(f"{k}_candidates") / per) for k, per in (("concept", 5.0), ("rule", 6.0))})
+
+
+def e15_sentence_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of more than 10 characters with a concept or rule cue, and the scores they give."""
+    return sentence_candidates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 def h08_is_html(spark: SparkSession, sf_dir: str) -> DataFrame:

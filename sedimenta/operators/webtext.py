@@ -107,7 +107,7 @@ def u13_cookies(spark: SparkSession, sf_dir: str) -> DataFrame:
     cookies = F.expr("concat('uid=', user_id, '; type = ', event_type, ';bad; a=b=c; uid=', user_id + 1)")
     pairs = "filter(split({}, ';'), p -> contains(p, '='))"
     made = f"map_from_entries(transform({pairs.format('c')}, p -> struct(trim(substring_index(p, '=', 1)) as k, trim(substring(p, instr(p, '=') + 1)) as v)))"
-    last = made.replace(pairs.format("c"), f"filter({pairs.format('c')}, (p, i) -> not exists(slice({pairs.format('c')}, i + 2, 1000), o -> trim(substring_index(o, '=', 1)) = trim(substring_index(p, '=', 1))))")
+    last = made.replace(pairs.format("c"), f"filter({pairs.format('c')}, (p, i) -> not exists(slice({pairs.format('c')}, i + 2, size({pairs.format('c')})), o -> trim(substring_index(o, '=', 1)) = trim(substring_index(p, '=', 1))))")
     rows = table(spark, sf_dir, "events").select("event_id", cookies.alias("c")).select("event_id", F.expr(last).alias("m"))
     return rows.select("event_id", F.expr("m['uid']").alias("uid"), F.expr("m['type']").alias("type"), F.expr("m['a']").alias("a"), F.size("m").alias("n"))
 

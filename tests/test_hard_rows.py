@@ -1,6 +1,7 @@
 """All engine queries on small tables with nulls, blanks, repeated rows and odd values, against their SQL."""
 
 import datetime as dt
+import os
 
 import duckdb
 import pytest
@@ -72,6 +73,16 @@ def test_query_matches_sql(spark, full, name):
     assert compare(spark, full, registry.queries()[name], registry.oracle_sql()[name]) == ""
 
 
+@pytest.mark.parametrize("name", ["r07_export", "r09_two_stages", "h14_main_container", "h20_sections", "h24_structured", "h32_site_fields", "a09_keyword_signals", "e15_sentence_candidates"])
+def test_repeated_ids(spark, tmp_path, name):
+    """Rows that share an id are rows of their own."""
+    folder = save(tmp_path, False)
+    for table, key in (("documents", "doc_id"), ("pages", "page_id")):
+        duckdb.sql(f"COPY (SELECT * REPLACE ({key} // 2 AS {key}) FROM '{folder}/{table}.parquet') TO '{folder}/{table}2.parquet'")
+        os.replace(f"{folder}/{table}2.parquet", f"{folder}/{table}.parquet")
+    assert compare(spark, folder, registry.queries()[name], registry.oracle_sql()[name]) == ""
+
+
 @pytest.fixture(scope="module")
 def nulls(tmp_path_factory):
     return save(tmp_path_factory.mktemp("nulls"), False, True)
