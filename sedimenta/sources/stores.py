@@ -19,6 +19,7 @@ from ..operators.structure import TYPE_COLLECTIONS
 from ..session import path_exists, shared_folder, table
 from .artifacts import append_new, read_url_list
 from .pages import CONCEPTS_SQL, artifacts
+from .versions import VersionedTable, delete_folders
 
 #: Files beside artifacts that scans leave out, and folders that an index leaves out: fixed values.
 SIDE_FILES = ["metadata", "raw", "parsed", "trace", "candidates", "report"]
@@ -170,14 +171,13 @@ def k13_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def k12_page_folders(spark: SparkSession, sf_dir: str, days: int = 10) -> DataFrame:
-    """Saved events in folders by day after those older than ten days from the newest are deleted: the folders that stay."""
+    """Saved events in folders by day, of which those older than ten days from the newest are deleted: the folders that stay."""
     path = new_folder(spark, "saved")
-    events = table(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events").where("ts is not null")
     events.select("event_id", F.date_format("ts", "yyyyMMdd").alias("day")).write.partitionBy("day").parquet(path)
-    saved = spark.read.schema("event_id long, day string").parquet(path)
-    newest = saved.agg(F.max("day").alias("newest"))  # one row
-    kept = saved.join(F.broadcast(newest), F.expr(f"to_date(day, 'yyyyMMdd') >= to_date(newest, 'yyyyMMdd') - interval {days} days"))
-    return kept.groupBy("day").agg(F.count("*").alias("events"))
+    newest = events.agg(F.date_format(F.date_sub(F.max(F.to_date("ts")), days), "yyyyMMdd")).first()[0]
+    delete_folders(spark, path, lambda name: name.startswith("day=") and newest is not None and name[4:] < newest)
+    return spark.read.schema("event_id long, day string").parquet(path).groupBy("day").agg(F.count("*").alias("events"))
 
 
 def t03_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,11 +188,29 @@ def t03_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
 
 
-def r06_refine_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A refinement run: artifacts by type, each distinct body once, and where they are saved; types without a collection are not saved."""
+REFINED = "type_id string, slug string, body string, sources long, saved_to string"
+
+
+def refine_run(found: DataFrame, saved: VersionedTable, dry_run: bool = False) -> DataFrame:
+    """Save the distinct bodies of artifacts(type_id, seq, body) with how many artifacts they come from, beside those that were saved before, whose sources add up.
+
+    Returns the refined rows; a dry run computes them and publishes nothing. Types without a collection are saved with none.
+    """
     where = F.create_map(*(F.lit(x) for pair in TYPE_COLLECTIONS.items() for x in pair))
-    rows = artifacts(spark, sf_dir).groupBy("type_id").agg(F.count("*").alias("found"), F.count_distinct(F.md5("body")).alias("distinct"))
-    return rows.select("type_id", "found", "distinct", where[F.col("type_id")].alias("saved_to"))
+    new = found.groupBy("type_id", F.md5("body").alias("slug")).agg(F.first("body").alias("body"), F.count("*").alias("sources")).withColumn("saved_to", where[F.col("type_id")])
+
+    def merged(old: DataFrame) -> DataFrame:
+        return old.unionByName(new).groupBy("type_id", "slug").agg(F.first("body").alias("body"), F.sum("sources").alias("sources"), F.first("saved_to").alias("saved_to"))
+
+    if dry_run:
+        return merged(saved.read())
+    return saved.read(saved.update(merged))
+
+
+def r06_refine_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A refinement run that is saved and read back: artifacts by type, each distinct body once, and where they are saved."""
+    saved = refine_run(artifacts(spark, sf_dir), VersionedTable(spark, new_folder(spark, "refined"), REFINED))
+    return saved.groupBy("type_id").agg(F.sum("sources").alias("found"), F.count("slug").alias("distinct"), F.first("saved_to").alias("saved_to")).select("type_id", "found", "distinct", "saved_to")
 
 
 QUERIES = {

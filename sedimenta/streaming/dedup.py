@@ -7,12 +7,15 @@ that a restarted driver goes on where the last one ended.
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.corpus import _HASH_SQL, content_hash
-from ..session import shared_folder, table
+from ..session import let_workers_import, shared_folder, table
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +28,38 @@ def first_contents(docs: DataFrame) -> DataFrame:
     return docs.select(content_hash().alias("content_hash")).dropDuplicates(["content_hash"])
 
 
-def first_visits(visits: DataFrame, keys: list[str], ts: str, ttl: str) -> DataFrame:
-    """Visits whose key was not seen within the time to live; the watermark lets old keys go."""
-    return visits.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, ttl).dropDuplicatesWithinWatermark(keys)
+def first_visits(visits: DataFrame, keys: list[str], ts: str, ttl: timedelta, late: timedelta = timedelta(0)) -> DataFrame:
+    """Visits of keys that were not seen within the time to live before them, which each visit renews.
+
+    Returns the keys, ts, first_seen (the key's first visit of all that its state has seen) and visits (how many the state
+    had seen before). A key's state is its first and last visit and their number; it goes once the watermark, `late`
+    behind the newest visit, is past its last visit by the time to live. Visits without a time are left out; a visit
+    that comes late within the watermark counts as a repeat if it is older than the key's last one.
+    """
+    life = int(ttl.total_seconds() * 1e6)
+    schema = visits.select(*keys).schema
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+    def run(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first, last, seen = state.get if state.exists else (None, None, 0)
+        stamps = np.sort(np.concatenate([b["stamp"].to_numpy(np.int64) for b in batches]))
+        if not len(stamps):
+            return
+        before = np.maximum.accumulate(np.r_[stamps[0] - life - 1 if last is None else last, stamps[:-1]])
+        new = np.flatnonzero(stamps - before > life)
+        first = int(stamps[0]) if first is None else first
+        last = int(max(stamps[-1], before[-1]))
+        state.update((first, last, seen + len(stamps)))
+        state.setTimeoutTimestamp(max((last + life) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({**dict(zip(keys, ([k] * len(new) for k in key), strict=True)), "stamp": stamps[new], "first": [first] * len(new), "visits": seen + new})
+
+    rows = visits.withColumn(ts, F.col(ts).cast("timestamp")).where(F.col(ts).isNotNull()).withWatermark(ts, f"{int(late.total_seconds() * 1000)} milliseconds")
+    rows = rows.select(*keys, ts, F.unix_micros(ts).alias("stamp"))
+    found = rows.groupBy(*keys).applyInPandasWithState(run, f"{fields}, stamp long, first long, visits long", "first long, last long, seen long", "append", "EventTimeTimeout")
+    return found.select(*keys, F.timestamp_micros("stamp").alias(ts), F.timestamp_micros("first").alias("first_seen"), "visits")
 
 
 def windowed_counts(events: DataFrame, length: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -54,8 +86,10 @@ def t02_stream_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t01_stream_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of events that the stream has not seen within thirty days, the whole time that the table spans."""
-    return run_to_table(first_visits(table_stream(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "30 days").select("user_id", "event_type"), "t01")
+    """Visits of a user and type of event that the stream had not seen in the two days before, with how many it had seen."""
+    let_workers_import(spark)
+    found = first_visits(table_stream(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", timedelta(days=2))
+    return run_to_table(found, "t01").select("user_id", "event_type", F.unix_micros("ts").alias("ts"), F.unix_micros("first_seen").alias("first_seen"), "visits")
 
 
 def t06_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +99,9 @@ def t06_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (t01_stream_visits, t02_stream_contents, t06_stream_windows)}
 ORACLES = {
-    "t01_stream_visits": "SELECT DISTINCT user_id, event_type FROM events",
+    "t01_stream_visits": """WITH v AS (SELECT user_id, event_type, epoch_us(ts) AS t FROM events WHERE ts IS NOT NULL),
+      o AS (SELECT *, lag(t) OVER w AS before, first_value(t) OVER w AS first_seen, row_number() OVER w - 1 AS visits FROM v WINDOW w AS (PARTITION BY user_id, event_type ORDER BY t))
+      SELECT user_id, event_type, t AS ts, first_seen, visits FROM o WHERE before IS NULL OR t - before > 172800000000""",
     "t02_stream_contents": f"SELECT DISTINCT {_HASH_SQL} AS content_hash FROM documents",
     "t06_stream_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
