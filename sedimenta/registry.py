@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from .functions import html, urls
 from .operators import caches, chunking, corpus, extraction, retrieval, signals
-from .operators import dom, evaluation, flows, indexing, knowledge, near_duplicates, refinement, scoring, search, structure, webtext
+from .operators import dom, evaluation, flows, indexing, knowledge, near_duplicates, refine_fold, refinement, scoring, search, structure, webtext
 from .sources import artifacts, stores
 from .streaming import dedup
 
 FLAGSHIP = "u01_normalize_url"
-MODULES = (urls, html, corpus, signals, retrieval, caches, extraction, chunking, dedup, structure, dom, artifacts, refinement, evaluation, scoring, indexing, search, knowledge, webtext, stores, flows, near_duplicates)
+MODULES = (urls, html, corpus, signals, retrieval, caches, extraction, chunking, dedup, structure, dom, artifacts, refinement, refine_fold, evaluation, scoring, indexing, search, knowledge, webtext, stores, flows, near_duplicates)
 
 
 def queries() -> dict[str, Callable]:
