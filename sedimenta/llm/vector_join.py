@@ -35,13 +35,15 @@ def _assign(pivots: dict, radius: float):
 
     def run(batches):
         for batch in batches:
-            keys = list(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist(), strict=True))
-            rows, cells, home = [], [], []
-            for key in dict.fromkeys(keys):
-                at = np.array([i for i, k in enumerate(keys) if k == key])
-                own = pivots.get(key)
+            label, dim = batch.column("label").to_numpy(), batch.column("dim").to_numpy()
+            order = np.lexsort((dim, label))
+            first = np.flatnonzero(np.r_[True, np.diff(label[order]) != 0] | np.r_[True, np.diff(dim[order]) != 0]) if len(order) else order
+            rows, cells, home, lone = [], [], [], []
+            for lo, hi in zip(first, np.r_[first[1:], len(order)], strict=True):
+                at = order[lo:hi]
+                own = pivots.get((int(label[at[0]]), int(dim[at[0]])))
                 if own is None:
-                    rows.append(at), cells.append(np.zeros(len(at), np.int64)), home.append(np.ones(len(at), bool))
+                    lone.append(at)
                     continue
                 near = _unit(batch.column("embedding").take(pa.array(at))) @ own.T
                 best = near.argmax(axis=1)
@@ -52,6 +54,9 @@ def _assign(pivots: dict, radius: float):
                 reach[np.arange(len(at)), best] = True
                 i, j = np.nonzero(reach)
                 rows.append(at[i]), cells.append(j), home.append(best[i] == j)
+            if lone:
+                at = np.concatenate(lone)
+                rows.append(at), cells.append(np.zeros(len(at), np.int64)), home.append(np.ones(len(at), bool))
             if rows:
                 take = pa.array(np.concatenate(rows))
                 columns = [batch.column(c).take(take) for c in ("key", "rep", "copies", "label", "dim", "embedding")]
@@ -64,9 +69,9 @@ def _assign(pivots: dict, radius: float):
 
 
 def _join(threshold: float):
-    """Links of one cell, or of a pair of its blocks: counts for rows at home, a forest for all."""
+    """Links of one cell, of a pair of its blocks, or of a bin of small cells: counts for rows at home, a forest for all."""
 
-    def run(t: pa.Table) -> pa.Table:
+    def cell(t: pa.Table) -> pa.Table:
         x, copies = _unit(t.column("embedding")), np.array(t.column("copies"))
         key, rep = np.array(t.column("key")), np.array(t.column("rep"))
         block, home = np.array(t.column("block")), np.array(t.column("home"))
@@ -88,6 +93,19 @@ def _join(threshold: float):
         keep = (links > 0) | (parent != np.arange(len(x)))
         return pa.table({"key": key[keep], "links": np.where(home, links, 0)[keep], "rep": rep[keep], "root": rep[parent][keep]})
 
+    def run(t: pa.Table) -> pa.Table:
+        of = [t.column(c).to_numpy() for c in ("label", "dim", "cell")]
+        order = np.lexsort(of)
+        new = np.zeros(len(order), bool)
+        new[0] = True
+        for c in of:
+            new[1:] |= np.diff(c[order]) != 0
+        first = np.flatnonzero(new)
+        if len(first) == 1:
+            return cell(t)
+        t = t.take(pa.array(order)).combine_chunks()
+        return pa.concat_tables(cell(t.slice(lo, hi - lo)) for lo, hi in zip(first, np.r_[first[1:], len(order)], strict=True))
+
     return run
 
 
@@ -119,11 +137,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cell_rows: int
     cells = distinct.mapInArrow(_assign(pivots, radius), "key long, rep long, copies long, label long, dim long, embedding array<double>, cell long, home boolean")
     of = ["label", "dim", "cell"]
     cells = cut_lineage(cells, "cells")
-    blocks = cells.groupBy(of).agg(F.expr(f"cast(ceil(count(*) / {2.0 * cell_rows}) as int)").alias("blocks"))
+    # a row alone in its cell has no partner; cells of one block share bins, so that many labels are no more tasks than few
+    blocks = cells.groupBy(of).agg(F.expr(f"cast(ceil(count(*) / {2.0 * cell_rows}) as int)").alias("blocks"), F.count("*").alias("held")).where("held > 1")
+    blocks = blocks.withColumn("bin", F.expr(f"if(blocks > 1, null, pmod(xxhash64(label, dim, cell), {math.ceil(n / cell_rows) or 1}))"))
     placed = cells.join(blocks, of).withColumn("block", F.expr("cast(pmod(xxhash64(key), blocks) as int)"))
     paired = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     paired = paired.withColumn("block_a", F.least("block", "other")).withColumn("block_b", F.greatest("block", "other"))
-    found = cut_lineage(paired.groupBy(*of, "block_a", "block_b").applyInArrow(_join(threshold), "key long, links long, rep long, root long"), "found")
+    own = [F.expr(f"if(bin is null, {c}, null)").alias(f"own_{c}") for c in of]
+    jobs = paired.select("bin", *own, "block_a", "block_b", "block", "home", "key", "rep", "copies", "embedding", *of)
+    found = cut_lineage(jobs.groupBy("bin", "own_label", "own_dim", "own_cell", "block_a", "block_b").applyInArrow(_join(threshold), "key long, links long, rep long, root long"), "found")
 
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     out = rows.where("valid").join(distinct.select("label", "embedding", "key", "rep", "copies"), ["label", "embedding"]).join(links, "key", "left")

@@ -79,3 +79,18 @@ def test_components(spark):
     got = dict(map(tuple, components.connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()))
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 103)} | {i: 500 for i in range(500, 551)}
     assert components.connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_many_labels_share_bins(spark):
+    draw = np.random.default_rng(11)
+    x = np.repeat(draw.normal(size=(150, 4)), 4, axis=0) + 0.05 * draw.normal(size=(600, 4))
+    labels = [int(v) for v in draw.integers(0, 90, 600) * np.where(draw.random(600) < 0.3, 0, 1)]  # a third in one label
+    x[:, 3] *= np.array(labels) % 2  # repeats of a zero are vectors like others
+    rows = [(i, v.tolist() if i % 7 else v[:3].tolist(), l) for i, (v, l) in enumerate(zip(x, labels, strict=True))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long"), 0.98, cell_rows=16).collect()}
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    alike = [[j for j, b, m in rows if j != i and l == m and len(a) == len(b) and unit(a) @ unit(b) >= 0.98] for i, a, l in rows]
+    least = list(range(600))
+    for _ in rows:
+        least = [min([least[i], *(least[j] for j in alike[i])]) for i in range(600)]
+    assert got == {i: (len(alike[i]), least[i]) for i in range(600)} and sum(map(len, alike)) > 300
