@@ -87,7 +87,7 @@ def test_many_labels_share_bins(spark):
     labels = [int(v) for v in draw.integers(0, 90, 600) * np.where(draw.random(600) < 0.3, 0, 1)]  # a third in one label
     x[:, 3] *= np.array(labels) % 2  # repeats of a zero are vectors like others
     rows = [(i, v.tolist() if i % 7 else v[:3].tolist(), l) for i, (v, l) in enumerate(zip(x, labels, strict=True))]
-    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long"), 0.98, cell_rows=16).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long"), 0.98, cell_rows=16).collect()}
     unit = lambda v: np.array(v) / np.linalg.norm(v)
     alike = [[j for j, b, m in rows if j != i and l == m and len(a) == len(b) and unit(a) @ unit(b) >= 0.98] for i, a, l in rows]
     least = list(range(600))
