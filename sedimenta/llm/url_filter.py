@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +40,15 @@ def digest(host: str, path: str) -> int:
     return xxhash.xxh64_intdigest(f"{len(host)} {host}{path}".encode("utf-8", "surrogatepass"))
 
 
+def _digests_of(rules: pa.Table | pa.RecordBatch) -> pa.Array:
+    """Digests of columns h and p as signed 64-bit integers."""
+    out = np.empty(rules.num_rows, np.uint64)
+    for lo in range(0, rules.num_rows, 10_000):
+        part = rules.slice(lo, 10_000)
+        out[lo : lo + 10_000] = [digest(h, p) for h, p in zip(part.column("h").to_pylist(), part.column("p").to_pylist(), strict=True)]
+    return pa.array(out.view(np.int64))
+
+
 class DigestFile:
     """Sorted digests with the strings, host lengths and verdicts of their rules."""
 
@@ -53,9 +63,23 @@ class DigestFile:
 
     @classmethod
     def of(cls, rules: list[tuple[str, str, str]]) -> DigestFile:
-        rows = sorted((digest(h, p), (h + p).encode("utf-8", "surrogatepass"), len(h), v == "allow") for v, h, p in rules)
-        own = {"digests": [r[0] for r in rows], "ends": np.cumsum([len(r[1]) for r in rows]), "hosts": [r[2] for r in rows], "allow": [r[3] for r in rows]}
-        return cls({p: np.frombuffer(b"".join(r[1] for r in rows), kind) if p == "text" else np.array(own[p], dtype=kind) for p, kind in cls.PARTS.items()})
+        own = list(zip(*rules, strict=True)) or [[]] * 3
+        table = pa.table([pa.array(c, pa.string()) for c in own], names=["verdict", "h", "p"])
+        return cls.of_table(table.append_column("digest", _digests_of(table)))
+
+    @classmethod
+    def of_table(cls, rules: pa.Table) -> DigestFile:
+        """From columns verdict, h, p and digest: sorted as arrays, no rule becomes an object of its own."""
+        digests = rules.column("digest").to_numpy().view(np.uint64)
+        order = np.argsort(digests, kind="stable")
+        text = pc.cast(pc.binary_join_element_wise(rules.column("h"), rules.column("p"), ""), pa.large_binary()).take(pa.array(order))
+        text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
+        text = pa.concat_arrays(text.chunks) if isinstance(text, pa.ChunkedArray) else text
+        ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype("<i8"))
+        joined = np.frombuffer(text.buffers()[2], np.uint8)[: int(ends[-1])] if len(ends) and ends[-1] else np.zeros(0, np.uint8)
+        hosts = pc.utf8_length(rules.column("h")).to_numpy()[order].astype("<i4")
+        allow = pc.equal(rules.column("verdict"), "allow").to_numpy()[order].astype(np.uint8)
+        return cls({"digests": digests[order].astype("<u8"), "ends": ends, "text": joined, "hosts": hosts, "allow": allow})
 
     def bytes(self) -> dict[str, bytes]:
         return {p: a.tobytes() for p, a in zip(self.PARTS, (self.digests, self.ends, self.text, self.hosts, self.allow), strict=True)}
@@ -101,10 +125,10 @@ def _probe(name: str, lengths: dict[int, list[int]], default: str):
     return run
 
 
-def _ship(spark: SparkSession, rules: list[tuple[str, str, str]]) -> str:
+def _ship(spark: SparkSession, rules: DigestFile) -> str:
     """Rule files in the shared folder, fetched by every executor."""
     name = f"rules-{uuid.uuid4().hex}"
-    for part, raw in DigestFile.of(rules).bytes().items():
+    for part, raw in rules.bytes().items():
         path = f"{shared_folder(spark)}/{name}.{part}"
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
@@ -130,8 +154,8 @@ def _asked(lengths: dict[int, list[int]]):
 
 def _ruled(table: pa.Table, asked: pa.Table) -> pa.Table:
     """The rules of a digest range whose digests were asked for."""
-    rules = DigestFile.of(list(zip(*(table.column(c).to_pylist() for c in ("verdict", "h", "p")), strict=True)))
-    wanted = np.array(asked.column("digest"), np.int64).view(np.uint64)
+    wanted = np.unique(asked.column("digest").to_numpy().view(np.uint64))
+    rules = DigestFile.of_table(table.filter(pc.is_in(table.column("digest"), pa.array(wanted.view(np.int64)))))
     out = [(w, rules.string(j), int(rules.hosts[j]), "allow" if rules.allow[j] else "block") for w, js in zip(wanted.view(np.int64).tolist(), rules.find(wanted), strict=True) for j in js]
     columns = list(zip(*out, strict=True)) or [[]] * 4
     return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.string()), strict=True)], names=["digest", "text", "n_host", "verdict"])
@@ -139,26 +163,29 @@ def _ruled(table: pa.Table, asked: pa.Table) -> pa.Table:
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        own = [digest(h, p) for h, p in zip(batch.column("h").to_pylist(), batch.column("p").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(own, np.uint64).view(np.int64))], names=[*batch.schema.names, "digest"])
+        yield batch.append_column("digest", _digests_of(batch))
+
 
+def _by_ranges(rows: DataFrame, rules: DataFrame, lengths: dict[int, list[int]], default: str, ranges: int, salts: int = 16) -> DataFrame:
+    """Verdicts by rules(verdict, h, p, digest) in digest ranges: distinct digests are probed there, hits come back to the rows.
 
-def _by_ranges(rows: DataFrame, rules: DataFrame, lengths: dict[int, list[int]], default: str, ranges: int) -> DataFrame:
-    """Verdicts by rules(verdict, h, p) in digest ranges: distinct digests are probed there, hits come back to the rows."""
+    Hits are one row a rule and are copied for `salts` parts of the rows, so that a rule that most URLs ask for meets them in several tasks.
+    """
     rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()), "urls")  # row numbers are as written
     part = F.expr(f"pmod(digest, {ranges})").alias("part")
     asked = rows.mapInArrow(_asked(lengths), "row long, digest long")
-    filed = rules.mapInArrow(_digests, "verdict string, h string, p string, digest long").select("*", part)
+    filed = rules.select("*", part)
     distinct = asked.select("digest").distinct().select("digest", part)
     hits = filed.groupBy("part").cogroup(distinct.groupBy("part")).applyInArrow(_ruled, "digest long, text string, n_host int, verdict string")
-    found = asked.join(hits, "digest").join(rows, "row")
+    hits = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    found = asked.withColumn("salt", F.expr(f"cast(pmod(row, {salts}) as int)")).join(hits, ["digest", "salt"]).join(rows, "row")
     sure = "right(host, n_host) = left(text, n_host) and startswith(path, substring(text, n_host + 1)) and (length(host) = n_host or right(host, n_host + 1) = '.' || left(text, n_host))"
     best = found.where(sure).groupBy("row").agg(F.max_by(F.struct("text", "verdict"), F.length("text")).alias("b"))
     out = rows.join(best, "row", "left")
     return out.select("page_id", "host", "path", F.col("b.text").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, default: str = "allow", most_rules: int = 4_000_000) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, default: str = "allow", most_rules: int = 1_000_000) -> DataFrame:
     """page_id, host, path, rule and verdict of every row of pages(page_id, url).
 
     A rule fits its host and all subdomains where the path starts with the rule's; the longest rule
@@ -172,22 +199,28 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame,
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    if isinstance(rules, DataFrame):
-        own = rules.selectExpr("verdict", "host as h", "path as p").where("verdict is not null and h is not null and p is not null")
-        own = cut_lineage(own.groupBy("h", "p").agg(F.max("verdict").alias("verdict")).select("verdict", "h", "p"), "rules")
-        n = own.count()
-        rules = [tuple(r) for r in own.collect()] if n <= most_rules else own
-    else:
+    if not isinstance(rules, DataFrame):
         rules = list({(h, p): (v, h, p) for v, h, p in reversed(rules)}.values())
-        n = len(rules)
+        n, lengths = len(rules), _lengths((len(h), len(p)) for _, h, p in rules)
+        if 0 < n <= most_rules:
+            return _by_files(rows, DigestFile.of(rules), lengths, default)
+        own = spark.createDataFrame(rules, "verdict string, h string, p string")
+    else:
+        own = rules.selectExpr("verdict", "host as h", "path as p").where("verdict is not null and h is not null and p is not null")
+        own = own.groupBy("h", "p").agg(F.max("verdict").alias("verdict")).select("verdict", "h", "p")
+    own = cut_lineage(own.mapInArrow(_digests, "verdict string, h string, p string, digest long"), "rules")
+    n = own.count()
     if not n:
         return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    if n > most_rules:
-        own = rules if isinstance(rules, DataFrame) else spark.createDataFrame(rules, "verdict string, h string, p string")
-        pairs = [tuple(r) for r in own.select(F.length("h"), F.length("p")).distinct().collect()]  # as many as lengths of hosts and paths
-        return _by_ranges(rows, own, _lengths(pairs), default, -(-n // most_rules))
-    name = _ship(spark, rules)
-    return rows.mapInArrow(_probe(name, _lengths((len(h), len(p)) for _, h, p in rules), default), "page_id long, host string, path string, rule string, verdict string")
+    lengths = _lengths(tuple(r) for r in own.select(F.length("h"), F.length("p")).distinct().collect())  # as many as lengths of hosts and paths
+    if n <= most_rules:
+        return _by_files(rows, DigestFile.of_table(own.toArrow()), lengths, default)
+    return _by_ranges(rows, own, lengths, default, -(-n // most_rules))
+
+
+def _by_files(rows: DataFrame, rules: DigestFile, lengths: dict[int, list[int]], default: str) -> DataFrame:
+    name = _ship(rows.sparkSession, rules)
+    return rows.mapInArrow(_probe(name, lengths, default), "page_id long, host string, path string, rule string, verdict string")
 
 
 def _lengths(pairs) -> dict[int, list[int]]:
