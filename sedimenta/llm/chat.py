@@ -45,22 +45,28 @@ def paths(value) -> set[str]:
     return found
 
 
-def fingerprint(record: dict) -> int:
-    return xxhash.xxh64_intdigest("\n".join(sorted(paths(record))).encode("utf-8", "surrogatepass"))
+def fingerprint(found: set[str]) -> int:
+    """Hash of a record's field paths."""
+    return xxhash.xxh64_intdigest("\n".join(sorted(found)).encode("utf-8", "surrogatepass"))
 
 
 class LayoutTable:
-    """Mappings by fingerprint."""
+    """Mappings by fingerprint, confirmed by the paths; of ever new layouts the ones asked for last stay."""
 
-    def __init__(self, layouts: list[dict]):
-        self.layouts, self.known = layouts, {}
+    def __init__(self, layouts: list[dict], most: int = 1024):
+        self.layouts, self.most = layouts, most
+        self.known: dict[int, tuple[frozenset[str], dict | None]] = {}
 
     def layout(self, record: dict) -> dict | None:
-        mark = fingerprint(record)
-        if mark not in self.known:
-            have = paths(record)
-            self.known[mark] = next((x for x in self.layouts if self._fits(x, have)), None)
-        return self.known[mark]
+        have = paths(record)
+        mark = fingerprint(have)
+        held = self.known.pop(mark, None)
+        if held is None or held[0] != have:
+            held = frozenset(have), next((x for x in self.layouts if self._fits(x, have)), None)
+        self.known[mark] = held
+        if len(self.known) > self.most:
+            del self.known[next(iter(self.known))]
+        return held[1]
 
     @staticmethod
     def _fits(layout: dict, have: set[str]) -> bool:

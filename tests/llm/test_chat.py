@@ -74,3 +74,13 @@ def test_conversations(spark):
     out = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.format_records(chat.conversation_records(df)).collect()}
     assert out == {1: [("user", ""), ("assistant", "b"), ("assistant", "b")], 2: [("", "x")], None: [("user", "n")], 3: [("assistant", "a" * 100_000)]}
     assert chat.format_records(chat.conversation_records(df.limit(0))).count() == 0
+
+
+def test_layouts_are_bounded_and_confirmed(monkeypatch):
+    table = chat.LayoutTable(chat.LAYOUTS, most=3)
+    for i in range(50):
+        assert table.turns({f"odd{i}": 1}) is None and len(table.known) <= 3
+        assert table.turns({"prompt": "a", "completion": "b"}) == [("user", "a"), ("assistant", "b")]
+    monkeypatch.setattr(chat, "fingerprint", lambda found: 1)
+    assert table.turns({"question": "a", "answer": "b"}) == [("user", "a"), ("assistant", "b")] and table.turns({"x": 1}) is None
+    assert table.turns({"question": "a", "answer": "b"}) is not None and len(table.known) <= 3
