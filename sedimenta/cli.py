@@ -1,4 +1,4 @@
-"""Command line over folders of JSON-lines artifacts (seq long, type_id, source_url, body): python -m sedimenta.cli evaluate|refine|index IN OUT."""
+"""Command line over folders of JSON-lines artifacts (seq long, type_id, source_url, body): python -m sedimenta.cli evaluate|refine|merge|index IN OUT."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import evaluation, indexing, refinement
+from .operators import evaluation, indexing, refine_fold, refinement
 
 SCHEMA = "seq long, type_id string, source_url string, body string"
 
@@ -26,12 +26,17 @@ def refine(rows: DataFrame) -> DataFrame:
     return out
 
 
+def merge(rows: DataFrame) -> DataFrame:
+    """The knowledge that the artifacts leave, merged in order, by type and file name."""
+    return refine_fold.file_names(refine_fold.refine(rows)[1])
+
+
 def index(rows: DataFrame) -> DataFrame:
     """Chunks of all artifacts."""
     return indexing.chunks(rows.withColumn("stem", F.concat_ws("_", F.substring_index("type_id", ".", -1), "seq")))
 
 
-COMMANDS = {"evaluate": evaluate, "refine": refine, "index": index}
+COMMANDS = {"evaluate": evaluate, "refine": refine, "merge": merge, "index": index}
 
 
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> None:

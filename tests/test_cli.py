@@ -14,3 +14,4 @@ def test_commands(spark, tmp_path):
     assert {r.type_id: r["items"] for r in read("evaluate")} == {"diagrams.dfd.concepts": 2}
     assert {r.seq: r.decision for r in read("refine")} == {0: "add", 1: "skip", 2: "add"}
     assert sorted(r.chunk_id for r in read("index")) == ["concepts_0_a", "concepts_1_a", "odd_3_overview", "theory_2_overview"]
+    assert {(r.type_id, r.file_name): r.sources for r in read("merge")} == {("diagrams.dfd.concepts", "concepts_unknown.json"): ["u"], ("theory", "theory_unknown.json"): ["w"], ("odd", "odd_unknown.json"): []}
