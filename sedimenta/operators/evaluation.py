@@ -6,6 +6,8 @@ fields. Numbers in text fields count as their digits.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,21 +48,37 @@ def first_list(body: str, keys: list[str]) -> str:
     return "coalesce(" + ", ".join(f"from_json(get_json_object({body}, '$.{k}'), 'array<string>')" for k in keys) + ", array())"
 
 
-def _items(place: str) -> str:
-    if not place:
+#: EVALUATORS as one list; a spec is a number in it. Where its items are: keys of lists, the first that is one counts.
+_SPECS = [(type_id, place.split(","), required.split(","), fields.split(","), dup) for type_id, specs in EVALUATORS.items() for place, required, fields, dup in specs]
+
+
+def _schema(paths: list[list[str]]) -> str:
+    """The type of a struct in which each path of keys is a list of JSON texts."""
+    inner = {}
+    for first, *rest in paths:
+        inner.setdefault(first, []).extend([rest] if rest else [])
+    return "struct<" + ", ".join(f"{k}: {_schema(rest) if rest else 'array<string>'}" for k, rest in inner.items()) + ">"
+
+
+#: All lists that evaluators read of a body, as the type of its one parse.
+_LISTS = _schema([p.split("[].")[0].split(".") for _, place, *_ in _SPECS for p in place if p])
+
+
+def _items(place: list[str]) -> str:
+    if place == [""]:
         return "array(body)"
-    if "[]." in place:
-        outer, inner = place.split("[].")
-        return f"flatten(transform({first_list('body', [outer])}, x -> {first_list('x', [inner])}))"
-    return first_list("body", place.split(","))
+    if "[]." in place[0]:
+        outer, inner = place[0].split("[].")
+        return f"flatten(transform(coalesce(b.{outer}, array()), x -> coalesce(from_json(x, '{inner} array<string>').{inner}, array())))"
+    return f"coalesce({', '.join(f'b.{p}' for p in place)}, array())"
 
 
 def items(rows: DataFrame) -> DataFrame:
-    """One row per item of artifacts(seq, type_id, body): item as JSON, and its spec (type and place in EVALUATORS)."""
-    branch = [
-        f"when '{t}' then concat({', '.join(f'''transform({_items(place)}, x -> struct({i} as spec, x as item))''' for i, (place, *_) in enumerate(specs))})" for t, specs in EVALUATORS.items()
-    ]
-    return rows.select("seq", "type_id", F.explode(F.expr(f"case type_id {' '.join(branch)} end")).alias("e")).select("seq", "type_id", "e.spec", "e.item")
+    """One row per item of artifacts(seq, type_id, body): item as JSON, and the number of its spec. A body is parsed once for all its lists."""
+    made = {t: ", ".join(f"transform({_items(place)}, x -> struct({i} as spec, x as item))" for i, (own, place, *_) in enumerate(_SPECS) if own == t) for t in EVALUATORS}
+    branch = " ".join(f"when '{t}' then concat({sql})" for t, sql in made.items())
+    parsed = rows.select("seq", "type_id", "body", F.explode(F.array(F.from_json("body", _LISTS))).alias("b"))
+    return parsed.select("seq", "type_id", F.explode(F.expr(f"case type_id {branch} end")).alias("e")).select("seq", "type_id", "e.spec", "e.item")
 
 
 def text_of(value: str) -> str:
@@ -70,14 +88,13 @@ def text_of(value: str) -> str:
 
 def low_info(text: str, least: int) -> str:
     """SQL of whether a text is empty, too short, or holds a placeholder."""
-    return f"({text} = '' or length({text}) < {least} or " + " or ".join(f"contains(lower({text}), '{p}')" for p in PLACEHOLDERS) + ")"
+    return f"({text} = '' or length({text}) < {least} or lower({text}) rlike '{'|'.join(map(re.escape, PLACEHOLDERS))}')"
 
 
 def item_metrics(rows: DataFrame, min_info: int = MIN_INFO, min_index: int = MIN_INDEX) -> DataFrame:
     """Per item: missing and required fields, thin and all text fields, whether it is too short for the index, and its text that must not repeat."""
-    named = lambda k: F.create_map(*(x for t, specs in EVALUATORS.items() for i, spec in enumerate(specs) for x in (F.lit(f"{t}/{i}"), F.lit(spec[k]))))
-    key = F.concat_ws("/", "type_id", "spec")
-    own = items(rows).select("seq", "type_id", F.explode(F.array(F.from_json("item", "map<string,string>"))).alias("m"), *(F.split(named(k)[key], ",").alias(n) for n, k in (("required", 1), ("fields", 2))), named(3)[key].alias("dup"))
+    of = lambda k: F.array(*(F.array(*map(F.lit, x[k])) if isinstance(x[k], list) else F.lit(x[k]) for x in _SPECS))[F.col("spec")]
+    own = items(rows).select("seq", "type_id", F.explode(F.array(F.from_json("item", "map<string,string>"))).alias("m"), of(2).alias("required"), of(3).alias("fields"), of(4).alias("dup"))
     own = own.withColumn("texts", F.explode(F.array(F.expr(f"transform(fields, f -> {text_of('m[f]')})"))))
     return own.select(
         "seq",

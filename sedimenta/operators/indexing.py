@@ -44,93 +44,109 @@ def type_by_path(path: Column) -> Column:
     return F.coalesce(*(F.when(F.array_contains(parts, k), F.lit(t)) for k, t in FOLDERS.items()), F.lit("unknown"))
 
 
-def _maps(body: str, path: str) -> str:
-    """SQL of the objects of a list as maps; a list that holds other items too is taken item by item."""
-    items = f"get_json_object({body}, '$.{path}')"
-    each = f"transform(coalesce(from_json({items}, 'array<string>'), array()), x -> from_json(x, 'map<string,string>'))"
-    return f"filter(coalesce(from_json({items}, 'array<map<string,string>>'), {each}), m -> m is not null)"
+#: Lists of a body that hold what becomes chunks, and those of a case.
+_LISTS = ["rules", "validation_rules", "modeling_rules", "elements", "categories", "leveling_principles", "decomposition_rules", "concepts", "principles", "terms"]
+_CASE_LISTS = ["external_entities", "processes", "data_stores", "data_flows"]
+#: All that chunks read of a body, as the schema of its one parse; items stay JSON until they have rows of their own.
+_BODY = ", ".join([*(f"{k} string" for k in OVERVIEW_FIELDS), *(f"{k} array<string>" for k in ["requirements_text", *_LISTS]), f"dfd_elements struct<{', '.join(f'{k}: array<string>' for k in _CASE_LISTS)}>"])
+_FLOWS = "array<struct<`from`:string,`to`:string,data:string>>"
 
 
-def _texts(value: str, by: str, least: str = "''") -> str:
-    """SQL of a list's texts joined, null if there are none."""
-    return f"nullif(array_join(from_json({value}, 'array<string>'), '{by}'), {least})"
+def _objects(items: str) -> str:
+    """SQL of the objects of a list of JSON texts."""
+    return f"filter(coalesce({items}, array()), x -> startswith(x, '{{'))"
 
 
-def _chunk(items: str, key: str, kind: str, *lines: str) -> str:
-    return f"transform({items}, (m, i) -> struct(concat(stem, '_', {key}) as id, concat_ws('\\n', {', '.join(lines)}) as text, '{kind}' as kind))"
+def _let(value: str, name: str, body: str) -> str:
+    """SQL of body in which `name` stands for value, evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _or(field: str, default: str = "''") -> str:
-    return f"coalesce(m['{field}'], {default})"
+def _piece(kind: str, i: str = "0", item: str = "null", outer: str = "null", flows: str = "null") -> str:
+    """SQL of what becomes one chunk: its kind, its number in its list, its item, a text of what it lies in (an overview: its own text), a process's flows."""
+    return f"named_struct('kind', '{kind}', 'i', {i}, 'item', cast({item} as string), 'outer', cast({outer} as string), 'flows', cast({flows} as {_FLOWS}))"
+
+
+def _pieces(items: str, kind: str, outer: str = "null", flows: str = "null") -> str:
+    return f"transform({items}, (x, i) -> {_piece(kind, 'i', 'x', outer, flows)})"
 
 
 def _overview(kind: str) -> str:
-    fields = ", ".join(f"concat('{k}: ', nullif(get_json_object(body, '$.{k}'), ''))" for k in OVERVIEW_FIELDS)
-    return f"array(struct(concat(stem, '_overview') as id, coalesce(nullif(concat_ws('\\n', {fields}), ''), concat('知识文件: ', stem)) as text, '{kind}_overview' as kind))"
+    fields = ", ".join(f"concat('{k}: ', nullif(b.{k}, ''))" for k in OVERVIEW_FIELDS)
+    return f"array({_piece(kind + '_overview', outer=f"coalesce(nullif(concat_ws('\\n', {fields}), ''), concat('知识文件: ', stem))")})"
 
 
-def _let(value: str, name: str, body: str) -> str:
-    """SQL of body in which `name` stands for value, evaluated once."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+def _or_overview(pieces: str, kind: str) -> str:
+    return _let(pieces, "made", f"if(size(made) > 0, made, {_overview(kind)})")
 
 
-def _or_overview(chunks: str, kind: str) -> str:
-    return _let(chunks, "made", f"if(size(made) > 0, made, {_overview(kind)})")
+def _strategies() -> dict[str, str]:
+    """SQL of the pieces of a parsed body, for each word that a type may hold, in the order of the tests."""
+    two = lambda a, b: f"concat({a}, {b})"
+    first = "coalesce(" + ", ".join(_let(_objects(f"b.{k}"), "ms", "if(size(ms) > 0, ms, null)") for k in ("rules", "validation_rules", "modeling_rules")) + ", array())"
+    rules = _or_overview(_pieces(first, "rule"), "rule")
+    inner = _let("from_json(c, 'name string, templates array<string>')", "p", _pieces(_objects("p.templates"), "template", "coalesce(p.name, '')"))
+    templates = _let(_objects("b.categories"), "cs", f"if(size(cs) > 0, flatten(transform(cs, c -> {inner})), {_overview('template')})")
+    levels = two(_pieces(_objects("b.leveling_principles"), "leveling_principle"), _pieces(_objects("b.decomposition_rules"), "decomposition_rule"))
+    theory = two(_pieces(_objects("b.concepts"), "theory_concept"), _pieces(_objects("b.principles"), "theory_principle"))
+    name = "coalesce(b.name, stem)"
+    domain = two(f"array({_piece('domain_overview', outer=f"concat('领域: ', {name}, '\\n描述: ', coalesce(b.description, ''))")})", _pieces(_objects("b.terms"), "domain_term", name))
+    case = "coalesce(b.case_name, stem)"
+    names = lambda k, label: f"concat('{label}: ', nullif(array_join(transform({_objects('b.dfd_elements.' + k)}, x -> coalesce(from_json(x, 'name string').name, '')), ', '), ''))"
+    needs = "concat('需求: ', nullif(array_join(slice(b.requirements_text, 1, 5), '; '), ''))"
+    seen = f"concat_ws('\\n', concat('DFD案例: ', {case}), concat('描述: ', coalesce(b.description, '')), {needs}, {names('external_entities', '外部实体')}, {names('processes', '处理过程')}, {names('data_stores', '数据存储')})"
+    flows = f"transform({_objects('b.dfd_elements.data_flows')}, x -> from_json(x, '`from` string, `to` string, data string'))"
+    examples = two(f"array({_piece('case_overview', outer=seen)})", _let(flows, "fs", _pieces(_objects("b.dfd_elements.processes"), "process_detail", case, "fs")))
+    return {
+        "concepts": _or_overview(_pieces(_objects("b.elements"), "element"), "concept"), "examples": examples, "rules": rules, "templates": templates, "levels": _or_overview(levels, "levels"),
+        "theory": _or_overview(theory, "theory"), "domain": domain, "validation": rules,
+    }
+
+
+def _or(field: str, default: str = "''") -> str:
+    return f"coalesce(m['{field}'], {default})"
+
+
+def _texts(field: str, by: str) -> str:
+    """SQL of a list's texts joined, null if there are none."""
+    return f"nullif(array_join(from_json(m['{field}'], 'array<string>'), '{by}'), '')"
 
 
 def _flow(end: str, other: str) -> str:
     """SQL of the flows of a process that have it at `end`, as data and their other end."""
-    return f"nullif(array_join(transform(filter(flows, f -> f['{end}'] = {_or('id')}), f -> concat(coalesce(f['data'], ''), ' ({other} ', coalesce(f['{other}'], ''), ')')), '; '), '')"
+    return f"nullif(array_join(transform(filter(flows, f -> f.`{end}` = {_or('id')}), f -> concat(coalesce(f.data, ''), ' ({other} ', coalesce(f.`{other}`, ''), ')')), '; '), '')"
 
 
-def _strategies() -> dict[str, str]:
-    first = lambda *paths: "coalesce(" + ", ".join(_let(_maps("body", p), "ms", "if(size(ms) > 0, ms, null)") for p in paths[:-1]) + f", {_maps('body', paths[-1])})"
-    rules = _chunk(
-        first("rules", "validation_rules", "modeling_rules"), _or("id", "concat('rule_', i)"), "rule", f"concat('DFD规则: ', {_or('name')})", f"concat('规则ID: ', {_or('id', '''concat('rule_', i)''')})",
-        "concat('定义: ', coalesce(m['definition'], m['detail'], ''))", "concat('严重级别: ', coalesce(m['severity'], m['level'], 'info'))", "concat('检测逻辑: ', nullif(m['detect_logic'], ''))",
-    )
-    concepts = _chunk(
-        _maps("body", "elements"), _or("id", "concat('elem_', i)"), "element", f"concat('DFD概念: ', {_or('name')})", f"concat('定义: ', {_or('definition')})", "concat('命名规范: ', nullif(m['naming'], ''))",
-        f"concat('特征: ', {_texts('''m['properties']''', '; ')})", f"concat('示例: ', {_texts('''m['examples']''', ', ')})",
-    )
-    inner = _chunk(
-        "filter(transform(coalesce(from_json(c['templates'], 'array<string>'), array()), x -> from_json(x, 'map<string,string>')), m -> m is not null)", _or("id"), "template", f"concat('DFD模板: ', {_or('name')})",
-        "concat('分类: ', coalesce(c['name'], ''))", f"concat('DFD层级: Level-', {_or('dfd_level', '0')})", f"concat('模式类型: ', {_or('pattern_type')})", f"concat('适用场景: ', {_texts('''m['applicable_scenarios']''', '; ')})", f"concat('说明: ', {_texts('''m['notes']''', '; ')})",
-    )
-    categories = _maps("body", "categories")
-    templates = _let(categories, "cs", f"if(size(cs) > 0, flatten(transform(cs, c -> {inner})), {_overview('template')})")
-    two = lambda a, b: f"concat({a}, {b})"
-    levels = two(
-        _chunk(_maps("body", "leveling_principles"), _or("id", "concat('p_', i)"), "leveling_principle", f"concat('DFD分层原则: ', {_or('id', '''concat('p_', i)''')})", f"concat('描述: ', {_or('description')})"),
-        _chunk(_maps("body", "decomposition_rules"), _or("id", "concat('r_', i)"), "decomposition_rule", f"concat('DFD分解规则: ', {_or('id', '''concat('r_', i)''')})", f"concat('描述: ', {_or('description')})"),
-    )
-    theory = two(
-        _chunk(_maps("body", "concepts"), _or("id", "concat('c_', i)"), "theory_concept", f"concat('软件工程概念: ', {_or('name')})", f"concat('定义: ', {_or('definition')})"),
-        _chunk(_maps("body", "principles"), _or("id", "concat('p_', i)"), "theory_principle", f"concat('软件工程原则: ', {_or('id', '''concat('p_', i)''')})", f"concat('详情: ', {_or('detail')})"),
-    )
-    name = "coalesce(get_json_object(body, '$.name'), stem)"
-    domain = two(
-        f"array(struct(concat(stem, '_overview') as id, concat('领域: ', {name}, '\\n描述: ', coalesce(get_json_object(body, '$.description'), '')) as text, 'domain_overview' as kind))",
-        _chunk(_maps("body", "terms"), "concat('term_', i)", "domain_term", f"concat('领域术语: ', {_or('term')})", f"concat('领域: ', {name})", f"concat('定义: ', {_or('definition')})"),
-    )
-    case = "coalesce(get_json_object(body, '$.case_name'), stem)"
-    names = lambda p, label: f"concat('{label}: ', nullif(array_join(transform({_maps('body', 'dfd_elements.' + p)}, m -> {_or('name')}), ', '), ''))"
-    needs = "concat('需求: ', nullif(array_join(slice(from_json(get_json_object(body, '$.requirements_text'), 'array<string>'), 1, 5), '; '), ''))"
-    examples = two(
-        f"array(struct(concat(stem, '_overview') as id, concat_ws('\\n', concat('DFD案例: ', {case}), concat('描述: ', coalesce(get_json_object(body, '$.description'), '')), {needs}, {names('external_entities', '外部实体')}, {names('processes', '处理过程')}, {names('data_stores', '数据存储')}) as text, 'case_overview' as kind))",
-        _let(_maps("body", "dfd_elements.data_flows"), "flows", _chunk(_maps("body", "dfd_elements.processes"), _or("id"), "process_detail", f"concat('处理过程: ', {_or('id')}, ' ', {_or('name')})", f"concat('所属案例: ', {case})", f"concat('输入数据流: ', {_flow('to', 'from')})", f"concat('输出数据流: ', {_flow('from', 'to')})")),
-    )
+def _renderings() -> dict[str, tuple[str, list[str]]]:
+    """For each kind of item: SQL of the end of its id, and of its lines (null ones are left out)."""
+    numbered = lambda prefix: _or("id", f"concat('{prefix}_', i)")
+    definition = f"concat('定义: ', {_or('definition')})"
     return {
-        "concepts": _or_overview(concepts, "concept"), "examples": examples, "rules": _or_overview(rules, "rule"), "templates": templates, "levels": _or_overview(levels, "levels"),
-        "theory": _or_overview(theory, "theory"), "domain": domain, "validation": _or_overview(rules, "rule"),
+        "element": (numbered("elem"), [f"concat('DFD概念: ', {_or('name')})", definition, "concat('命名规范: ', nullif(m['naming'], ''))", f"concat('特征: ', {_texts('properties', '; ')})", f"concat('示例: ', {_texts('examples', ', ')})"]),
+        "rule": (numbered("rule"), [f"concat('DFD规则: ', {_or('name')})", f"concat('规则ID: ', {numbered('rule')})", "concat('定义: ', coalesce(m['definition'], m['detail'], ''))", "concat('严重级别: ', coalesce(m['severity'], m['level'], 'info'))", "concat('检测逻辑: ', nullif(m['detect_logic'], ''))"]),
+        "template": (_or("id"), [f"concat('DFD模板: ', {_or('name')})", "concat('分类: ', outer)", f"concat('DFD层级: Level-', {_or('dfd_level', "'0'")})", f"concat('模式类型: ', {_or('pattern_type')})", f"concat('适用场景: ', {_texts('applicable_scenarios', '; ')})", f"concat('说明: ', {_texts('notes', '; ')})"]),
+        "leveling_principle": (numbered("p"), [f"concat('DFD分层原则: ', {numbered('p')})", f"concat('描述: ', {_or('description')})"]),
+        "decomposition_rule": (numbered("r"), [f"concat('DFD分解规则: ', {numbered('r')})", f"concat('描述: ', {_or('description')})"]),
+        "theory_concept": (numbered("c"), [f"concat('软件工程概念: ', {_or('name')})", definition]),
+        "theory_principle": (numbered("p"), [f"concat('软件工程原则: ', {numbered('p')})", f"concat('详情: ', {_or('detail')})"]),
+        "domain_term": ("concat('term_', i)", [f"concat('领域术语: ', {_or('term')})", "concat('领域: ', outer)", definition]),
+        "process_detail": (_or("id"), [f"concat('处理过程: ', {_or('id')}, ' ', {_or('name')})", "concat('所属案例: ', outer)", f"concat('输入数据流: ', {_flow('to', 'from')})", f"concat('输出数据流: ', {_flow('from', 'to')})"]),
     }
 
 
 def chunks(rows: DataFrame) -> DataFrame:
-    """chunk_id, text, chunk_type and type_id of artifacts(type_id, stem, body), by the strategy of their type; others give an overview."""
+    """chunk_id, text, chunk_type and type_id of artifacts(type_id, stem, body), by the strategy of their type; others give an overview.
+
+    A body is parsed once, into lists of JSON items; each item gets a row and is parsed once there.
+    """
+    parsed = rows.select("type_id", "stem", F.explode(F.array(F.from_json("body", _BODY))).alias("b"))
     when = " ".join(f"when contains(lower(type_id), '{k}') then {sql}" for k, sql in _strategies().items())
-    each = rows.select("type_id", F.explode(F.expr(f"case {when} else {_overview('generic')} end")).alias("c"))
-    return each.select(F.col("c.id").alias("chunk_id"), F.col("c.text").alias("text"), F.col("c.kind").alias("chunk_type"), "type_id")
+    pieces = parsed.select("type_id", "stem", F.explode(F.expr(f"case {when} else {_overview('generic')} end")).alias("e")).select("type_id", "stem", "e.*")
+    items = pieces.withColumn("m", F.explode(F.array(F.from_json("item", "map<string,string>")))).where("m is not null or item is null")
+    kinds = _renderings()
+    ends = " ".join(f"when '{kind}' then {end}" for kind, (end, _) in kinds.items())
+    texts = " ".join(f"when '{kind}' then concat_ws('\\n', {', '.join(lines)})" for kind, (_, lines) in kinds.items())
+    return items.select(F.expr(f"concat(stem, '_', case kind {ends} else 'overview' end)").alias("chunk_id"), F.expr(f"case kind {texts} else outer end").alias("text"), F.col("kind").alias("chunk_type"), "type_id")
 
 
 def embedding_text(body: str) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 
 CONCEPTS = "diagrams.dfd.concepts"
 
@@ -21,7 +21,7 @@ def concept_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     elements = f"transform({made}, x -> struct(lower(x['0']) as id, x['1'] as name, concat('about ', x['1']) as definition))"
     title = r"regexp_extract(html, r'(?s)<title[^>]*>(.*?)</title>', 1)"
     body = f"to_json(struct(concat('page_', page_id) as content_slug, {title} as description, {elements} as elements, struct(url as source_url, page_id as number) as meta))"
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), F.lit(CONCEPTS).alias("type_id"), F.col("url").alias("source_url"), F.expr(body).alias("body"))
+    return spread(table(spark, sf_dir, "pages")).select(F.col("page_id").alias("seq"), F.lit(CONCEPTS).alias("type_id"), F.col("url").alias("source_url"), F.expr(body).alias("body"))
 
 
 #: DuckDB SQL of the same artifacts as columns: seq, url, description, ids, names.
@@ -44,20 +44,20 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, type_id and body of artifacts of all ten types, made of the rows of the given tables."""
     out = concept_artifacts(spark, sf_dir).select("seq", "type_id", "body")
     for type_id, (name, seq, body) in _ROWS.items():
-        out = out.unionByName(table(spark, sf_dir, name).selectExpr(f"cast({seq} as long) as seq", f"'{type_id}' as type_id", f"to_json({body}) as body"))
+        out = out.unionByName(spread(table(spark, sf_dir, name)).selectExpr(f"cast({seq} as long) as seq", f"'{type_id}' as type_id", f"to_json({body}) as body"))
     return out.unionByName(rule_artifacts(spark, sf_dir)).unionByName(case_artifacts(spark, sf_dir)).unionByName(check_artifacts(spark, sf_dir))
 
 
 def rule_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn as an artifact of one rule."""
     body = "to_json(struct(array(struct(concat('rule_', turn) as id, role as name, text as detail, case when turn % 2 = 0 then 'warning' end as level)) as rules))"
-    return table(spark, sf_dir, "conversations").selectExpr("conv_id * 1000 + turn as seq", "'diagrams.dfd.rules' as type_id", f"{body} as body")
+    return spread(table(spark, sf_dir, "conversations")).selectExpr("conv_id * 1000 + turn as seq", "'diagrams.dfd.rules' as type_id", f"{body} as body")
 
 
 def check_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's address as an artifact of one validation rule."""
     body = "to_json(struct(array(struct(concat('v_', page_id) as id, url as definition, 'error' as severity, cast(null as string) as name, 'n/a' as error_message)) as validation_rules))"
-    return table(spark, sf_dir, "pages").selectExpr("page_id as seq", "'diagrams.dfd.validation' as type_id", f"{body} as body")
+    return spread(table(spark, sf_dir, "pages")).selectExpr("page_id as seq", "'diagrams.dfd.validation' as type_id", f"{body} as body")
 
 
 def case_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +67,4 @@ def case_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
         " struct(array(struct(concat('s', l_suppkey) as id, concat('supplier ', l_suppkey) as name)) as external_entities, array(struct(concat('p', l_partkey) as id, concat('part ', l_partkey) as name)) as processes,"
         " array(struct(concat('s', l_suppkey) as `from`, concat('p', l_partkey) as `to`, cast(l_quantity as string) as data), struct(concat('p', l_partkey) as `from`, 'buyer' as `to`, cast(null as string) as data)) as data_flows) as dfd_elements))"
     )
-    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber as seq", "'diagrams.dfd.examples' as type_id", f"{body} as body")
+    return spread(table(spark, sf_dir, "lineitem")).selectExpr("l_orderkey * 10 + l_linenumber as seq", "'diagrams.dfd.examples' as type_id", f"{body} as body")

@@ -35,6 +35,25 @@ def test_types_by_name_and_path(spark):
     assert got == [("diagrams.dfd.rules", "diagrams.dfd.rules"), ("theory", "unknown"), (None, "unknown"), (None, "diagrams.dfd.concepts")]
 
 
+def test_chunks_of_lists_that_are_none(spark):
+    rows = [
+        ("examples", '{"case_name": "c", "dfd_elements": "none", "requirements_text": "text"}'),
+        ("examples", '{"dfd_elements": {"processes": {"id": "p"}, "data_stores": [{"name": "s"}, 7, null]}}'),
+        ("templates", '{"categories": [{"name": "k", "templates": [{"id": "t", "dfd_level": 2}, "x"]}, {"templates": "y"}]}'),
+        ("templates", '{"categories": [{"name": "k"}]}'),
+        ("concepts", "no json"),
+        ("levels", '{"leveling_principles": [3, {"description": "d"}], "name": {"a": 1}}'),
+    ]
+    got = [(r.chunk_id, r.text) for r in indexing.chunks(spark.createDataFrame([(t, "s", b) for t, b in rows], "type_id string, stem string, body string")).collect()]
+    assert got == [
+        ("s_overview", "DFD案例: c\n描述: "),
+        ("s_overview", "DFD案例: s\n描述: \n数据存储: s"),
+        ("s_t", "DFD模板: \n分类: k\nDFD层级: Level-2\n模式类型: "),
+        ("s_overview", "知识文件: s"),
+        ("s_p_0", "DFD分层原则: p_0\n描述: d"),
+    ]
+
+
 def test_chunks_of_odd_bodies(spark):
     rows = [
         ("x.rules", '{"rules": [], "validation_rules": [{"name": "n", "detail": "d", "level": "error", "detect_logic": "l"}, 5]}'),
