@@ -106,6 +106,6 @@ def s02_artifact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"s02_artifact_files": s02_artifact_files}
 ORACLES = {
-    "s02_artifact_files": """WITH h AS (SELECT strftime(ts, '%Y/%m/%d/%H_00') AS at, coalesce(event_type, 'none') AS e, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2)
-      SELECT at || '/events.' || e || '/hour/domain_events_hour.json' AS path, CASE WHEN e <> 'error' THEN 'domain' END AS type_id, CASE WHEN e <> 'error' THEN 'https://events.' || e END AS source_url, CASE WHEN e <> 'error' THEN n END AS n FROM h""",
+    "s02_artifact_files": """WITH h AS (SELECT strftime(ts, '%Y/%m/%d/%H_00') AS hour_at, coalesce(event_type, 'none') AS e, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2)
+      SELECT hour_at || '/events.' || e || '/hour/domain_events_hour.json' AS path, CASE WHEN e <> 'error' THEN 'domain' END AS type_id, CASE WHEN e <> 'error' THEN 'https://events.' || e END AS source_url, CASE WHEN e <> 'error' THEN n END AS n FROM h""",
 }
