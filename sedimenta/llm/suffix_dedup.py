@@ -41,7 +41,10 @@ SPANS = "block int, row long, start long, stop long"
 
 
 def anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of all windows inside slices that end at `ends`: gram hash, place, first and last window start."""
+    """Anchors of all windows inside slices that end at `ends`: gram hash, place, first and last window start.
+
+    The hash is mixed again after the least was taken, since the least of many lie in the lowest range of hashes alone.
+    """
     n, grams = len(raw), length - GRAM + 1
     none = np.zeros(0, np.int64)
     if n < length:
@@ -70,7 +73,7 @@ def anchors(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
     first = valid & np.r_[True, (place[1:] != place[:-1]) | ~valid[:-1]]
     last = valid & np.r_[(place[1:] != place[:-1]) | ~valid[1:], True]
     lo, hi = np.flatnonzero(first), np.flatnonzero(last)
-    return code[place[lo]], place[lo], lo, hi
+    return mix(code[place[lo]]), place[lo], lo, hi
 
 
 def _slices(texts: list[bytes], length: int, most: int) -> Iterator[list[tuple[int, int, bytes]]]:

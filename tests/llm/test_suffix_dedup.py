@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -51,6 +52,15 @@ def test_against_brute_force(spark, most_contexts, block_bytes):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute(rows, 100)
 
 
+def test_hash_ranges_hold_alike_many_anchors():
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefgh \n", k=4000)) for _ in range(20)]
+    asked = suffix_dedup._ask(100, 12)(pa.table({"text": texts, "block": [0] * len(texts)}))
+    held = [len(k) // 8 for k in asked.column("keys").to_pylist()]
+    assert sorted(asked.column("bucket").to_pylist()) == list(range(12))
+    assert max(held) < 2 * sum(held) / 12
+
+
 def test_repeated_and_null_ids(spark):
     text = "".join(random.Random(1).choices("abcdefgh", k=300))
     df = spark.createDataFrame([(None, text), (4, text), (4, text)], "doc_id long, text string").coalesce(1)
