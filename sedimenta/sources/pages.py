@@ -40,6 +40,10 @@ _ROWS = {
 }
 
 
+#: The types of `artifacts`.
+ARTIFACT_TYPES = (CONCEPTS, *_ROWS, "diagrams.dfd.rules", "diagrams.dfd.examples", "diagrams.dfd.validation")
+
+
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, type_id and body of artifacts of all ten types, made of the rows of the given tables."""
     out = concept_artifacts(spark, sf_dir).select("seq", "type_id", "body")

@@ -18,7 +18,7 @@ from ..operators.evaluation import _ITEMS_SQL, quality_report
 from ..operators.structure import TYPE_COLLECTIONS
 from ..session import path_exists, shared_folder, table
 from .artifacts import append_new, read_url_list
-from .pages import CONCEPTS_SQL, artifacts
+from .pages import ARTIFACT_TYPES, CONCEPTS_SQL, artifacts
 from .versions import VersionedTable, delete_folders
 
 #: Files beside artifacts that scans leave out, and folders that an index leaves out: fixed values.
@@ -32,13 +32,23 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def scan_knowledge(spark: SparkSession, path: str, schema: str, folders: tuple[str, ...] = ()) -> DataFrame:
     """JSON lines of a folder tree as `schema` with file_path; side files and side folders are left out, and lines that are no objects; `folders`: columns of key=value folders."""
-    rows = spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken").option("recursiveFileLookup", str(not folders).lower()).option("pathGlobFilter", "*.json").json(path)
+    rows = spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken").option("recursiveFileLookup", str(not folders).lower()).option("pathGlobFilter", "*.{json,json.gz}").json(path)
     rows = rows.withColumn("file_path", F.col("_metadata.file_path"))
     inside = F.split("file_path", "/")
-    kept = ~F.exists(inside, lambda x: x.isin([*SIDE_FOLDERS, *(f"{f}.json" for f in SIDE_FILES)]))
+    kept = ~F.exists(inside, lambda x: x.isin([*SIDE_FOLDERS, *(f"{f}.json{end}" for f in SIDE_FILES for end in ("", ".gz"))]))
     return rows.where(kept & F.col("_broken").isNull()).drop("_broken")
 
 
+def write_by_type(rows: DataFrame, path: str) -> None:
+    """JSON lines of rows(type_id, ...) in a folder for each type, packed, since bodies are much longer than the rows they are made of.
+
+    A type that the engine knows is written by itself, which sorts nothing; other types are dealt out by Spark.
+    """
+    for name in ARTIFACT_TYPES:
+        rows.where(F.col("type_id") == name).drop("type_id").write.option("compression", "gzip").json(f"{path}/type_id={name}")
+    rows.where(~F.col("type_id").isin(*ARTIFACT_TYPES) | F.col("type_id").isNull()).write.mode("append").partitionBy("type_id").option("compression", "gzip").json(path)
+
+
 def collection(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A vector collection: what its Parquet folder holds, or an empty table of its schema before the first write."""
     if not path_exists(spark, path):
@@ -68,7 +78,7 @@ def s02_artifact_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s03_load_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Knowledge by type in folders (K08), of which a load of one type reads its own folder alone."""
     path = new_folder(spark, "knowledge")
-    artifacts(spark, sf_dir).write.partitionBy("type_id").json(path)
+    write_by_type(artifacts(spark, sf_dir), path)
     back = scan_knowledge(spark, path, "seq long, body string, type_id string", ("type_id",)).where("type_id = 'domain'")
     return back.select("seq", "type_id", F.length("body").alias("chars"), (F.col("file_path") != "").alias("has_path"))
 
