@@ -16,7 +16,7 @@ from ..functions.html import CLEAN_SQL, clean_text
 from ..functions.urls import NORMALIZED_SQL, domain, normalized
 from ..operators.evaluation import _ITEMS_SQL, quality_report
 from ..operators.structure import TYPE_COLLECTIONS
-from ..session import path_exists, shared_folder, table
+from ..session import path_exists, shared_folder, table, written
 from .artifacts import append_new, read_url_list
 from .pages import ARTIFACT_TYPES, CONCEPTS_SQL, artifacts
 from .versions import VersionedTable, delete_folders
@@ -198,6 +198,8 @@ def t03_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
 
 
+#: Repeated bodies whose keys are sent to all tasks; with more of them all bodies are exchanged.
+REPEATED = 200_000
 REFINED = "type_id string, slug string, body string, sources long, saved_to string"
 
 
@@ -207,10 +209,17 @@ def refine_run(found: DataFrame, saved: VersionedTable, dry_run: bool = False) -
     Returns the refined rows; a dry run computes them and publishes nothing. Types without a collection are saved with none.
     """
     where = F.create_map(*(F.lit(x) for pair in TYPE_COLLECTIONS.items() for x in pair))
-    new = found.groupBy("type_id", F.md5("body").alias("slug")).agg(F.first("body").alias("body"), F.count("*").alias("sources")).withColumn("saved_to", where[F.col("type_id")])
+    new = found.select("type_id", F.md5("body").alias("slug"), "body", F.lit(1).cast("long").alias("sources"), where[F.col("type_id")].alias("saved_to"))
 
     def merged(old: DataFrame) -> DataFrame:
-        return old.unionByName(new).groupBy("type_id", "slug").agg(F.first("body").alias("body"), F.sum("sources").alias("sources"), F.first("saved_to").alias("saved_to"))
+        """Only bodies that come more than once are exchanged, the others are written where they are read: bodies are much longer than the rows they are made of."""
+        both = old.unionByName(new).select(*(c.strip().split()[0] for c in REFINED.split(",")))
+        once = lambda rows: rows.groupBy("type_id", "slug").agg(F.first("body").alias("body"), F.sum("sources").alias("sources"), F.first("saved_to").alias("saved_to")).select(both.columns)
+        repeated = written(both.groupBy("type_id", "slug").agg(F.count("*").alias("n")).where("n > 1").select(F.col("type_id").alias("_type"), F.col("slug").alias("_slug"), F.lit(True).alias("_again")), "repeated")
+        if repeated.count() > REPEATED:
+            return once(both)
+        marked = both.join(F.broadcast(repeated), F.col("type_id").eqNullSafe(F.col("_type")) & F.col("slug").eqNullSafe(F.col("_slug")), "left")
+        return marked.where("_again is null").select(both.columns).unionByName(once(marked.where("_again").select(both.columns)))
 
     if dry_run:
         return merged(saved.read())
