@@ -20,12 +20,16 @@ from ..functions.nodes import RULES, Page
 from ..session import let_workers_import, table
 from .extraction import EMOJI, INVISIBLE
 
+#: Pages whose results are held as Python objects at once.
+AT_ONCE = 256
 _IMAGE = pa.struct([("src", pa.string()), ("alt", pa.string())])
 _SECTION = pa.struct(
     [("heading", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("lists", pa.list_(pa.string())), ("images", pa.list_(_IMAGE)), ("code_blocks", pa.list_(pa.string())), ("tables", pa.list_(pa.list_(pa.list_(pa.string()))))]
 )
+_TABLE = pa.list_(pa.list_(pa.string()))
 _SPARK = {
     pa.string(): "string", pa.int32(): "int", pa.float64(): "double", pa.list_(pa.string()): "array<string>", pa.list_(_IMAGE): "array<struct<src: string, alt: string>>",
+    pa.list_(_TABLE): "array<array<array<string>>>",
     pa.list_(_SECTION): "array<struct<heading: string, level: int, text: string, lists: array<string>, images: array<struct<src: string, alt: string>>, code_blocks: array<string>, tables: array<array<array<string>>>>>",
 }
 
@@ -45,7 +49,7 @@ def over_pages(pages: DataFrame, columns: dict[str, pa.DataType], work: Callable
     """page_id, url and the columns that work(html, url) gives for each of pages(page_id, url, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (rows.slice(lo, AT_ONCE) for rows in batches for lo in range(0, rows.num_rows, AT_ONCE)):
             out = [work(html or "", url or "") for html, url in zip(batch.column("html").to_pylist(), batch.column("url").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *(pa.array([x[c] for x in out], kind) for c, kind in columns.items())], names=["page_id", "url", *columns])
 
@@ -155,6 +159,16 @@ def structured_pages(pages: DataFrame, rules: dict = RULES) -> DataFrame:
     return rows.select("page_id", F.coalesce("url", F.lit("")).alias("source_url"), "title", visible.alias("clean_text"), "markdown", "sections", "images")
 
 
+def page_tables(pages: DataFrame, rules: dict = RULES) -> DataFrame:
+    """page_id and rows of each table of a page's main container, as `structured_pages` has them in its sections."""
+
+    def work(html: str, url: str) -> dict:
+        page, container, _ = nodes.cleaned(html, url, rules)
+        return {"tables": page.tables(container)}
+
+    return over_pages(pages, {"tables": pa.list_(_TABLE)}, work).select("page_id", F.explode("tables").alias("rows"))
+
+
 def h20_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each section: heading, level, paragraphs, list items, code blocks and numbers of images and tables."""
     rows = structured_pages(_pages(spark, sf_dir)).select("page_id", F.posexplode("sections").alias("pos", "s"))
@@ -172,7 +186,7 @@ def _order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def h21_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables of pages as pipe tables: pages of orders with their lines as HTML tables, a cell left open in each row."""
     let_workers_import(spark)
-    rows = structured_pages(_order_pages(spark, sf_dir)).select("page_id", F.explode("sections").alias("s")).select("page_id", F.explode("s.tables").alias("rows"))
+    rows = page_tables(_order_pages(spark, sf_dir))
     line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
     head, rest = F.col("rows")[0], F.expr("slice(rows, 2, size(rows))")
     return rows.select(F.col("page_id").alias("l_orderkey"), F.concat_ws("\n", line(head), line(F.transform(head, lambda c: F.lit("---"))), F.nullif(F.array_join(F.transform(rest, line), "\n"), F.lit(""))).alias("markdown"))
